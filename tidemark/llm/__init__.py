@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 # Executors need no copy of the library: functions that run there travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODULES = ("simhash_dedup", "warc", "decontaminate", "recompression", "suffix_dedup", "packing", "quality_rules")
+MODULES = ("simhash_dedup", "secrets", "warc", "quality_crf", "decontaminate", "recompression", "quality_rules", "suffix_dedup", "licenses", "packing")
 
 
 def _gather(name: str) -> dict:

@@ -4,9 +4,10 @@ Every window gets a *key* that its content alone decides, so equal windows have
 neighbouring windows mostly share one. The plan, in one lineage without driver-side data:
 
 1. Documents are dealt into buckets of about ``BUCKET_BYTES`` by a hash of id and text (one shuffle of the texts, whose
-   exchange all three passes reuse). A bucket gives each of its keys once, with the least and greatest id it occurs in.
-2. By key: keys with one id only are dropped; the rest go back to their buckets. A key of a third of all documents is one
-   row a bucket, so no group is larger than the number of buckets.
+   exchange all three passes reuse). Texts that repeat an earlier one whole are told by a digest; they need no more. Of the
+   others, a bucket gives each of its keys once.
+2. By part of the key space: keys that one document alone has are dropped; the rest go back to their buckets. A key of a
+   third of all documents is one entry a bucket, so no key is larger than the number of buckets.
 3. Each bucket sends what stands under shared keys, once for each distinct content, to be verified by content.
 4. What is found (least id over all buckets) goes back to the buckets, which mark and cut their own documents.
 
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import binary, input_bytes
@@ -60,10 +61,12 @@ class RangeHash:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
-def chunks(ids: np.ndarray, texts: list[bytes]) -> Iterator[list[int]]:
+def chunks(texts: list[bytes], wanted: np.ndarray | None = None) -> Iterator[list[int]]:
     """Places of the documents of each chunk."""
     own, size = [], 0
     for i, t in enumerate(texts):
+        if wanted is not None and not wanted[i]:
+            continue
         if own and size + len(t) > CHUNK_BYTES:
             yield own
             own, size = [], 0
@@ -99,37 +102,103 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def deal(docs: DataFrame) -> DataFrame:
-    """id, doc_id, text, bucket: dealt by bucket."""
-    spark = docs.sparkSession
-    size = input_bytes(spark, docs, "text")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * least, -(-size // BUCKET_BYTES))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
-    return own.withColumn("bucket", bucket).repartition(max(least, -(-size // PARTITION_BYTES)), "bucket")
+class Deal:
+    """The documents dealt into buckets, and for each bucket the ids of its texts that an earlier id has word for word.
 
-
-def shared_keys(dealt: DataFrame, keys_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(bucket, key): the keys of each bucket that documents of different ids have.
-
-    ``keys_of`` takes the texts of a chunk and gives the keys of their windows and the text that each belongs to.
+    ``notes`` has rows (bucket, id, data): a copy's id, or shared keys packed into ``data``. Copies are whole repeats: they
+    send nothing and lose every window, so a large group of copies costs one row of ids each.
     """
 
-    def work(group: pa.Table) -> pa.Table:
-        ids, texts = _ids(group["doc_id"]), binary(group["text"])
-        found = []
-        for own in chunks(ids, texts):
-            key, doc = keys_of([texts[i] for i in own])
-            if len(key):  # runs of one key in one text are one row
-                first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
-                of = ids[np.array(own)][doc[first]]
-                found.append(least_and_greatest(key[first], of, of))
-        if not found:
-            return pa.table({"bucket": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
-        key, low, high = least_and_greatest(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        return pa.table({"bucket": pa.array(np.full(len(key), group["bucket"][0].as_py(), np.int32)), "key": signed(key), "low": low, "high": high})
-
-    rows = dealt.groupBy("bucket").applyInArrow(work, "bucket int, key long, low long, high long")
-    w = Window.partitionBy("key")
-    return rows.select("bucket", "key", F.min("low").over(w).alias("least"), F.max("high").over(w).alias("most")).filter("least < most").select("bucket", "key")
+    def __init__(self, docs: DataFrame):
+        spark = docs.sparkSession
+        size = input_bytes(spark, docs, "text")
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(least, -(-size // BUCKET_BYTES))
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        own = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+        self.rows = own.repartition(max(least, -(-size // PARTITION_BYTES)), "bucket")
+        # New names for columns, so that a bucket's own rows can meet its notes.
+        named = own.select(F.expr("bucket + 0").cast("int").alias("bucket"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.md5("text").alias("name"))
+        first = named.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("name", "least")
+        self.copies = named.join(first, "name").filter("id > least").select(F.expr("bucket + 0").cast("int").alias("bucket"), "id", F.lit(None).cast("binary").alias("data"))
+        # A key is cut to as many bits as keep chance meetings rare; they would cost work, not correctness.
+        self.shift = 64 - min(64, max(40, size.bit_length() + 12))
+        self.parts = max(least, -(-size // (16 << 20)))
+
+    def shared_keys(self, keys_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """Notes: the copies, and the keys of each bucket that other documents have too.
+
+        ``keys_of`` takes the texts of a chunk and gives the keys of their windows and the text that each belongs to.
+        A bucket sends each key once, packed by part of the key space, with a bit that says if several of its own ids have it.
+        """
+        shift, parts = self.shift, self.parts
+        width = max(1, ((64 - shift) - (parts.bit_length() - 1) + 7) // 8)
+
+        def send(group: pa.Table, notes: pa.Table) -> pa.Table:
+            found = []
+            for own, ids, texts in unrepeated(group, notes):
+                key, doc = keys_of(texts)
+                if len(key):  # runs of one key in one text are one row
+                    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+                    found.append(least_and_greatest(key[first] >> _U(shift), ids[doc[first]], ids[doc[first]]))
+            out: dict[str, list] = {"part": [], "keys": [], "several": []}
+            if found:
+                key, low, high = least_and_greatest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                part = (key % _U(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                key, part, several = (key // _U(parts))[order], part[order], (low < high)[order]
+                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                packed = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+                    out["part"].append(int(part[a]))
+                    out["keys"].append(packed[a:b].tobytes())
+                    out["several"].append(np.packbits(several[a:b]).tobytes())
+            bucket = bucket_of(group, notes)
+            return pa.table({"bucket": pa.array([bucket] * len(out["part"]), pa.int32()), "part": pa.array(out["part"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "several": pa.array(out["several"], pa.binary())})
+
+        def meet(group: pa.Table) -> pa.Table:
+            keys = [unpack(k, width) for k in group["keys"].to_pylist()]
+            several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(k)] for m, k in zip(group["several"].to_pylist(), keys, strict=True)])
+            every = np.concatenate(keys)
+            order = np.argsort(every)
+            key = every[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            count = np.diff(np.append(first, len(key)))
+            good = np.zeros(len(key), bool)
+            good[order] = np.repeat((count > 1) | (np.maximum.reduceat(several[order], first) > 0), count)
+            full = every * _U(parts) + _U(group["part"][0].as_py())
+            ends = np.cumsum([len(k) for k in keys])
+            data = [full[e - len(k) : e][good[e - len(k) : e]].tobytes() for k, e in zip(keys, ends.tolist(), strict=True)]
+            return pa.table({"bucket": group["bucket"].combine_chunks(), "id": pa.nulls(len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+
+        sent = self.rows.groupBy("bucket").cogroup(self.copies.groupBy("bucket")).applyInArrow(send, "bucket int, part int, keys binary, several binary")
+        return sent.groupBy("part").applyInArrow(meet, "bucket int, id long, data binary").filter("octet_length(data) > 0").union(self.copies)
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
+
+
+def bucket_of(*tables: pa.Table) -> int:
+    return next(t["bucket"][0].as_py() for t in tables if t.num_rows)
+
+
+def known_keys(notes: pa.Table) -> np.ndarray:
+    """The shared keys of a bucket, sorted."""
+    data = [d for d in notes["data"].to_pylist() if d]
+    return np.sort(np.frombuffer(b"".join(data), np.uint64))
+
+
+def copied(group: pa.Table, notes: pa.Table) -> np.ndarray:
+    """Which rows of the bucket are copies of an earlier text."""
+    ids = notes["id"].drop_null().to_numpy().astype(np.int64)
+    return np.isin(_ids(group["doc_id"]), ids) if len(ids) else np.zeros(group.num_rows, bool)
+
+
+def unrepeated(group: pa.Table, notes: pa.Table) -> Iterator[tuple[list[int], np.ndarray, list[bytes]]]:
+    """Rows, ids and texts of the bucket's documents that are not copies, by chunk."""
+    ids, texts, skip = _ids(group["doc_id"]), binary(group["text"]), copied(group, notes)
+    for own in chunks(texts, ~skip):
+        yield own, ids[np.array(own)], [texts[i] for i in own]

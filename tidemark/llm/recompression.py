@@ -22,11 +22,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import binary, mix, table
-from ._repeats import _WORD_BASE, BYTE_NAMES, CHUNK_BYTES, RangeHash, _ids, chunks, deal, least_and_greatest, member, shared_keys, signed
+from ._repeats import _WORD_BASE, BYTE_NAMES, CHUNK_BYTES, Deal, RangeHash, _ids, bucket_of, chunks, copied, known_keys, member, signed, unrepeated
 
 WINDOW = 13
 ROUNDS = 6
@@ -140,19 +141,16 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text st
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, on demand, the kept text; one row a document."""
-    dealt = deal(docs)
-    shared = shared_keys(dealt, keys_of)
+    deal = Deal(docs)
+    notes, shift = deal.shared_keys(keys_of), np.uint64(deal.shift)
 
-    def candidates(group: pa.Table, keys: pa.Table) -> pa.Table:
-        ids, texts = _ids(group["doc_id"]), binary(group["text"])
-        known = np.sort(keys["key"].to_numpy().astype(np.int64).view(np.uint64))
+    def candidates(group: pa.Table, notes: pa.Table) -> pa.Table:
+        known = known_keys(notes)
         found = []
-        for own in chunks(ids, texts) if len(known) else ():
-            key, name, doc, _ = _named([texts[i] for i in own])
-            hit = member(key, known) >= 0
-            of = ids[np.array(own)][doc[hit]]
-            # Low bits of the key ride in a second pass over equal hashes: names differ if either does.
-            found.append((name[hit], key[hit].astype(np.uint32).astype(np.uint64), of))
+        for _, ids, texts in unrepeated(group, notes) if len(known) else ():
+            key, name, doc, _ = _named(texts)
+            hit = member(key >> shift, known) >= 0
+            found.append((name[hit], key[hit].astype(np.uint32).astype(np.uint64), ids[doc[hit]]))
         if found:
             name, tag, of = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((tag, name))
@@ -160,22 +158,24 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         if not found or not len(name):
             return pa.table({"bucket": pa.array([], pa.int32()), "name": pa.array([], pa.int64()), "tag": pa.array([], pa.int32()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
         first = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (tag[1:] != tag[:-1]))))
-        bucket = pa.array(np.full(len(first), group["bucket"][0].as_py(), np.int32))
+        bucket = pa.array(np.full(len(first), bucket_of(group), np.int32))
         return pa.table({"bucket": bucket, "name": signed(name[first]), "tag": pa.array(tag[first].astype(np.uint32).view(np.int32)), "low": np.minimum.reduceat(of, first), "high": np.maximum.reduceat(of, first)})
 
-    rows = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(candidates, "bucket int, name long, tag int, low long, high long")
+    rows = deal.rows.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(candidates, "bucket int, name long, tag int, low long, high long")
     # Rows of a window: one a bucket at most.
     least = F.min("low").over(Window.partitionBy("name", "tag"))
-    earlier = rows.select("bucket", "name", "tag", "high", least.alias("least")).filter("least < high").select("bucket", "name", "tag", "least")
+    earlier = rows.select("bucket", "name", "tag", "high", least.alias("least")).filter("least < high").select("bucket", "name", "tag", "least", F.lit(None).cast("long").alias("id"))
+    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("tag", "int"), ("least", "long"))], "id")
 
     def cut(group: pa.Table, windows: pa.Table) -> pa.Table:
-        ids, texts = _ids(group["doc_id"]), binary(group["text"])
+        ids, texts, whole = _ids(group["doc_id"]), binary(group["text"]), copied(group, windows)
+        windows = windows.filter(pc.is_null(windows["id"]))
         name, tag, least = (windows[c].to_numpy() for c in ("name", "tag", "least"))
         # Both parts of a window's name as one sortable value of 64 bits, told apart by the tag afterwards.
         order = np.lexsort((tag, name.view(np.uint64)))
         name, tag, least = name[order].view(np.uint64), tag[order], least[order]
         out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "text")}
-        for own in chunks(ids, texts):
+        for own in chunks(texts):
             split = [texts[i].split() for i in own]
             ends = np.cumsum([len(w) for w in split])
             gone = np.zeros(int(ends[-1]) + 1, np.int64)
@@ -190,8 +190,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 np.add.at(gone, start[ok], 1)
                 np.add.at(gone, start[ok] + WINDOW, -1)
             gone = np.cumsum(gone)[:-1] > 0
-            for w, end in zip(split, ends.tolist(), strict=True):
-                mask = gone[end - len(w) : end]
+            for i, w, end in zip(own, split, ends.tolist(), strict=True):
+                mask = np.ones(len(w), bool) if whole[i] and len(w) >= WINDOW else gone[end - len(w) : end]
                 lost = int(mask.sum())
                 kept = b" ".join(compress(w, (~mask).tolist()) if lost else w)
                 out["n_words"].append(len(w))
@@ -200,7 +200,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 out["text"].append(kept.decode() if with_text else None)
         return pa.table({"doc_id": group["doc_id"].combine_chunks(), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "text": pa.array(out["text"], pa.string())})
 
-    result = dealt.groupBy("bucket").cogroup(earlier.groupBy("bucket")).applyInArrow(cut, RESULT)
+    result = deal.rows.groupBy("bucket").cogroup(earlier.union(copies).groupBy("bucket")).applyInArrow(cut, RESULT)
     return result if with_text else result.drop("text")
 
 

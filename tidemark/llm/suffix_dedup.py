@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import binary, mix, table
-from ._repeats import BYTE_NAMES, CHUNK_BYTES, RangeHash, _ids, chunks, deal, member, shared_keys, signed
+from ._repeats import BYTE_NAMES, CHUNK_BYTES, Deal, RangeHash, _ids, bucket_of, chunks, copied, known_keys, member, signed, unrepeated
 
 WINDOW = 50
 GRAM = 16
@@ -78,14 +79,14 @@ def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _fragments(texts: list[bytes], known: np.ndarray | None = None):
+def _fragments(texts: list[bytes], known: np.ndarray | None = None, shift: int = 0):
     """The joined texts; key, text, first byte, end and name of their fragments, of ``known`` keys only if given."""
     data, starts = _join(texts)
     hashes = RangeHash(BYTE_NAMES[np.frombuffer(data, np.uint8)])
     out = []
     for key, doc, place in _windows(data, starts):
         if known is not None and len(key):
-            own = member(key, known) >= 0
+            own = member(key >> _U(shift), known) >= 0
             key, doc, place = key[own], doc[own], place[own]
         if not len(key):
             continue
@@ -181,18 +182,17 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, the kept bytes (a cut may fall within a character)."""
-    dealt = deal(docs)
-    shared = shared_keys(dealt, keys_of)
+    deal = Deal(docs)
+    notes, shift = deal.shared_keys(keys_of), deal.shift
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def candidates(group: pa.Table, keys: pa.Table) -> pa.Table:
-        ids, texts = _ids(group["doc_id"]), binary(group["text"])
-        known = np.sort(keys["key"].to_numpy().astype(np.int64).view(np.uint64))
+    def candidates(group: pa.Table, notes: pa.Table) -> pa.Table:
+        known = known_keys(notes)
         names, found, fragments = [], [], []
-        for own in chunks(ids, texts) if len(known) else ():
-            data, _, key, doc, begin, end, name = _fragments([texts[i] for i in own], known)
+        for _, ids, texts in unrepeated(group, notes) if len(known) else ():
+            data, _, key, doc, begin, end, name = _fragments(texts, known, shift)
             if len(key):
-                of = ids[np.array(own)][doc]
+                of = ids[doc]
                 once, place = np.unique(name, return_index=True)
                 at = np.arange(len(fragments), len(fragments) + len(once))
                 fragments += [data[a:b] for a, b in zip(begin[place].tolist(), end[place].tolist(), strict=True)]
@@ -205,11 +205,11 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         order = np.argsort(name)
         name, of = name[order], of[order]
         first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-        bucket = pa.array(np.full(len(first), group["bucket"][0].as_py(), np.int32))
+        bucket = pa.array(np.full(len(first), bucket_of(group), np.int32))
         own = [fragments[i] for i in at[order][first].tolist()]
         return pa.table({"bucket": bucket, "key": signed(key[order][first]), "name": signed(name[first]), "low": np.minimum.reduceat(of, first), "high": np.maximum.reduceat(of, first), "fragment": pa.array(own, pa.binary())})
 
-    rows = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(candidates, "bucket int, key long, name long, low long, high long, fragment binary")
+    rows = deal.rows.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(candidates, "bucket int, key long, name long, low long, high long, fragment binary")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -245,12 +245,13 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     runs = rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(shards, "bucket int, name long, at int, count int, least long")
 
     def cut(group: pa.Table, runs: pa.Table) -> pa.Table:
-        ids, texts = _ids(group["doc_id"]), binary(group["text"])
+        ids, texts, whole = _ids(group["doc_id"]), binary(group["text"]), copied(group, runs)
+        runs = runs.filter(pc.is_null(runs["id"]))
         names = runs["name"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(names)
         names, at, count, least = names[order], *(runs[c].to_numpy()[order] for c in ("at", "count", "least"))
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for own in chunks(ids, texts):
+        for own in chunks(texts):
             data, starts, _, doc, begin, _, name = _fragments([texts[i] for i in own]) if len(names) else (*_join([texts[i] for i in own]), *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
             edge = np.zeros(len(data) + 1, np.int32)
             left, right = np.searchsorted(names, name, "left"), np.searchsorted(names, name, "right")
@@ -264,7 +265,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             gone = np.cumsum(edge[:-1]) > 0
             every = np.frombuffer(data, np.uint8)
             for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-                mask = gone[a:b]
+                mask = np.ones(b - a, bool) if whole[own[i]] and b - a >= WINDOW else gone[a:b]
                 lost = int(mask.sum())
                 kept = every[a:b][~mask].tobytes() if lost else texts[own[i]]
                 out["n_bytes"].append(b - a)
@@ -275,7 +276,9 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         columns = {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.binary() if c == "kept" else pa.int64()) for c, v in out.items()}
         return pa.table({"doc_id": group["doc_id"].combine_chunks()} | columns)
 
-    result = dealt.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(cut, RESULT)
+    runs = runs.withColumn("id", F.lit(None).cast("long"))
+    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("at", "int"), ("count", "int"), ("least", "long"))], "id")
+    result = deal.rows.groupBy("bucket").cogroup(runs.union(copies).groupBy("bucket")).applyInArrow(cut, RESULT)
     return result if with_text else result.drop("kept")
 
 
