@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd", "yyyy/MM/dd", "EEE, dd MMM yyyy HH:mm:ss Z")
+FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd", "yyyy/MM/dd", "d MMM yyyy HH:mm:ss Z")
 
 
 def from_unix(c: Column) -> Column:
@@ -19,7 +19,8 @@ def from_unix(c: Column) -> Column:
 
 def parse(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
     """The first format that fits; numbers are Unix times; else null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats], F.when(c.rlike(r"^-?\d{8,19}$"), from_unix(c.try_cast("long"))))
+    bare = F.regexp_replace(c, r"^[A-Za-z]{3}, ", "")  # a weekday adds nothing
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats], F.when(c.rlike(r"^-?\d{8,19}$"), from_unix(c.try_cast("long"))))
 
 
 _JAVA = {"yyyy": "%Y", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
@@ -54,7 +55,7 @@ def parse_literal(value: Any, precision: str = "us", format: str | None = None)
 
 def output(c: Column, style: str) -> Column:
     t = c.cast("timestamp")
-    return {"rfc3339": lambda: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "rfc2822": lambda: F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss Z"), "unix_timestamp_secs": lambda: F.unix_seconds(t), "unix_timestamp_millis": lambda: F.unix_millis(t), "unix_timestamp_micros": lambda: F.unix_micros(t), "unix_timestamp_nanos": lambda: F.unix_micros(t) * 1000}[style]()
+    return {"rfc3339": lambda: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "rfc2822": lambda: F.concat(F.date_format(t, "EEE"), F.lit(", "), F.date_format(t, "dd MMM yyyy HH:mm:ss Z")), "unix_timestamp_secs": lambda: F.unix_seconds(t), "unix_timestamp_millis": lambda: F.unix_millis(t), "unix_timestamp_micros": lambda: F.unix_micros(t), "unix_timestamp_nanos": lambda: F.unix_micros(t) * 1000}[style]()
 
 
 def truncate(c: Column, precision: str) -> Column:

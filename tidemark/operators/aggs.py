@@ -213,7 +213,7 @@ def fill_gaps(out: DataFrame, name: str, kind: str, body: dict, parents: tuple[s
         ends = ends.withColumn("_low", F.least("_low", low.cast(kind_of))).withColumn("_high", F.greatest("_high", high.cast(kind_of)))
     count = F.round((F.col("_high") - F.col("_low")) / step).cast("int")
     checked = F.when(count >= MOST_BUCKETS, F.raise_error(F.lit(f"more than {MOST_BUCKETS} buckets")).cast("int")).otherwise(count)
-    every = ends.filter("_low IS NOT NULL").select(*parents, "_low", F.explode(F.sequence(F.lit(0), checked)).alias("_k")).select(*parents, (F.col("_low") + F.col("_k") * F.lit(step)).alias(name))
+    every = ends.filter("_low IS NOT NULL").select(*parents, "_low", F.explode(F.sequence(F.lit(0), checked)).alias("_k")).select(*parents, (F.col("_low") + F.col("_k") * F.lit(step).cast("long" if dated else "double")).alias(name))
     if parents:
         joined = every.join(out, [*parents, name], "left")
     else:

@@ -157,7 +157,9 @@ def bm25(df: DataFrame, column: str, text: str, key: str, analyzer: str = "defau
     if not terms:
         return df.select(key, F.lit(0.0).alias("score")).limit(0)
     tokens = analyzers.analyze(analyzer, F.coalesce(F.col(column), F.lit("")))
-    own = df.select(key, tokens.alias("_t")).select(key, F.size("_t").alias("_len"), *[F.size(F.filter("_t", _equals(t))).alias(f"_f{i}") for i, t in enumerate(terms)])
+    # One lambda over the tokens gives length and frequencies, so they are cut once a row.
+    counted = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("_len"), *[F.size(F.filter(t, _equals(x))).alias(f"_f{i}") for i, x in enumerate(terms)]))
+    own = df.select(key, F.inline(counted))
     stats = own.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
     joined = own.filter(reduce(lambda x, y: x | y, [F.col(f"_f{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(stats))  # stats is one row
     parts = []

@@ -36,10 +36,16 @@ class Index:
         """Write the rows, then their manifest entries: a reader never sees files that the manifest lacks."""
         import uuid
 
+        self.remember(df)
         batch = f"{self.data}/batch={uuid.uuid4().hex}"
         (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(batch)
         self.describe(batch).write.mode("append").parquet(f"{self.path}/manifest")
 
+    def remember(self, df: DataFrame) -> None:
+        """Keep the schema, for an index whose files are all gone."""
+        if not self.exists("schema"):
+            df.limit(0).write.parquet(f"{self.path}/schema")
+
     def describe(self, folder: str) -> DataFrame:
         """Manifest rows of the files in a folder."""
         df = self.spark.read.parquet(folder)
@@ -69,8 +75,7 @@ class Index:
     def scan(self, start=None, end=None, tags: dict[str, list[str]] | None = None) -> DataFrame:
         files = [r[0] for r in self.prune(start, end, tags).select("file").collect()]
         if not files:
-            one = self.manifest().select("file").first() or self.spark.read.parquet(f"{self.path}/manifest").select("file").first()
-            return self.spark.read.parquet(one[0]).limit(0)
+            return self.spark.read.parquet(f"{self.path}/schema")
         return self.spark.read.parquet(*files)
 
     def count(self) -> int:
