@@ -14,20 +14,24 @@ carried. Texts of any length are read whole. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import binary, table
+from ._common import table
 
 MAX_LEN = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
-
-_BLOCK = b"\0" * 4
+CACHE_WORDS = 250_000
+#: Texts of about this many bytes are packed at once.
+CHUNK_BYTES = 2 << 20
+#: Letters that lower-casing and composition leave letters, then signs.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,|!?;:]*)")
 
 
 def default_tokenizer() -> str:
@@ -40,29 +44,61 @@ class WordTokenizer:
     """Ids as little-endian 32-bit words, by white-space-separated chunk.
 
     The tokenizer's pre-tokenizer never joins what white space separates and its normalizer works on single characters or
-    composed sequences, which white space ends, so a text's ids are its chunks' ids in order. Chunks are encoded once and
-    remembered; the memory is emptied when it holds ``CACHE_WORDS`` chunks.
+    composed sequences, which white space ends, so a text's ids are its chunks' ids in order. A chunk of plain letters
+    with signs behind it is two pre-tokens, so its ids are those of the letters in lower case and of the signs; new letter
+    runs are encoded together and told apart by the end-of-word tokens. Both memories are emptied when they are full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
-        import numpy as np
-
-        words = text.split()
-        known = self.known
-        if new := {w for w in set(words) if w not in known}:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            new = list(new)
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        words, known = text.split(), self.known
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            self._learn({w for w in words if w not in known}, words)
+            return b"".join([self.known[w] for w in words])
+
+    def _one(self, part: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(part.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: set[bytes], words: list[bytes]) -> None:
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = set(words)
+        if len(self.runs) > 2 * CACHE_WORDS:
+            self.runs.clear()
+        plain, runs = [], {}
+        for w in new:
+            if m := _PLAIN.fullmatch(w):
+                run = m[1].lower()
+                plain.append((w, run, m[2]))
+                if run not in self.runs:
+                    runs[run] = None
+            else:
+                self.known[w] = self._one(w)
+        if runs:
+            ids = np.array(self.tokenizer.encode(b" ".join(runs).decode("utf-8"), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(runs) and ends[-1] == len(ids):
+                data, at = ids.tobytes(), 0
+                for run, end in zip(runs, ends, strict=True):
+                    self.runs[run] = data[4 * at : 4 * end]
+                    at = end
+            else:
+                self.runs |= {run: self._one(run) for run in runs}
+        for w, run, signs in plain:
+            if signs and signs not in self.known:
+                self.known[signs] = self._one(signs)
+            self.known[w] = self.runs[run] + self.known[signs] if signs else self.runs[run]
 
 
 def cuts(n: int, max_len: int = MAX_LEN) -> list[tuple[int, int]]:
@@ -87,17 +123,34 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = WordTokenizer(path), end_id.to_bytes(4, "little")
+        rows: list[tuple] = []
+        data: list[bytes] = []
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)]
+            if with_ids:
+                offsets = np.concatenate(([0], np.cumsum([r[2] for r in rows]))).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4"))))
+            rows.clear()
+            data.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
+            size, texts = 0, batch.column(1)
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                text = texts[k].as_buffer()
+                text = text.to_pybytes() if text is not None else b""
                 ids = tok.encode(text) + end
                 n = len(ids) // 4
-                for start, length in cuts(n, max_len):
-                    own = ids[4 * start : 4 * (start + length)]
-                    row = (doc_id, start, length, zlib.crc32(own), n, length.bit_length() - 1)
-                    rows.append(row + ((memoryview(own).cast("I").tolist(),) if with_ids else ()))
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                rows += [(doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, length.bit_length() - 1) for start, length in cuts(n, max_len)]
+                if with_ids:
+                    data.append(ids)
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield flush()
+                    size = 0
+            if rows:
+                yield flush()
 
     spec = ", ".join(f"{n} {k}" for n, k in fields) + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, spec)
