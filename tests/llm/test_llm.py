@@ -21,7 +21,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "name", 7) for i, t in enumerate(TEXTS)] + [(5, TEXTS[5], "again", 7), (40, TEXTS[10], "copy", 1), (None, TEXTS[11], "none", 1), (None, None, "none", 1)]
+    rows = [(i, t, "name", 7) for i, t in enumerate(TEXTS)] + [(5, TEXTS[5], "again", 7), (40, TEXTS[10], "copy", 1), (40, TEXTS[10] + " and more of it", "same id", 1), (40, "words of its own only", "same id", 1), (None, TEXTS[11], "none", 1), (None, None, "none", 1)]
     return spark.createDataFrame(rows, "doc_id long, text string, bucket string, score int").repartition(3)
 
 

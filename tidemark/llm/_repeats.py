@@ -103,10 +103,11 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 class Deal:
-    """The documents dealt into buckets, and for each bucket the ids of its texts that an earlier id has word for word.
+    """The documents dealt into buckets, and for each bucket the marks of its texts that an earlier id has word for word.
 
-    ``notes`` has rows (bucket, id, data): a copy's id, or shared keys packed into ``data``. Copies are whole repeats: they
-    send nothing and lose every window, so a large group of copies costs one row of ids each.
+    ``notes`` has rows (bucket, mark, data): a copy's mark, or shared keys packed into ``data``. A mark is a hash of text and
+    id, so rows that share an id but not the text are told apart. Copies are whole repeats: they send nothing and lose every
+    window, so a large group of copies costs one row of marks each.
     """
 
     def __init__(self, docs: DataFrame):
@@ -115,12 +116,12 @@ class Deal:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(least, -(-size // BUCKET_BYTES))
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        own = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+        own = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).withColumn("mark", F.xxhash64("text", "doc_id"))
         self.rows = own.repartition(max(least, -(-size // PARTITION_BYTES)), "bucket")
         # New names for columns, so that a bucket's own rows can meet its notes.
-        named = own.select(F.expr("bucket + 0").cast("int").alias("bucket"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.md5("text").alias("name"))
+        named = own.select(F.expr("bucket + 0").cast("int").alias("bucket"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "mark", F.md5("text").alias("name"))
         first = named.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("name", "least")
-        self.copies = named.join(first, "name").filter("id > least").select(F.expr("bucket + 0").cast("int").alias("bucket"), "id", F.lit(None).cast("binary").alias("data"))
+        self.copies = named.join(first, "name").filter("id > least").select(F.expr("bucket + 0").cast("int").alias("bucket"), F.expr("mark + 0").alias("mark"), F.lit(None).cast("binary").alias("data"))
         # A key is cut to as many bits as keep chance meetings rare; they would cost work, not correctness.
         self.shift = 64 - min(64, max(40, size.bit_length() + 12))
         self.parts = max(least, -(-size // (16 << 20)))
@@ -169,10 +170,10 @@ class Deal:
             full = every * _U(parts) + _U(group["part"][0].as_py())
             ends = np.cumsum([len(k) for k in keys])
             data = [full[e - len(k) : e][good[e - len(k) : e]].tobytes() for k, e in zip(keys, ends.tolist(), strict=True)]
-            return pa.table({"bucket": group["bucket"].combine_chunks(), "id": pa.nulls(len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+            return pa.table({"bucket": group["bucket"].combine_chunks(), "mark": pa.nulls(len(data), pa.int64()), "data": pa.array(data, pa.binary())})
 
         sent = self.rows.groupBy("bucket").cogroup(self.copies.groupBy("bucket")).applyInArrow(send, "bucket int, part int, keys binary, several binary")
-        return sent.groupBy("part").applyInArrow(meet, "bucket int, id long, data binary").filter("octet_length(data) > 0").union(self.copies)
+        return sent.groupBy("part").applyInArrow(meet, "bucket int, mark long, data binary").filter("octet_length(data) > 0").union(self.copies)
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
@@ -193,8 +194,8 @@ def known_keys(notes: pa.Table) -> np.ndarray:
 
 def copied(group: pa.Table, notes: pa.Table) -> np.ndarray:
     """Which rows of the bucket are copies of an earlier text."""
-    ids = notes["id"].drop_null().to_numpy().astype(np.int64)
-    return np.isin(_ids(group["doc_id"]), ids) if len(ids) else np.zeros(group.num_rows, bool)
+    marks = notes["mark"].drop_null().to_numpy().astype(np.int64)
+    return np.isin(group["mark"].to_numpy(), marks) if len(marks) else np.zeros(group.num_rows, bool)
 
 
 def unrepeated(group: pa.Table, notes: pa.Table) -> Iterator[tuple[list[int], np.ndarray, list[bytes]]]:

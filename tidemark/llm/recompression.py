@@ -164,12 +164,12 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = deal.rows.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(candidates, "bucket int, name long, tag int, low long, high long")
     # Rows of a window: one a bucket at most.
     least = F.min("low").over(Window.partitionBy("name", "tag"))
-    earlier = rows.select("bucket", "name", "tag", "high", least.alias("least")).filter("least < high").select("bucket", "name", "tag", "least", F.lit(None).cast("long").alias("id"))
-    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("tag", "int"), ("least", "long"))], "id")
+    earlier = rows.select("bucket", "name", "tag", "high", least.alias("least")).filter("least < high").select("bucket", "name", "tag", "least", F.lit(None).cast("long").alias("mark"))
+    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("tag", "int"), ("least", "long"))], "mark")
 
     def cut(group: pa.Table, windows: pa.Table) -> pa.Table:
         ids, texts, whole = _ids(group["doc_id"]), binary(group["text"]), copied(group, windows)
-        windows = windows.filter(pc.is_null(windows["id"]))
+        windows = windows.filter(pc.is_null(windows["mark"]))
         name, tag, least = (windows[c].to_numpy() for c in ("name", "tag", "least"))
         # Both parts of a window's name as one sortable value of 64 bits, told apart by the tag afterwards.
         order = np.lexsort((tag, name.view(np.uint64)))

@@ -246,7 +246,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def cut(group: pa.Table, runs: pa.Table) -> pa.Table:
         ids, texts, whole = _ids(group["doc_id"]), binary(group["text"]), copied(group, runs)
-        runs = runs.filter(pc.is_null(runs["id"]))
+        runs = runs.filter(pc.is_null(runs["mark"]))
         names = runs["name"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(names)
         names, at, count, least = names[order], *(runs[c].to_numpy()[order] for c in ("at", "count", "least"))
@@ -276,8 +276,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         columns = {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.binary() if c == "kept" else pa.int64()) for c, v in out.items()}
         return pa.table({"doc_id": group["doc_id"].combine_chunks()} | columns)
 
-    runs = runs.withColumn("id", F.lit(None).cast("long"))
-    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("at", "int"), ("count", "int"), ("least", "long"))], "id")
+    runs = runs.withColumn("mark", F.lit(None).cast("long"))
+    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("at", "int"), ("count", "int"), ("least", "long"))], "mark")
     result = deal.rows.groupBy("bucket").cogroup(runs.union(copies).groupBy("bucket")).applyInArrow(cut, RESULT)
     return result if with_text else result.drop("kept")
 
