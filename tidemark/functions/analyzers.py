@@ -63,10 +63,43 @@ REGISTRY: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def register(name: str, kind: str, lower: bool = True, **options) -> None:
-    """A tokenizer of one's own: kind is ngram, regex, simple or source_code."""
+def _folds() -> tuple[str, str]:
+    """Latin letters with marks and the plain letters they decompose to, by Unicode's own decompositions."""
+    import unicodedata
+
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    kept = [(a, b) for a, b in pairs if a != b and b.isascii() and b.isalpha()]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+def ascii_folding(c: Column) -> Column:
+    """Letters with marks become plain ones; ligatures two letters."""
+    c = F.translate(c, *_folds())
+    for a, b in (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L"), ("đ", "d"), ("Đ", "D")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+FILTERS: dict[str, Callable[[Column], Column]] = {
+    "remove_long": _short,
+    "lower_caser": lambda tokens: F.transform(tokens, F.lower),
+    "ascii_folding": lambda tokens: F.transform(tokens, ascii_folding),
+}
+
+
+def register(name: str, kind: str, lower: bool = True, filters: tuple[str, ...] = (), **options) -> None:
+    """A tokenizer of one's own: kind is ngram, regex, simple or source_code; ``filters`` change its tokens in order."""
+    if unknown := set(filters) - set(FILTERS):
+        raise ValueError(f"unknown token filters {sorted(unknown)}")
     make = {"ngram": lambda: ngram(options["min_gram"], options["max_gram"], options.get("prefix_only", False)), "regex": lambda: regex(options["pattern"]), "simple": lambda: default, "source_code": lambda: source_code}[kind]()
-    REGISTRY[name] = (lambda c: make(F.lower(c))) if lower else make
+
+    def tokens(c: Column) -> Column:
+        out = make(F.lower(c) if lower else c)
+        for f in filters:
+            out = FILTERS[f](out)
+        return out
+
+    REGISTRY[name] = tokens
 
 
 def analyze(name: str, c: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import analyzers
+from ..functions.addresses import ip_key, literal_key
 from ..functions.datetimes import parse_literal
 from ..plans import ast as A
 from ..plans.dsl import resolve
@@ -80,13 +81,15 @@ class Compiler:
                 own = _safe(own) | _safe(c.try_cast("double") == float(text))
             return _safe(own)
         c = F.col(f"`{column}`")
-        if field.type == "text":
+        if field.type in ("text", "concatenate"):
             if field.array:
                 return _safe(F.array_contains(c, str(node.value)))
             if field.tokenizer == "raw":
                 return _safe(c == str(node.value))
             return _safe(F.array_contains(self.tokens(node.field)[0], str(node.value)))
         value = self.literal(field, node.value)
+        if field.type == "ip":
+            c = F.transform(c, ip_key) if field.array else ip_key(c)
         return F.lit(False) if value is None else _safe(F.array_contains(c, value) if field.array else c == value)
 
     @staticmethod
@@ -102,6 +105,8 @@ class Compiler:
                 return F.lit({"true": True, "false": False}[str(value).lower()])
             if field.type == "datetime":
                 return parse_literal(value, field.precision, format)
+            if field.type == "ip":
+                return F.lit(literal_key(str(value)))
         except (ValueError, KeyError, OverflowError):
             return None
         return F.lit(str(value))
@@ -139,7 +144,7 @@ class Compiler:
         if not found:
             return F.lit(False)
         field, _, path = found
-        if field.type != "text" and not path:
+        if field.type not in ("text", "concatenate") and not path:
             value = self.literal(field, node.text)
             if value is None:
                 if node.lenient or node.mode == "phrase_or_and":
@@ -195,9 +200,10 @@ class Compiler:
                 raise ValueError(f"{b[0]!r} is not a {field.type}")
             bounds.append(None if b is None else (value, b[1]))
         c = F.col(f"`{column}`")
+        key = ip_key if field.type == "ip" else (lambda x: x)
         if field.array:
-            return _safe(F.exists(c, lambda x: _between(x, *bounds)))
-        return _safe(_between(c, *bounds))
+            return _safe(F.exists(c, lambda x: _between(key(x), *bounds)))
+        return _safe(_between(key(c), *bounds))
 
     def on_wildcard(self, node: A.Wildcard) -> Column:
         if not self.mapping.find(node.field):

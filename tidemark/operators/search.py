@@ -85,9 +85,13 @@ def matching(df: DataFrame, request: SearchRequest, mapping: Mapping) -> DataFra
 
 def search(df: DataFrame, request: SearchRequest, mapping: Mapping) -> DataFrame:
     """One page of hits."""
+    return page(matching(df, request, mapping), request)
+
+
+def page(df: DataFrame, request: SearchRequest) -> DataFrame:
+    """One page of rows that match."""
     if not (0 <= request.size <= MOST and 0 <= request.start <= MOST):
         raise ValueError(f"size and start lie between 0 and {MOST}")
-    df = matching(df, request, mapping)
     if request.after is not None:
         df = df.filter(keyset(request.sort, request.tie, request.after))
     if request.sort or request.tie:
@@ -101,8 +105,7 @@ def search(df: DataFrame, request: SearchRequest, mapping: Mapping) -> DataFrame
 
 def hits(df: DataFrame, request: SearchRequest, mapping: Mapping, index: str = "", count: bool = True) -> dict[str, Any]:
     """The response envelope; the total costs a second pass and can be left out."""
-    page = search(df, request, mapping)
-    rows = [r.asDict(True) for r in page.collect()]
+    rows = [r.asDict(True) for r in search(df, request, mapping).collect()]
     total = matching(df, request, mapping).count() if count else len(rows)
     return {"hits": {"total": {"value": total, "relation": "eq" if count else "gte"}, "hits": [{"_index": index, "_source": r, "sort": [r.get(f) for f, _ in request.sort]} for r in rows]}}
 

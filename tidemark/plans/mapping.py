@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Field:
-    """type: text, i64, u64, f64, bool, datetime, ip, bytes, json. ``precision`` cuts datetime bounds (s, ms, us)."""
+    """type: text, i64, u64, f64, bool, datetime, ip, bytes, json, concatenate.
+
+    ``precision`` cuts datetime bounds (s, ms, us). A concatenate field holds the tokens of the fields in ``of``, by its own
+    tokenizer. ``formats`` are the date patterns or the byte encoding (hex, base64) of the input.
+    """
 
     type: str
     tokenizer: str = "default"
@@ -20,16 +24,21 @@ class Field:
     precision: str = "us"
     path: str | None = None
     array: bool = False
+    of: tuple[str, ...] = ()
+    formats: tuple[str, ...] = ()
+    with_dynamic: bool = False
 
 
 @dataclass
 class Mapping:
-    """mode: strict (unknown fields are errors), lenient or dynamic (unknown fields match nothing)."""
+    """mode: strict (unknown fields are errors), lenient (unknown fields match nothing) or dynamic: unknown fields are looked
+    up as paths in the column ``source``, the document's JSON text, and match nothing where there is no such column."""
 
     fields: dict[str, Field] = field(default_factory=dict)
     mode: str = "dynamic"
     default_fields: tuple[str, ...] = ()
     timestamp: str | None = None
+    source: str | None = None
 
     @classmethod
     def infer(cls, df: DataFrame, **known: Field) -> Mapping:
@@ -48,8 +57,12 @@ class Mapping:
         parts = name.split(".")
         for k in range(len(parts) - 1, 0, -1):
             top = ".".join(parts[:k])
-            if top in self.fields and self.fields[top].type == "json":
+            if top in self.fields:
+                if self.fields[top].type != "json":
+                    return None
                 return self.fields[top], self.fields[top].path or top, "$." + ".".join(parts[k:])
+        if self.mode == "dynamic" and self.source and not any(n.startswith(name + ".") for n in self.fields):
+            return Field("json"), self.source, "$." + name
         if self.mode == "strict":
             raise KeyError(f"unknown field {name}")
         return None

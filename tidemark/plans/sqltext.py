@@ -29,3 +29,8 @@ def run(spark: SparkSession, text: str) -> DataFrame | None:
     for s in statements(text):
         out = spark.sql(s)
     return out
+
+
+def explain(df: DataFrame, mode: str = "formatted") -> str:
+    """The plan as text."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)

@@ -10,14 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.config import MergePolicy
+
 MOST_TAG_VALUES = 1000
+#: How files are written: compression, and row groups and pages small enough to skip within a file.
+WRITE = {"compression": "zstd", "parquet.block.size": str(64 << 20), "parquet.page.size": str(1 << 20)}
 
 
 class Index:
-    """An index under ``path``: ``data/`` holds the files, ``manifest/`` a row for each."""
+    """An index under ``path``: ``data/`` holds the files, ``manifest/`` a row for each.
+
+    ``sort`` orders the rows of each file, and Bloom filters on ``bloom`` columns let a scan skip row groups by equality.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, timestamp: str | None = None, tags: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, path: str, timestamp: str | None = None, tags: tuple[str, ...] = (), sort: tuple[str, ...] = (), bloom: tuple[str, ...] = ()):
         self.spark, self.path, self.timestamp, self.tags = spark, path.rstrip("/"), timestamp, tags
+        self.sort, self.bloom = sort, bloom
+        self.options = WRITE | {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom} | {f"parquet.bloom.filter.fpp#{c}": "0.05" for c in bloom}
 
     @property
     def data(self) -> str:
@@ -32,26 +41,31 @@ class Index:
         fs, p = self._path(f"{self.path}/{name}")
         return fs.exists(p)
 
-    def append(self, df: DataFrame, files: int | None = None) -> None:
+    def append(self, df: DataFrame, files: int | None = None, merges: int = 0) -> None:
         """Write the rows, then their manifest entries: a reader never sees files that the manifest lacks."""
         import uuid
 
         self.remember(df)
         batch = f"{self.data}/batch={uuid.uuid4().hex}"
-        (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(batch)
-        self.describe(batch).write.mode("append").parquet(f"{self.path}/manifest")
+        self.write(df.coalesce(files) if files else df, batch)
+        self.describe(batch, merges).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def write(self, df: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+        own = df.sortWithinPartitions(*self.sort) if self.sort else df
+        own.write.mode(mode).options(**self.options).parquet(folder)
 
     def remember(self, df: DataFrame) -> None:
         """Keep the schema, for an index whose files are all gone."""
         if not self.exists("schema"):
-            df.limit(0).write.parquet(f"{self.path}/schema")
+            self.spark.createDataFrame([], df.schema).write.parquet(f"{self.path}/schema")
 
-    def describe(self, folder: str) -> DataFrame:
-        """Manifest rows of the files in a folder."""
+    def describe(self, folder: str, merges: int = 0) -> DataFrame:
+        """Manifest rows of the files in a folder; ``merges`` is how often their rows were merged."""
         df = self.spark.read.parquet(folder)
         t = F.col(self.timestamp).cast("timestamp") if self.timestamp else F.lit(None).cast("timestamp")
         aggs = [F.count("*").alias("num_docs"), F.min(t).alias("time_start"), F.max(t).alias("time_end")]
         aggs += [F.when(F.approx_count_distinct(c) <= MOST_TAG_VALUES, F.array_sort(F.collect_set(F.col(c).cast("string")))).alias(f"tag_{c}") for c in self.tags]
+        aggs += [F.first("_metadata.file_size").alias("bytes"), F.current_timestamp().alias("created"), F.lit(merges).alias("merges")]
         return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(*aggs)
 
     def manifest(self) -> DataFrame:
@@ -90,12 +104,22 @@ class Index:
         limit = F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(period_seconds))
         self.remove(self.manifest().filter(F.col("time_end") <= limit))
 
-    def rewrite(self, old: DataFrame, rows: DataFrame) -> None:
+    def rewrite(self, old: DataFrame, rows: DataFrame, merges: int = 0) -> None:
         """Replace files by rows: the new files first, then the tombstones."""
         files = self.spark.createDataFrame(old.select("file").collect(), T.StructType([T.StructField("file", T.StringType())]))
-        self.append(rows)
+        self.append(rows, merges=merges)
         self.remove(files)
 
+    def merge(self, policy: MergePolicy, now=None) -> int:
+        """Merge files as the policy plans; returns how many were merged. Each group becomes one file."""
+        own = self.manifest().withColumn("age", F.unix_seconds(F.lit(now).cast("timestamp") if now else F.current_timestamp()) - F.unix_seconds("created"))
+        rows = [r.asDict() for r in own.select("file", "num_docs", "merges", "age", "time_end").collect()]  # file entries, not rows
+        plan = plan_policy(rows, policy)
+        for group in plan:
+            files = [r["file"] for r in group]
+            self.rewrite(self.spark.createDataFrame([(f,) for f in files], "file string"), self.spark.read.parquet(*files).coalesce(1), 1 + max(r["merges"] for r in group))
+        return sum(len(g) for g in plan)
+
     def delete(self, condition) -> None:
         """Delete by query: files with matches are written again without them."""
         df = self.spark.read.parquet(*[r[0] for r in self.manifest().select("file").collect()])
@@ -124,6 +148,38 @@ class Index:
         return n
 
 
+def plan_policy(files: list[dict], policy: MergePolicy) -> list[list[dict]]:
+    """Groups of files to merge. Mature files are left alone.
+
+    stable_log: files of one level of size, the level growing by the merge factor from ``min_level_num_docs`` on, newest
+    first. limit_merge: files that underwent as many merges. A group has ``merge_factor`` files at least and
+    ``max_merge_factor`` at most.
+    """
+    if policy.kind == "no_merge":
+        return []
+    if policy.kind not in ("stable_log", "limit_merge"):
+        raise ValueError(f"unknown merge policy {policy.kind}")
+    levels: dict[int, list[dict]] = {}
+    for r in files:
+        if r["age"] is not None and r["age"] >= policy.maturation_seconds:
+            continue
+        if policy.kind == "limit_merge":
+            if r["merges"] < policy.max_merge_ops:
+                levels.setdefault(r["merges"], []).append(r)
+            continue
+        level, bound = 0, policy.min_level_num_docs
+        while r["num_docs"] >= bound:
+            level, bound = level + 1, bound * policy.merge_factor
+        levels.setdefault(level, []).append(r)
+    out = []
+    for own in levels.values():
+        own.sort(key=lambda r: (str(r["time_end"]), r["file"]), reverse=True)
+        while len(own) >= policy.merge_factor:
+            out.append(own[: policy.max_merge_factor])
+            own = own[policy.max_merge_factor :]
+    return out
+
+
 def plan_merges(files: list[tuple[str, int]], target: int, least: int = 2, most: int = 12) -> list[list[str]]:
     """Groups of files to merge: small ones first, up to ``most`` a group and about ``target`` rows."""
     out: list[list[str]] = []

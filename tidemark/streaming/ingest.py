@@ -32,7 +32,7 @@ def ingest(stream: DataFrame, index: Index, checkpoint: str, transforms: dict[st
         if accept_since and index.timestamp:
             good = good.filter(F.col(index.timestamp) >= F.expr(accept_since))
         index.remember(good)
-        good.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+        index.write(good, folder, "overwrite")
         index.describe(folder).write.mode("append").parquet(f"{index.path}/manifest")
         if CORRUPT in batch.columns:
             batch.unpersist()
