@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analyzers, datetimes, sketch
-from .operators import aggs, discovery
+from .operators import aggs, discovery, docs, scoring, traces
 from .operators.filter import compile_query
-from .operators.search import SearchRequest, bm25, keyset, search
+from .operators.search import Scroll, SearchRequest, bm25, keyset, search, snippet, union_indexes
 from .plans import ast as A
 from .plans.dsl import lower
 from .plans.mapping import Field, Mapping
 from .plans.querystring import parse
+from .sources import metrics
+from .sources.catalog import Index
+from .sources.connect import open_source
+from .streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 EVENTS = Mapping({"event_id": Field("i64"), "ts": Field("datetime"), "user_id": Field("i64"), "event_type": Field("text", "raw"), "value": Field("f64"), "props": Field("json")}, default_fields=("event_type",), timestamp="ts")
@@ -117,7 +121,7 @@ _agg("agg_histogram", {"h": {"histogram": {"field": "value", "interval": 50}}},
 _agg("agg_histogram_bounds", {"h": {"histogram": {"field": "value", "interval": 100, "extended_bounds": {"min": -200, "max": 100}}}}, "h", "WITH g AS (SELECT CAST(floor(value / 100) * 100 AS DOUBLE) AS h, count(*) AS n FROM events GROUP BY 1), e AS (SELECT CAST(unnest(range(least(-2, CAST(min(h) / 100 AS BIGINT)), greatest(1, CAST(max(h) / 100 AS BIGINT)) + 1)) * 100 AS DOUBLE) AS h FROM g) SELECT h, coalesce(n, 0) AS doc_count FROM e LEFT JOIN g USING (h)")
 _agg("agg_date_histogram", {"d": {"date_histogram": {"field": "ts", "fixed_interval": "30d", "offset": "-4d", "min_doc_count": 1}}}, "d", "SELECT CAST(floor((epoch_ms(ts) + 345600000) / 2592000000) * 2592000000 - 345600000 AS BIGINT) AS d, count(*) AS doc_count FROM events GROUP BY 1")
 _agg("agg_date_histogram_gapfill", {"d": {"date_histogram": {"field": "ts", "fixed_interval": "6h"}}}, "d", "WITH g AS (SELECT epoch_ms(ts) // 21600000 AS k, count(*) AS n FROM events WHERE user_id = 17 GROUP BY 1), e AS (SELECT unnest(range(min(k), max(k) + 1)) AS k FROM g) SELECT k * 21600000 AS d, coalesce(n, 0) AS doc_count FROM e LEFT JOIN g USING (k)", lambda s, d: table(s, d, "events").filter("user_id = 17"))
-_agg("agg_range", {"r": {"range": {"field": "value", "ranges": [{"to": 20}, {"from": 20, "to": 80}, {"from": 80, "key": "high"}, {"from": 1e9}]}}}, "r", "SELECT * FROM (SELECT '*-20.0' AS r, count(*) FILTER (value < 20) AS doc_count FROM events UNION ALL SELECT '20.0-80.0', count(*) FILTER (value >= 20 AND value < 80) FROM events UNION ALL SELECT 'high', count(*) FILTER (value >= 80) FROM events UNION ALL SELECT '1000000000.0-*', count(*) FILTER (value >= 1e9) FROM events)")
+_agg("agg_range", {"r": {"range": {"field": "value", "ranges": [{"to": 20}, {"from": 20, "to": 80}, {"from": 80, "to": 1e9, "key": "high"}, {"from": 1e9}]}}}, "r", "SELECT * FROM (SELECT '*-20.0' AS r, count(*) FILTER (value < 20) AS doc_count FROM events UNION ALL SELECT '20.0-80.0', count(*) FILTER (value >= 20 AND value < 80) FROM events UNION ALL SELECT 'high', count(*) FILTER (value >= 80 AND value < 1e9) FROM events UNION ALL SELECT '1000000000.0-*', count(*) FILTER (value >= 1e9) FROM events)")
 _COMPOSITE = [{"kind": {"terms": {"field": "event_type"}}}, {"v": {"histogram": {"field": "value", "interval": 100}}}]
 _agg("agg_composite_page1", {"c": {"composite": {"sources": _COMPOSITE, "size": 5}}}, "c", "SELECT event_type AS c_kind, CAST(floor(value / 100) * 100 AS DOUBLE) AS c_v, count(*) AS doc_count FROM events GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 5")
 _agg("agg_composite_after", {"c": {"composite": {"sources": [{"kind": {"terms": {"field": "event_type"}}}, {"v": {"terms": {"field": "value", "missing_bucket": True}}}], "size": 8, "after": {"kind": "click", "v": None}}}}, "c", f"SELECT event_type AS c_kind, {_NULLED} AS c_v, count(*) AS doc_count FROM events GROUP BY 1, 2 HAVING c_kind > 'click' OR (c_kind = 'click' AND c_v IS NOT NULL) ORDER BY 1, 2 NULLS FIRST LIMIT 8", _nulled)
@@ -208,6 +212,118 @@ _sql_query("metrics_filter_clause", "SELECT event_type, count(*) FILTER (WHERE v
 _sql_query("metrics_inlist_group", "SELECT event_type, user_id, max(value) AS m FROM events WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00' GROUP BY event_type, user_id", ("events",), "SELECT event_type, user_id, max(value) AS m FROM events WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY event_type, user_id")
 
 
+# -- operators on stored indexes: each call writes an index of its own into the shared folder
+
+def _folder(s: SparkSession, name: str) -> str:
+    """A new folder where executors and driver both see it."""
+    import tempfile
+    import uuid
+
+    where = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _indexed(s: SparkSession, d: str, name: str) -> Index:
+    """The events as an index with a file or more for each kind and month."""
+    index = Index(s, _folder(s, name), "ts", ("event_type",), sort=("event_type", "ts"))
+    rows = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    index.append(rows.repartition(16, "event_type", F.month("ts")))
+    return index
+
+
+def _pruned(s: SparkSession, d: str) -> DataFrame:
+    index = _indexed(s, d, "prune")
+    hits = index.scan("2024-01-10", "2024-02-01", {"event_type": ["error"]})
+    return hits.filter("event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-02-01'").select("event_id")
+
+
+def _retained(s: SparkSession, d: str) -> DataFrame:
+    """Files of old and of new events, of which the old ones go."""
+    index = Index(s, _folder(s, "retain"), "ts")
+    rows = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    index.append(rows.filter("ts < TIMESTAMP '2024-01-15'"))
+    index.append(rows.filter("ts >= TIMESTAMP '2024-01-15'"))
+    index.retain("2024-01-16", 86_400)
+    return index.scan().select("event_id")
+
+
+def _deleted(s: SparkSession, d: str) -> DataFrame:
+    index = _indexed(s, d, "delete")
+    index.delete(compile_query(parse("event_type:view AND value:<50", ("event_type",)), EVENTS))
+    return index.scan().select("event_id", "event_type")
+
+
+def _compacted(s: SparkSession, d: str) -> DataFrame:
+    index = _indexed(s, d, "compact")
+    index.compact(1_000_000, ["event_type", "ts"])
+    return index.scan().groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lines in a landing folder, streamed into an index and searched."""
+    where = _folder(s, "stream")
+    table(s, d, "events").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("value")).write.text(f"{where}/in")
+    raw = open_source(s, {"source_type": "file", "params": {"filepath": f"{where}/in"}}, stream=True)
+    mapping = Mapping({"event_id": Field("i64"), "event_type": Field("text", "raw"), "value": Field("f64")})
+    index = Index(s, f"{where}/index")
+    ingest(docs.split(docs.parse(raw, mapping))[0], index, f"{where}/checkpoint").awaitTermination()
+    return search(index.scan(), SearchRequest("event_type:error AND value:>=100", size=10_000, tie="event_id"), mapping).select("event_id", "value")
+
+
+def _scrolled(s: SparkSession, d: str) -> DataFrame:
+    scroll = Scroll(table(s, d, "events"), SearchRequest("event_type:error", sort=[("value", "desc")], size=40, tie="event_id"), EVENTS, _folder(s, "scroll"))
+    scroll.next()
+    return scroll.next().select("event_id", "value")
+
+
+add("prune_tags_time", _pruned, "SELECT event_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-02-01'")
+add("count_metadata", lambda s, d: s.createDataFrame([(_indexed(s, d, "count").count(),)], "n long"), "SELECT count(*) AS n FROM events")
+add("list_splits", lambda s, d: _indexed(s, d, "splits").scan(tags={"event_type": ["view"]}).filter("event_type = 'view'").agg(F.count("*").alias("n"), F.min("ts").cast("timestamp_ntz").alias("first")), "SELECT count(*) AS n, min(ts) AS first FROM events WHERE event_type = 'view'")
+add("retention", _retained, "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+add("delete_by_query", _deleted, "SELECT event_id, event_type FROM events WHERE NOT (event_type = 'view' AND value < 50)")
+add("compact_equivalence", _compacted, "SELECT event_type, count(*) AS n, max(value) AS most FROM events GROUP BY 1")
+add("stream_ingest_then_search", _streamed, "SELECT event_id, value FROM events WHERE event_type = 'error' AND value >= 100 ORDER BY event_id DESC LIMIT 10000")
+add("scroll_page", _scrolled, "SELECT event_id, value FROM events WHERE event_type = 'error' ORDER BY value DESC NULLS LAST, event_id DESC LIMIT 40 OFFSET 40")
+_SOURCE = Mapping({"id": Field("i64"), "kind": Field("text", "raw"), "v": Field("f64"), "at": Field("datetime")}, timestamp="at")
+add("doc_mapping", lambda s, d: docs.parse(table(s, d, "events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.col("value").alias("v"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))).alias("value")), _SOURCE).select("id", "kind", "v", F.unix_seconds("at").alias("at"), "_error"), "SELECT event_id AS id, event_type AS kind, value AS v, CAST(floor(epoch(ts)) AS BIGINT) AS at, CAST(NULL AS VARCHAR) AS _error FROM events")
+add("dynamic_fields", lambda s, d: table(s, d, "events").withColumn("_source", F.to_json(F.struct(F.struct(F.col("user_id").alias("id")).alias("user")))).filter(compile_query(parse("user.id:17"), Mapping({}, source="_source"))).select("event_id"), "SELECT event_id FROM events WHERE user_id = 17")
+add("search_ip_range", lambda s, d: table(s, d, "events").withColumn("ip", F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".7"))).filter(compile_query(parse("ip:[10.0.9.0 TO 10.0.20.255]"), Mapping({"ip": Field("ip")}))).select("event_id"), "SELECT event_id FROM events WHERE user_id % 256 BETWEEN 9 AND 20")
+_ALL = Field("concatenate", array=True, of=("event_type", "user_id"))
+add("search_concatenate", lambda s, d: table(s, d, "events").withColumn("all", docs.concatenated("all", _ALL, EVENTS)).filter(compile_query(parse("all:(error 17)", operator="and"), Mapping({"all": _ALL}))).select("event_id"), "SELECT event_id FROM events WHERE event_type = 'error' AND user_id = 17")
+add("score_bool_boost", lambda s, d: scoring.scored(table(s, d, "documents"), parse("text:instan^2 OR lang:fr^3", operator="or"), DOCUMENTS).select("doc_id", F.round("_score", 6).alias("score")), f"""
+WITH t AS (SELECT doc_id, lang, {TOKENS} AS t FROM documents), f AS (SELECT doc_id, lang, len(t) AS n, len(list_filter(t, lambda x: x = 'instan')) AS a FROM t),
+s AS (SELECT count(*) AS c, avg(n) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (lang = 'fr') AS dl FROM f)
+SELECT doc_id, round(2 * ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + CASE WHEN lang = 'fr' THEN 3 * ln(1 + (c - dl + 0.5) / (dl + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75)) ELSE 0 END, 6) AS score FROM f, s WHERE a > 0 OR lang = 'fr'""")
+add("snippets", lambda s, d: table(s, d, "documents").filter(F.array_contains(analyzers.default(F.col("text")), "instan")).select("doc_id", snippet("text", ["instan"]).contains("<b>").alias("marked")), f"SELECT doc_id, true AS marked FROM documents WHERE {_has('instan')}")
+add("multi_index", lambda s, d: union_indexes({"n-a": table(s, d, "nation").select(F.col("n_name").alias("name")), "n-b": table(s, d, "region").select(F.col("r_name").alias("name"), F.lit(1).alias("extra")), "x": s.range(1)}, "n-*,-x").select("_index", "name", F.col("extra").cast("long").alias("extra")), "SELECT 'n-a' AS _index, n_name AS name, CAST(NULL AS BIGINT) AS extra FROM nation UNION ALL SELECT 'n-b', r_name, 1 FROM region")
+
+
+def _spans(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as traces: a turn is a span."""
+    start = F.col("conv_id") * 1000 + F.col("turn")
+    return table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("trace_id"), F.concat_ws("-", "conv_id", "turn").alias("span_id"), F.col("role").alias("service_name"), F.lit("turn").alias("span_name"), start.alias("span_start_timestamp_nanos"), (start + 1).alias("span_end_timestamp_nanos"), F.length("text").alias("span_duration_millis"), (F.col("turn") == 0).alias("is_root"), F.lit(1).alias("status_code"), F.create_map(F.lit("role"), "role").alias("attributes"), F.create_map(F.lit("a"), F.lit("b")).alias("resource_attributes"))
+
+
+add("trace_find_by_tags", lambda s, d: traces.find_trace_ids(_spans(s, d), traces.TraceQuery(tags={"role": "assistant"}, shortest=40, limit=15)).select("trace_id", "latest"), "SELECT CAST(conv_id AS VARCHAR) AS trace_id, max(conv_id * 1000 + turn) AS latest FROM conversations WHERE role = 'assistant' AND length(text) >= 40 GROUP BY conv_id ORDER BY 2 DESC, 1 LIMIT 15")
+add("trace_summaries", lambda s, d: traces.summaries(_spans(s, d)).select("trace_id", "n_spans", "n_services"), "SELECT CAST(conv_id AS VARCHAR) AS trace_id, count(*) AS n_spans, count(DISTINCT role) AS n_services FROM conversations GROUP BY conv_id")
+
+
+def _partial(s: SparkSession, d: str) -> DataFrame:
+    """Metric files whose tags differ, read under a declared schema."""
+    where = _folder(s, "metrics")
+    points = _points(s, d).select(F.col("event_type").alias("metric_name"), F.lit(0).cast("smallint").alias("metric_type"), F.col("t").alias("timestamp_secs"), "value", F.col("user_id").cast("string").alias("host"))
+    points.filter("metric_name = 'click'").write.parquet(f"{where}/a")
+    points.filter("metric_name = 'view'").drop("host").write.parquet(f"{where}/b")
+    return metrics.read_table(s, [f"{where}/a", f"{where}/b"], declared="metric_name string, timestamp_secs bigint, value double, host string, env string")
+
+
+add("metrics_partial_schema", lambda s, d: _partial(s, d).groupBy("metric_name").agg(F.count("*").alias("n"), F.count("host").alias("with_host"), F.count("env").alias("with_env")), "SELECT event_type AS metric_name, count(*) AS n, CASE WHEN event_type = 'click' THEN count(*) ELSE 0 END AS with_host, CAST(0 AS BIGINT) AS with_env FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+_sql_query("metrics_time_range", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS v FROM events WHERE ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-20 00:00:00' GROUP BY event_type", ("events",), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY event_type")
+add("agg_range_open_ends", lambda s, d: aggs.aggregate(table(s, d, "events"), {"r": {"range": {"field": "value", "ranges": [{"from": 20, "to": 80}]}}})["r"], "SELECT * FROM (SELECT '*-20.0' AS r, count(*) FILTER (value < 20) AS doc_count FROM events UNION ALL SELECT '20.0-80.0', count(*) FILTER (value >= 20 AND value < 80) FROM events UNION ALL SELECT '80.0-*', count(*) FILTER (value >= 80) FROM events)")
+_agg("agg_metrics", {"a": {"avg": {"field": "value"}}, "s": {"sum": {"field": "value", "missing": 2}}, "n": {"value_count": {"field": "value"}}}, "", f"SELECT round(avg({_NULLED}), 4) AS a, round(sum(coalesce({_NULLED}, 2)), 4) AS s, count({_NULLED}) AS n FROM events", _nulled, rounded=("a", "s"))
+add("partition_overflow", lambda s, d: docs.partitioned(table(s, d, "events"), F.col("event_type"), 3).groupBy(F.when(F.col("_partition") == 0, "OTHER").otherwise(F.col("event_type")).alias("part")).agg(F.count("*").alias("n")), "WITH k AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC) AS i FROM k) SELECT CASE WHEN i <= 3 THEN event_type ELSE 'OTHER' END AS part, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

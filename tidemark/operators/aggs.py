@@ -6,6 +6,7 @@ each metric below it. Results are exact: there is no shard size and no error bou
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from typing import Any
 
@@ -113,8 +114,17 @@ def _key(df: DataFrame, kind: str, body: dict, name: str) -> DataFrame:
 
 
 def range_parts(body: dict) -> list[tuple[str, Column, float | None, float | None]]:
+    """The buckets [from, to), and those below the first and above the last, so that every value has one."""
     c, out = _value(body).cast("double"), []
-    for r in body["ranges"]:
+    ranges = sorted(body["ranges"], key=lambda r: float("-inf") if r.get("from") is None else r["from"])
+    for a, b in zip(ranges, ranges[1:], strict=False):
+        if b.get("from") is None or a.get("to") is None or b["from"] < a["to"]:
+            raise AggError("ranges overlap")
+    if ranges and ranges[0].get("from") is not None:
+        ranges.insert(0, {"to": ranges[0]["from"]})
+    if ranges and ranges[-1].get("to") is not None:
+        ranges.append({"from": ranges[-1]["to"]})
+    for r in ranges:
         low, high = r.get("from"), r.get("to")
         key = r.get("key") or f"{'*' if low is None else float(low)}-{'*' if high is None else float(high)}"
         inside = c.isNotNull()
@@ -285,6 +295,8 @@ def _nest(flat: dict, request: dict, outer: dict, path: str) -> dict:
         buckets = []
         for x in rows if kind not in ("histogram", "date_histogram") else sorted(rows, key=lambda x: x[name]):
             b: dict[str, Any] = {"key": {k[len(name) + 1 :]: x[k] for k in keys} if kind == "composite" else x[name], "doc_count": x["doc_count"]}
+            if kind == "date_histogram":
+                b["key_as_string"] = dt.datetime.fromtimestamp(x[name] / 1000, dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
             for n, s in subs.items():
                 if split_request(s)[0] in METRICS - {"top_hits"}:
                     b[n] = {k[len(n) :].lstrip("_") or "value": v for k, v in x.items() if k == n or k.startswith(n + "_")}
@@ -292,5 +304,5 @@ def _nest(flat: dict, request: dict, outer: dict, path: str) -> dict:
             b |= _nest(flat, nested, outer | {k: x[k] for k in keys}, f"{path}{name}>")
             buckets.append(b)
         own = {str(b["key"]): b for b in buckets} if body.get("keyed") else buckets
-        out[name] = {"buckets": own} | ({"after_key": buckets[-1]["key"]} if kind == "composite" and buckets else {})
+        out[name] = {"buckets": own} | ({"after_key": buckets[-1]["key"]} if kind == "composite" and buckets else {}) | ({"doc_count_error_upper_bound": 0} if kind == "terms" else {})
     return out
