@@ -140,8 +140,12 @@ def test_packing_round_trip(docs):
 def test_decontamination_in_blocks_equals_one(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, TEXTS[10][:200]), (1, "one two"), (None, "fox jumps"), (4, None), (5, "")], "item_id long, text string")
     one = pairs(decontaminate.contamination(docs, bench), "doc_id", "n_words", "n_hit")
+    bad = sum(h > 0 and 20 * h >= n for _, n, h in one)
+    kept = decontaminate.remove(docs, bench)
+    assert bad and kept.columns == docs.columns and kept.count() == docs.count() - bad
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
     assert pairs(decontaminate.contamination(docs, bench), "doc_id", "n_words", "n_hit") == one
+    assert pairs(decontaminate.remove(docs, bench), "doc_id") == pairs(kept, "doc_id")
     hit = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).collect()}
     assert hit[4] == 2 and hit[1] == 0 and hit[10] > 40
 

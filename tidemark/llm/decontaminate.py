@@ -176,9 +176,21 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in edge.reshape(-1, 2)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, spans: bool = False) -> DataFrame:
+def shards(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in runs of about ``SHARD_WORDS`` words."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) // 4 <= SHARD_WORDS):
+            size += len(texts[end]) // 4
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, spans: bool = False, blocks: list[list[tuple[str, bytes]]] | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, items, longest (words of the longest match) and, on demand, the hit spans; one row a document."""
-    blocks = _blocks(benchmark)
+    blocks = blocks or _blocks(benchmark)
     spark = docs.sparkSession
     several = len(blocks) > 1
     kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("longest", pa.int64())])
@@ -195,13 +207,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spans: bool = False) ->
             for batch in batches:
                 texts, ids, at = binary(batch.column(1)), batch.column(0).to_pylist(), 0
                 copies = batch.column(2).to_pylist() if several else None
-                while at < len(texts):
-                    end, size = at, 0
-                    while end < len(texts) and (end == at or size + len(texts[end]) // 4 <= SHARD_WORDS):
-                        size += len(texts[end]) // 4
-                        end += 1
+                for part in shards(texts):
                     rows = []
-                    for k, (n, hit, found, best) in enumerate(search(texts[at:end], queries), at):
+                    for k, (n, hit, found, best) in enumerate(search(part, queries), at):
                         row = {"doc_id": ids[k], "n_words": n, "n_hit": int(hit.sum()), "items": [queries.names[i] for i in found], "longest": max((b[3] for b in best), default=0)}
                         row["spans"] = [{"start": a, "end": b} for a, b in _runs(hit)] if spans or several else None
                         if several:
@@ -209,7 +217,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spans: bool = False) ->
                         rows.append(row)
                     fields = kinds.append(pa.field("n", pa.int64())).append(pa.field("th", pa.string())) if several else kinds
                     yield pa.RecordBatch.from_pylist(rows, schema=fields)
-                    at = end
+                    at += len(part)
 
         return own.mapInArrow(work, "doc_id long, " + RESULT + ", n long, th string" * several)
 
@@ -228,13 +236,28 @@ CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents. Only the ids and text hashes of those meet the texts.
+    """``docs`` without contaminated documents.
 
-    Equal texts have equal answers, so a text's hash is enough to name it.
+    A benchmark of one block is searched where the rows are, and batches lose their contaminated rows without a shuffle. With
+    more blocks the hits have to meet first; then the hashes of contaminated texts are joined (equal texts have equal
+    answers, so a text's hash is enough to name it).
     """
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    bad = contamination(docs.select(text_hash.alias("doc_id"), "text"), benchmark).filter(CONTAMINATED).select(F.col("doc_id").alias("_h")).distinct()
-    return docs.withColumn("_h", text_hash).join(bad, "_h", "left_anti").select(*docs.columns)
+    blocks = _blocks(benchmark)
+    if len(blocks) > 1:
+        text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+        bad = contamination(docs.select(text_hash.alias("doc_id"), "text"), benchmark, blocks=blocks).filter(CONTAMINATED).select(F.col("doc_id").alias("_h")).distinct()
+        return docs.withColumn("_h", text_hash).join(bad, "_h", "left_anti").select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(blocks[0])  # BLOCK_BYTES at most
+    place = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = Queries(sent.value)
+        for batch in batches:
+            texts = binary(batch.column(place))
+            clean = [not (n_hit and 20 * n_hit >= n) for part in shards(texts) for n, n_hit in ((n, int(hit.sum())) for n, hit, _, _ in search(part, queries))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
