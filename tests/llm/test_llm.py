@@ -29,15 +29,16 @@ def pairs(df, *names):
     return sorted(df.select(*names).collect(), key=repr)
 
 
-def test_fingerprints_and_groups(docs):
-    def brute(text):
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+def brute_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
 
-    rows = [(r.doc_id, brute(r.text)) for r in docs.select("doc_id", "text").collect()]
-    parent = {f: f for _, f in rows}
+def brute_roots(fingerprints):
+    """A function from a fingerprint to the one that stands for its group, by all pairs."""
+    parent = {f: f for f in fingerprints}
 
     def root(f):
         while parent[f] != f:
@@ -48,6 +49,12 @@ def test_fingerprints_and_groups(docs):
         for b in list(parent):
             if bin(a ^ b).count("1") <= 2:
                 parent[root(a)] = root(b)
+    return root
+
+
+def test_fingerprints_and_groups(docs):
+    rows = [(r.doc_id, brute_fingerprint(r.text)) for r in docs.select("doc_id", "text").collect()]
+    root = brute_roots(f for _, f in rows)
     least = {}
     for i, f in rows:
         if i is not None:
@@ -194,3 +201,60 @@ def test_pipeline_stages(spark):
     packed = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert packed and packed <= ids
     assert set(llm.oracle_sql()) <= set(llm.queries())
+
+
+def test_pipeline_against_brute_force(spark):
+    import duckdb
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    good = {r[0] for r in con.sql(f"select doc_id from ({quality_rules.ORACLE_SQL['op7_quality_rules']}) where kept").fetchall()}
+    texts = {i: t for i, t in con.sql("select doc_id, text from documents").fetchall() if i in good}
+
+    marks = {i: brute_fingerprint(t) for i, t in texts.items()}
+    root, first = brute_roots(marks.values()), {}
+    for i in sorted(texts):
+        first.setdefault(root(marks[i]), i)
+    texts = {i: texts[i] for i in first.values()}
+
+    lex = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for (t,) in con.sql(f"select text from '{sf}/benchmark.parquet'").fetchall():
+        w = lex(t)
+        windows |= {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} if w else set()
+    sizes = sorted({len(g) for g in windows})
+
+    def contaminated(t):
+        w = lex(t)
+        hit = {k + j for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for j in range(n)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    texts = {i: t for i, t in texts.items() if not contaminated(t)}
+
+    model = secrets.train(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"))
+
+    def redacted(t):
+        base, added = secrets.find(t, model)
+        gone = {k for s, _, e in base for k in range(s, e)} | {k for s, e in added for k in range(s, e)}
+        assert all({*range(m.start(), m.end())} <= gone for m in re.finditer("[0-9a-f]{24,}", t))
+        out, at = [], 0
+        for s, e in sorted([(s, e) for s, _, e in base] + added):
+            if s >= at:
+                out += [t[at:s], "[SECRET]"]
+            at = max(at, e)
+        return "".join(out) + t[at:]
+
+    tok, want = Tokenizer.from_file(packing.default_tokenizer()), set()
+    for i, t in texts.items():
+        ids = [*tok.encode(redacted(t), add_special_tokens=False).ids, 1]
+        at = 0
+        while at < len(ids):
+            n = min(2048, 1 << (len(ids) - at).bit_length() - 1)
+            want.add((i, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()), len(ids)))
+            at += n
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got} == want and len({r.sequence_id for r in got}) == len(got) == len(want)

@@ -116,12 +116,16 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def fingerprint_components(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of ``rows`` (doc_id, fp)."""
+    """(fp, label, component_id) for the distinct fingerprints of ``rows`` (doc_id, fp).
+
+    ``label`` names the component by its least fingerprint; ``component_id`` is the least id, which two components can share
+    where ids repeat.
+    """
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = components(fingerprint_links(distinct.select("fp"), bucket))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     linked = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return named.select("fp", "label").join(linked, "label").select("fp", "component_id")
+    return named.select("fp", "label").join(linked, "label").select("fp", "label", "component_id")
 
 
 def groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -140,7 +144,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(fingerprints(own, with_hash=True), "fingerprints")
     keys = rows.groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.first("fp").alias("fp"))
-    keys = staged(keys.join(fingerprint_components(rows, bucket).withColumnRenamed("component_id", "c"), "fp").select("doc_id", "th", "n", F.struct(F.col("c").isNull(), F.coalesce("c", "fp")).alias("group")), "keys")
+    keys = staged(keys.join(fingerprint_components(rows, bucket), "fp").select("doc_id", "th", "n", F.col("label").alias("group")), "keys")
     best = keys.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
     judged = staged(keys.join(best, "group").select("doc_id", "th", "n", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))).alias("stays")), "judged")
     tagged = docs.withColumn("_th", text_hash)
