@@ -20,7 +20,7 @@ from .functions import analyzers
 from .functions.datetimes import output
 from .operators import aggs, discovery, docs, scoring
 from .operators.filter import compile_query
-from .operators.search import SearchRequest, matching, page, snippet, to_ast, union_indexes
+from .operators.search import Scroll, SearchRequest, matching, page, snippet, to_ast, union_indexes
 from .plans import ast as A
 from .plans import config as C
 from .plans import sqltext
@@ -195,6 +195,11 @@ class Engine:
         out["elapsed_time_micros"] = int((time.perf_counter() - began) * 1e6)
         return out
 
+    def scroll(self, pattern: str, request: SearchRequest) -> Scroll:
+        """A snapshot of all hits in order, to be read page by page; it lies under ``scrolls/`` until it is deleted."""
+        df, mapping = self.table(pattern)
+        return Scroll(df, request, mapping, f"{self.root}/scrolls/{time.time_ns():x}")
+
     def plan(self, pattern: str, request: SearchRequest | None = None) -> str:
         """Spark's plan of a search."""
         request = request or SearchRequest()
