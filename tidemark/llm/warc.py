@@ -365,7 +365,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write(table(spark, sf_dir, "pages"), folder)
     # Each record is found through the index: one that the merge lost would be missing here.
     index = merge_index(manifest, folder).select("file", "offset")
-    return read(manifest).join(index, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(manifest).join(index.hint("merge"), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op3_warc": op3_warc}
