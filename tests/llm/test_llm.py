@@ -116,6 +116,33 @@ def test_secrets(docs):
     assert secrets.scan(docs, model).count() == docs.count()
 
 
+@pytest.fixture(scope="module")
+def field(docs):
+    return secrets.train(docs)
+
+
+def test_secrets_of_letters_only_and_short_ones(field):
+    model = field
+    for text, secret in (("Authorization: Bearer QwErTyUiOpAsDfGhJkLzXcVb", "QwErTyUiOpAsDfGhJkLzXcVb"), ("pwd: hunter42", "hunter42"), ("postgres://u:s3cret99@h", "s3cret99")):
+        assert [text[s:e] for s, e in secrets.find(text, model)[1]] == [secret]
+    plain = "The author: Smith wrote the key word, the monkey saw token economy. At 10:30 password must be long, mail joe@example.com"
+    assert secrets.find(plain, model) == ([], [])
+
+
+def test_every_token_is_tagged_as_in_its_own_text(field):
+    texts = [t for t in TEXTS if t and t.strip()] + ["é pwd: hunter42 \U0001f600 x", "pwd: hunter42"]
+    tokens = secrets.Tokens(texts)
+    want = [(i, *m.span()) for i, t in enumerate(texts) for m in re.finditer(r"[A-Za-z0-9+/_=-]+|[^\s]", t)]
+    assert list(zip(tokens.doc, tokens.start, tokens.end, strict=True)) == want
+    model = field
+    rows = list(secrets.find_all(texts, model))
+    for t, (_, added) in zip(texts, rows, strict=True):
+        own = model.viterbi(secrets.matrix(secrets.Tokens([t])).astype(float)[None])[0]
+        assert secrets.find(t, model)[1] == added
+        if not secrets.base_spans(t):
+            assert bool(added) == bool(own.any())
+
+
 def test_warc_round_trip_and_order(spark, tmp_path):
     page = "<html>" + "p" * 200 + "</html>"
     rows = [(3, "http://b.example.com/x?y=1", page), (1, "https://www.a.example.org:443/", page), (1, "https://www.a.example.org:443/", page), (2, None, None), (None, "http://c.de/\r\nX: 1", page), (5, "", "short"), (6, "u", "short")]

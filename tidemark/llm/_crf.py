@@ -43,6 +43,51 @@ class CRF:
             out.append(k[np.arange(len(k)), out[-1]])
         return np.stack(out[::-1], 1)
 
+    def decode(self, e: np.ndarray, heads: np.ndarray, block: int = 256) -> np.ndarray:
+        """Viterbi over sequences that stand one after another in ``e`` (places, labels); ``heads`` is true where one begins.
+
+        The places are cut into blocks that advance together. A first pass has the best score from each label before a block to
+        each at its end, which carries scores over the cuts; a second has the ways back. The result is that of whole sequences.
+        """
+        n, k = e.shape
+        own = n // block + 1  # the padding, of one place or more, is a sequence of its own
+        e = np.vstack((e, np.zeros((own * block - n, k)))).reshape(own, block, k).transpose(1, 2, 0).copy()
+        heads = np.append(heads, np.arange(own * block - n) == 0).reshape(own, block)
+        heads = [np.flatnonzero(h) for h in heads.T]
+
+        def forward(a: np.ndarray, ways: np.ndarray | None = None) -> np.ndarray:
+            for t, h in enumerate(heads):
+                new = a[..., 0, None, :] + self.step[0][:, None]
+                for i in range(1, k):
+                    other = a[..., i, None, :] + self.step[i][:, None]
+                    if ways is not None:
+                        ways[t][other > new] = i
+                    new = np.maximum(new, other)
+                if len(h):
+                    close = a[..., h] + self.last[:, None]
+                    new[..., h] = close.max(-2)[..., None, :] + self.first[:, None]
+                    if ways is not None:
+                        ways[t][:, h] = close.argmax(0)
+                a = new + e[t]
+            return a
+
+        through = forward(np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[:, :, None] + np.zeros(own))
+        entry = np.zeros((k, own))
+        for j in range(1, own):
+            entry[:, j] = (entry[:, j - 1, None] + through[:, :, j - 1]).max(0)
+            entry[:, j] -= entry[:, j].max()
+        ways = np.zeros((block, k, own), np.int8)
+        end = forward(entry, ways)[:, -1].argmax()
+        by_end = np.zeros((block, k, own), np.int8)  # the label of a place, by that of the block's last
+        now = np.arange(k)[:, None] + np.zeros((1, own), int)
+        for t in range(block - 1, -1, -1):
+            by_end[t] = now
+            now = np.take_along_axis(ways[t], now, 0).astype(int)
+        out = np.zeros((own, block), np.int8)
+        for j in range(own - 1, -1, -1):
+            out[j], end = by_end[:, end, j], now[end, j]
+        return out.ravel()[:n]
+
     def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.1, penalty: float = 1e-3) -> CRF:
         """Adam on the mean penalised log likelihood of (features, labels); no random numbers are drawn."""
         sequences = sorted(sequences, key=lambda s: len(s[1]))
