@@ -143,6 +143,13 @@ def test_every_token_is_tagged_as_in_its_own_text(field):
             assert bool(added) == bool(own.any())
 
 
+def test_training_rows_do_not_depend_on_the_order_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(secrets.CRF, "fit", lambda self, sequences, **_: [(x.tobytes(), y.tobytes()) for x, y in sequences])
+    rows = [(i, f"some words of row {i} and token = abcdef{i} with more words {i * 7}") for i in range(300)]
+    a, b = (secrets.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), 40) for r, n in ((rows, 2), (rows[::-1], 7)))
+    assert a == b and len(a) == 20 + len(secrets.generated())
+
+
 def test_warc_round_trip_and_order(spark, tmp_path):
     page = "<html>" + "p" * 200 + "</html>"
     rows = [(3, "http://b.example.com/x?y=1", page), (1, "https://www.a.example.org:443/", page), (1, "https://www.a.example.org:443/", page), (2, None, None), (None, "http://c.de/\r\nX: 1", page), (5, "", "short"), (6, "u", "short")]

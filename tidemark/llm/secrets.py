@@ -285,7 +285,8 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> CRF:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["turn", "place", "x", "y"])
 
-    rows = sample.mapInArrow(work, "turn long, place long, x binary, y binary").limit(most // 2).collect()
+    # Ordered by hash and place, so that the bounded sample does not depend on which task is first.
+    rows = sample.mapInArrow(work, "turn long, place long, x binary, y binary").orderBy("turn", "place", "x", "y").limit(most // 2).collect()
     sequences = [(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float), np.frombuffer(r["y"], np.int8).astype(int)) for r in rows]
     sequences += [examples(*g) for g in generated()]
     return CRF(FEATURES, 3).fit(sequences, rounds=120, penalty=1e-4)
