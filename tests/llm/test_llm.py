@@ -150,6 +150,11 @@ def test_training_rows_do_not_depend_on_the_order_of_tasks(spark, monkeypatch):
     assert a == b and len(a) == 20 + len(secrets.generated())
 
 
+def test_features_read_the_whole_token():
+    a, b = (secrets.matrix(secrets.Tokens(["x" * 300 + t])) for t in ("y" * 300, "aB3" * 100))
+    assert not np.array_equal(a, b)
+
+
 def test_warc_round_trip_and_order(spark, tmp_path):
     page = "<html>" + "p" * 200 + "</html>"
     rows = [(3, "http://b.example.com/x?y=1", page), (1, "https://www.a.example.org:443/", page), (1, "https://www.a.example.org:443/", page), (2, None, None), (None, "http://c.de/\r\nX: 1", page), (5, "", "short"), (6, "u", "short")]
