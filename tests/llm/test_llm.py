@@ -218,6 +218,15 @@ def test_licenses(docs):
     assert got[15] == "MIT" and all(v == "" for k, v in got.items() if k != 15)
 
 
+def test_wrapped_licenses(spark, docs):
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights"]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or"]
+    texts = ["\n".join(mit), "\n".join(gpl), "int a;\n/*\n" + "\n".join(f" * {x}" for x in mit) + "\n */\nint b;", "\n".join([*mit, "", *gpl]), "\n\n".join(mit), "Released under the\nMIT License.", "x\n" * 998 + "\n".join(gpl), "The key of the house\nis in the pocket of\nthe man and the other\nto the gate"]
+    model = licenses.train(docs)
+    got = {r.doc_id: (r.families, r.n_licenses) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert got == {0: ("MIT", 1), 1: ("GPL-3.0", 1), 2: ("MIT", 1), 3: ("GPL-3.0,MIT", 2), 4: ("", 0), 5: ("MIT", 1), 6: ("GPL-3.0", 1), 7: ("", 0)}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, extra string")
     bench = spark.createDataFrame([], "item_id long, text string")

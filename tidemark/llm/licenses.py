@@ -1,13 +1,16 @@
 """License scans: sparse logistic regression on word n-grams per paragraph, confirmed by comparison with templates.
 
-A paragraph is a line with a word. Its features are the words and word pairs of the templates that it holds (lower-case
+A paragraph is a line with a word, or, where lines are wrapped, a run of lines. Its features are the words and word pairs of the templates that it holds (lower-case
 letters and digits; words that nearly every text has are no features by themselves). One multinomial regression gives a
 probability to each licence family and to *unknown*. It is trained on the templates, on variants of them (parts of them,
 and templates within ordinary words) and, for unknown, on paragraphs of at most ``TRAIN_DOCS`` documents that do not speak
 of licences and on sentences about licences that grant none. A temperature, fitted on every fourth example, which is kept
 out of the fit, calibrates the probabilities; under ``SURE`` a paragraph is unknown.
 
-A predicted family is confirmed if a template of its has at least ``ALIKE`` of its word pairs in the paragraph. Weights
+A predicted family is confirmed if a template of its has at least ``ALIKE`` of its word pairs in the paragraph. Lines that are
+not confirmed by themselves are read on over their ends: a run of lines, without an empty one between, that each hold a pair
+of one template (pairs over line ends count with the later line) is joined, scored and confirmed as one paragraph. Runs may
+be of any length; of runs that share lines the one with the larger part of its template counts. Weights
 exist for template n-grams alone, so a paragraph without any has the bias as its score: it is unknown, and only the others
 are scored.
 
@@ -30,6 +33,7 @@ from ._common import binary, table
 TRAIN_DOCS = 400
 SURE = 0.6
 ALIKE = 0.5
+BLANK = b"\x20\x09\x0b\x0c\x0d"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PLAIN = frozenset(b"the a an of to and or in is for with by be as on at this that it are was from not".split())
 
@@ -69,6 +73,11 @@ class Model:
         self.heat = 1.0
         #: Single words without which no template n-gram occurs, and templates as sets of pairs.
         self.words = frozenset(g for g in every if b" " not in g)
+        self.whole = [(f, frozenset(self.place[g] for g in grams(words(x.encode())) if b" " in g)) for f, family in enumerate(FAMILIES) for x in TEMPLATES[family]]
+        self.holders: dict[int, list[int]] = {}
+        for t, (_, pairs) in enumerate(self.whole):
+            for g in pairs:
+                self.holders.setdefault(g, []).append(t)
         self.pairs = [[frozenset(g for g in grams(words(x.encode())) if b" " in g) for x in TEMPLATES[f]] for f in FAMILIES]
 
     def vector(self, own: list[bytes]) -> list[int]:
@@ -125,9 +134,39 @@ class Model:
                     out[k] = family, sure, any(len(t & own) >= ALIKE * len(t) for t in self.pairs[family])
         return out
 
+    def wrapped(self, lines: list[bytes], taken: set[int]) -> list[tuple[int, float, bool]]:
+        """Hits of runs of two or more lines; ``taken`` has the lines that are hits by themselves."""
+        runs: dict[int, list[tuple[int, int, set[int]]]] = {}  # of each template: first line, last line, pairs
+        before: list[bytes] = []
+        for k, line in enumerate(lines):
+            own = words(line) if k not in taken else []
+            if own and not (self.words.isdisjoint(own) and (not before or self.words.isdisjoint(before[-1:]))):
+                joined = before[-1:] + own
+                for a, b in zip(joined, joined[1:], strict=False):
+                    g = self.place.get(a + b" " + b)
+                    for t in self.holders.get(g, ()):
+                        every = runs.setdefault(t, [])
+                        if not every or every[-1][1] < k - 1:
+                            # A pair over the line's end begins with the line before.
+                            every.append((k - 1 if before and a is before[-1] and a is joined[0] else k, k, {g}))
+                        else:
+                            first, _, pairs = every[-1]
+                            pairs.add(g)
+                            every[-1] = first, k, pairs
+            before = own
+        found = [(len(pairs) / len(self.whole[t][1]), first, last, self.whole[t][0]) for t, every in runs.items() for first, last, pairs in every if last > first and len(pairs) >= ALIKE * len(self.whole[t][1])]
+        out, used = [], set(taken)
+        for _, first, last, family in sorted(found, key=lambda x: (-x[0], *x[1:])):
+            if used.isdisjoint(range(first, last + 1)):
+                hit = self.judge([b" ".join(lines[first : last + 1])])[0]
+                if hit and hit[2] and hit[0] == family:
+                    out.append(hit)
+                    used.update(range(first, last + 1))
+        return out
+
 
 def paragraphs(text: bytes) -> list[bytes]:
-    return [x for x in text.split(b"\n") if x.strip(b"\x20\x09\x0b\x0c\x0d")]
+    return [x for x in text.split(b"\n") if x.strip(BLANK)]
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
@@ -164,13 +203,21 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
                 own, best, found = paragraphs(text), None, []
+                taken = set()
                 for at in range(0, len(own), 1000):
-                    for hit in own_model.judge(own[at : at + 1000]):
+                    for k, hit in enumerate(own_model.judge(own[at : at + 1000]), at):
                         if hit and hit[2]:
                             found.append(hit)
-                            best = hit if best is None or hit[1] > best[1] else best
+                            taken.add(k)
+                count, lines = len(own), text.split(b"\n")
+                if count < len(lines):  # empty lines end a run
+                    places = [k for k, x in enumerate(lines) if x.strip(BLANK)]
+                    taken = {places[k] for k in taken}
+                found += own_model.wrapped(lines, taken)
+                for hit in found:
+                    best = hit if best is None or hit[1] > best[1] else best
                 names = sorted({FAMILIES[f] for f, _, _ in found})
-                rows.append((doc_id, len(own), len(found), ",".join(names), FAMILIES[best[0]] if best else None, best[1] if best else 0.0))
+                rows.append((doc_id, count, len(found), ",".join(names), FAMILIES[best[0]] if best else None, best[1] if best else 0.0))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_paragraphs", "n_licenses", "families", "family", "probability"])
