@@ -218,6 +218,17 @@ def test_licenses(docs):
     assert got[15] == "MIT" and all(v == "" for k, v in got.items() if k != 15)
 
 
+def test_quality_of_long_documents_is_that_of_one_pass(monkeypatch):
+    r = np.random.default_rng(3)
+    model = quality_crf.CRF(quality_crf.FEATURES, 2)
+    model.weight, model.step = r.normal(size=model.weight.shape), r.normal(size=(2, 2)) * 3
+    model.first, model.last = r.normal(size=2) * 3, r.normal(size=2) * 3
+    x, w = r.normal(size=(2001, quality_crf.FEATURES)), np.append(np.ones(2000), 5000.0)
+    got = quality_crf.raw_quality(model, [(x, w)])
+    monkeypatch.setattr(quality_crf, "BLOCK", 10_000)
+    assert np.allclose(got, quality_crf.raw_quality(model, [(x, w)]), atol=1e-12)
+
+
 def test_wrapped_licenses(spark, docs):
     mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights"]
     gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or"]

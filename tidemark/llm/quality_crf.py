@@ -11,8 +11,7 @@ worst of each, and the field is fitted again. Only features reach the driver. Sc
 
 Lines without a word are left out. Null and empty texts have no lines and take the raw quality 0, so their score is the
 curve's lowest. Without usable labels every score is 0.5. Of several labels of a document the least counts. Repeated rows are
-scored alike. Long texts are read whole, lines beyond ``BLOCK`` in blocks that are chained at their ends. Extra columns are
-ignored.
+scored alike. Long texts are read whole; one of more than ``BLOCK`` lines is a batch of its own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +72,7 @@ def raw_quality(model: CRF, documents: list[tuple[np.ndarray, np.ndarray]]) -> n
     while at < len(order):
         if len(documents[order[at]][0]) > BLOCK:
             x, w = documents[order[at]]
-            p = np.concatenate([model.marginals(x[None, a : a + BLOCK], np.array([len(x[a : a + BLOCK])]))[0, :, 1] for a in range(0, len(x), BLOCK)])
+            p = model.marginals(x[None], np.array([len(x)]))[0, :, 1]
             out[order[at]] = (p * w).sum() / w.sum()
             at += 1
             continue
