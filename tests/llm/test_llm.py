@@ -218,6 +218,14 @@ def test_licenses(docs):
     assert got[15] == "MIT" and all(v == "" for k, v in got.items() if k != 15)
 
 
+def test_decontamination_in_blocks_keeps_null_and_empty_rows(spark, monkeypatch):
+    own = spark.createDataFrame([(1, None), (1, ""), (None, None), (None, ""), (2, "a b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c"), (2, "some other words of the benchmark")], "item_id long, text string")
+    one = pairs(decontaminate.contamination(own, bench), "doc_id", "n_words", "n_hit")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    assert pairs(decontaminate.contamination(own, bench), "doc_id", "n_words", "n_hit") == one and len(one) == 5
+
+
 def test_quality_of_long_documents_is_that_of_one_pass(monkeypatch):
     r = np.random.default_rng(3)
     model = quality_crf.CRF(quality_crf.FEATURES, 2)

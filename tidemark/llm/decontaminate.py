@@ -197,7 +197,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spans: bool = False, bl
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if several:
         # Each pass must name the same row alike; equal rows have equal answers, so id and text hash will do, with a count.
-        own = own.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+        # Null and empty texts have one hash, so they are one here too.
+        own = own.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("doc_id", "text").agg(F.count("*").alias("n"))
 
     def one(items: list[tuple[str, bytes]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(items)  # BLOCK_BYTES at most
