@@ -6,7 +6,7 @@ the scan, without a shuffle.
 
 Nulls, empty texts: no words, so the base rule fails and ``kept`` is false. Every row is judged alone: repeated rows, ties
 and null ids are returned as they are. Long texts are measured whole. Extra columns are ignored by the query and carried
-by ``judge``; measures live under names that begin with ``_q_`` there.
+by ``keep`` and ``judge``; measures stand beside them under a prefix that no column of the input has.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE, table
+from ._common import table
 
 SYMBOLS = "#*$%&|<>"
+SQL_SPACE = r"[ \\t-\\r]+"
 STOP_WORDS = (
     "the of and to a in is that it for was on with as be by are this at from or an not have "
     "de la que el en y los las se del por un con su una no para es al lo le et les des du est qui dans sur par au pas avec pour "
@@ -46,38 +47,51 @@ RULES = (
 )
 
 
-def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the ``_q_`` measure columns. Each step is a projection of its own, so no measure is evaluated twice."""
-    df = df.withColumn("_q_text", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_q_words", F.filter(F.split("_q_text", SPACE), lambda w: w != ""))
-    df = df.withColumn("_q_lines", F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = df.withColumn("_q_n_words", F.size("_q_words").cast("long"))
-    df = df.withColumn(
-        "_q_tri",
-        F.expr("CASE WHEN _q_n_words < 3 THEN CAST(array() AS array<string>) ELSE transform(slice(_q_words, 1, size(_q_words) - 2), (w, i) -> concat(w, ' ', _q_words[i + 1], ' ', _q_words[i + 2])) END"),
-    )
-    # Windows that occur twice or more: sort them with their places, keep the places of equal neighbours.
-    df = df.withColumn("_q_pairs", F.expr("CASE WHEN size(array_distinct(_q_tri)) < size(_q_tri) THEN sort_array(transform(_q_tri, (t, i) -> struct(t, i))) END"))
-    df = df.withColumn(
-        "_q_places",
-        F.expr("""sort_array(array_distinct(flatten(filter(transform(slice(_q_pairs, 1, size(_q_pairs) - 1),
-            (p, k) -> IF(p.t = _q_pairs[k + 1].t, array(p.i, _q_pairs[k + 1].i), NULL)), x -> x IS NOT NULL))))"""),
-    )
-    df = df.withColumn(
-        "_q_repeat",
-        F.expr("coalesce(aggregate(transform(_q_places, (p, k) -> IF(k + 1 < size(_q_places), least(3, get(_q_places, k + 1) - p), 3)), 0L, (a, x) -> a + x), 0L)"),
+def fresh_prefix(columns: list[str], prefix: str = "_q_") -> str:
+    """A prefix that no column has, whatever its case."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def with_measures(df: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame:
+    """Add the measure columns. Each step is a projection of its own, so no measure is evaluated twice.
+
+    Windows that occur twice or more: a text whose window hashes all differ has none. Only where two agree are the windows
+    themselves sorted with their places, so that the places of equal neighbours can be kept.
+    """
+    own, white = [f"`{c}`" for c in df.columns], r" \t\n\u000b\u000c\r"
+    df = df.select(*own, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(f"{prefix}text"))
+
+    def add(name: str, expression: str) -> None:
+        nonlocal df
+        df = df.withColumn(prefix + name, F.expr(expression.replace("@", prefix)))
+
+    add("bare", f"trim(BOTH '{white}' FROM @text)")
+    add("words", f"IF(@bare = '', CAST(array() AS array<string>), split(@bare, '{SQL_SPACE}'))")
+    add("lines", f"filter(split(@text, '\\n'), x -> trim(BOTH '{white}' FROM x) <> '')")
+    add("n_words", "CAST(size(@words) AS BIGINT)")
+    add("hashes", "IF(@n_words < 4, NULL, transform(slice(@words, 1, size(@words) - 2), (w, i) -> xxhash64(w, @words[i + 1], @words[i + 2])))")
+    add("some", "coalesce(size(array_distinct(@hashes)) < size(@hashes), false)")
+    add("pairs", "IF(@some, sort_array(transform(slice(@words, 1, size(@words) - 2), (w, i) -> struct(concat(w, ' ', @words[i + 1], ' ', @words[i + 2]) AS t, i AS i))), NULL)")
+    add(
+        "places",
+        """sort_array(array_distinct(flatten(filter(transform(slice(@pairs, 1, size(@pairs) - 1),
+            (p, k) -> IF(p.t = @pairs[k + 1].t, array(p.i, @pairs[k + 1].i), NULL)), x -> x IS NOT NULL))))""",
     )
+    add("repeat", "coalesce(aggregate(transform(@places, (p, k) -> IF(k + 1 < size(@places), least(3, get(@places, k + 1) - p), 3)), 0L, (a, x) -> a + x), 0L)")
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    whole, c = F.col(f"{prefix}text"), prefix + "{}"
     return df.select(
-        *[c for c in df.columns if not c.startswith("_q_")],
-        "_q_n_words",
-        F.length(F.translate("_q_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("_q_word_chars"),
-        (F.length("_q_text") - F.length(F.translate("_q_text", SYMBOLS, ""))).cast("long").alias("_q_n_symbols"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("_q_n_dup_lines"),
-        F.col("_q_repeat").alias("_q_n_repeat_words"),
-        F.size("_q_lines").cast("long").alias("_q_n_lines"),
-        F.expr(f"CAST(size(filter(_q_words, w -> lower(rtrim('.,', w)) IN ({stop}))) AS BIGINT)").alias("_q_n_stop"),
-        (F.length("_q_text") - F.length(F.translate("_q_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("_q_n_upper"),
+        *own,
+        c.format("n_words"),
+        F.length(F.array_join(c.format("words"), "")).cast("long").alias(c.format("word_chars")),
+        (F.length(whole) - F.length(F.regexp_replace(whole, f"[{SYMBOLS}]+", ""))).cast("long").alias(c.format("n_symbols")),
+        (F.size(c.format("lines")) - F.size(F.array_distinct(c.format("lines")))).cast("long").alias(c.format("n_dup_lines")),
+        F.col(c.format("repeat")).alias(c.format("n_repeat_words")),
+        F.size(c.format("lines")).cast("long").alias(c.format("n_lines")),
+        F.expr(f"CAST(size(filter({prefix}words, w -> lower(rtrim('.,', w)) IN ({stop}))) AS BIGINT)").alias(c.format("n_stop")),
+        (F.length(whole) - F.length(F.regexp_replace(whole, "[A-Z]+", ""))).cast("long").alias(c.format("n_upper")),
     )
 
 
@@ -93,23 +107,25 @@ def compile_rules(rules: tuple[Rule, ...] = RULES, prefix: str = "_q_") -> Colum
     return kept
 
 
-BASE_FAILED = "(_q_n_words < 50 OR 100 * _q_n_repeat_words > 50 * _q_n_words)"
+BASE_FAILED = "({0}n_words < 50 OR 100 * {0}n_repeat_words > 50 * {0}n_words)"
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with the measures, ``_q_base_failed`` and ``_q_kept``."""
-    df = with_measures(docs)
-    df = df.withColumn("_q_base_failed", F.expr(BASE_FAILED))
-    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & compile_rules(rules))
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prefix: str = "_q_") -> DataFrame:
+    """``docs`` with the measures, ``base_failed`` and ``kept``, all with the prefix."""
+    df = with_measures(docs, prefix=prefix)
+    df = df.withColumn(f"{prefix}base_failed", F.expr(BASE_FAILED.format(prefix)))
+    return df.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & compile_rules(rules, prefix))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows that pass, with the columns they came with.
+    """The rows that pass, with the columns they came with, whatever their names.
 
     The row number is a barrier: without it the optimizer moves the filter below the projections and copies every measure
     into it.
     """
-    return judge(docs).withColumn("_q_row", F.monotonically_increasing_id()).filter("_q_kept AND _q_row >= 0").select(*docs.columns)
+    p = fresh_prefix(docs.columns)
+    judged = judge(docs, prefix=p).withColumn(f"{p}row", F.monotonically_increasing_id())
+    return judged.filter(f"{p}kept AND {p}row >= 0").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
