@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that Python is given, and of the texts that are worked on at once, unless one text is longer.
+BATCH_BYTES = 16 << 20
+RUN_BYTES = 2 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes, so that many long texts never meet in one batch."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:  # a bound with a unit was set by the user
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def runs_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of rows of a text column, of ``RUN_BYTES`` or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + RUN_BYTES, "right")))
+        yield a, b
+        a = b
+
+
 def input_bytes(spark: SparkSession, df: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows (one cheap aggregate)."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
