@@ -19,7 +19,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words under a twentieth stand in benchmark windows."""
+    """Documents without a benchmark window: one verbatim passage is enough to go, however long the document."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 

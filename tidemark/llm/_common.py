@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; ours is set only where the session names none."""
+    """The folder that driver and executors share. Only where all run on one machine, and none is named, is it one of ours."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -31,14 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back."""
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``staged``, with the path, for tables that are dropped once they are no longer read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Drop a staged table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh_prefix(columns: list[str], prefix: str) -> str:
+    """A prefix that no column has, whatever its case."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Column names as expressions, dots and all."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
 #: Bytes of a batch that Python is given, and of the texts that are worked on at once, unless one text is longer.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 RUN_BYTES = 2 << 20
 
 
@@ -51,6 +77,13 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_rows(df: DataFrame, work) -> DataFrame:
+    """``mapInArrow`` with a result of the same columns, whatever their names; ``work`` finds them by place."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema, strict=True)])
+    return bounded(df).toDF(*names).mapInArrow(work, schema).toDF(*df.columns)
+
+
 def runs_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of rows of a text column, of ``RUN_BYTES`` or one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))

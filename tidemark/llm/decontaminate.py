@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import binary, table
+from ._common import binary, bounded, fresh_prefix, map_rows, quoted, runs_of, table
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -115,23 +115,46 @@ class SuffixArray:
                 yield int(k), at
 
 
+class Shard:
+    """The numbered words of some texts, a 0 behind each, and their suffix array."""
+
+    def __init__(self, texts: list[bytes], queries: Queries):
+        split = [words(t) for t in texts]
+        self.sizes = np.array([len(w) for w in split], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes + 1)))
+        self.own = np.zeros(int(self.starts[-1]), np.int64)
+        get = queries.numbers.__getitem__
+        for s, w in zip(self.starts, split, strict=False):
+            self.own[s : s + len(w)] = np.fromiter(map(get, w), np.int64, len(w))
+        self.found = SuffixArray(self.own, queries).find()
+
+    def docs(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+
+def hit_words(texts: list[bytes], queries: Queries) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its number of words and how many of them are hit."""
+    shard = Shard(texts, queries)
+    edge = np.zeros(len(shard.own) + 1, np.int64)
+    for k, at in shard.found:
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + len(queries.windows[k]), -1)
+    hit = np.flatnonzero(np.cumsum(edge[:-1]))
+    return shard.sizes, np.bincount(shard.docs(hit), minlength=len(texts))
+
+
 def search(texts: list[bytes], queries: Queries) -> list[tuple[int, np.ndarray, list[int], list[tuple[int, int, int, int]]]]:
     """For each text: its number of words, which of them are hit, the items found, and the longest match of each of them
     as (item, place in the text, place in the item, words)."""
-    split = [words(t) for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes + 1)))
-    own = np.zeros(int(starts[-1]), np.int64)
-    get = queries.numbers.__getitem__
-    for s, w in zip(starts, split, strict=False):
-        own[s : s + len(w)] = np.fromiter(map(get, w), np.int64, len(w))
+    shard = Shard(texts, queries)
+    sizes, starts, own = shard.sizes, shard.starts, shard.own
     edge = np.zeros(len(own) + 1, np.int64)
     diagonals: list[dict[tuple[int, int], list[int]]] = [defaultdict(list) for _ in texts]
-    for k, at in SuffixArray(own, queries).find():
+    for k, at in shard.found:
         size = len(queries.windows[k])
         np.add.at(edge, at, 1)
         np.add.at(edge, at + size, -1)
-        for place, doc in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True):
+        for place, doc in zip(at.tolist(), shard.docs(at).tolist(), strict=True):
             for item, within in queries.items[k]:
                 diagonals[doc][item, place - int(starts[doc]) - within].append(within)
     hit = np.cumsum(edge[:-1]) > 0
@@ -188,8 +211,11 @@ def shards(texts: list[bytes]) -> Iterator[list[bytes]]:
         at = end
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, spans: bool = False, blocks: list[list[tuple[str, bytes]]] | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, items, longest (words of the longest match) and, on demand, the hit spans; one row a document."""
+def contamination(docs: DataFrame, benchmark: DataFrame, spans: bool = False, blocks: list[list[tuple[str, bytes]]] | None = None, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, items, longest (words of the longest match) and, on demand, the hit spans; one row a document.
+
+    ``digest`` adds th, the MD5 of the text, where there are several blocks.
+    """
     blocks = blocks or _blocks(benchmark)
     spark = docs.sparkSession
     several = len(blocks) > 1
@@ -220,7 +246,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spans: bool = False, bl
                     yield pa.RecordBatch.from_pylist(rows, schema=fields)
                     at += len(part)
 
-        return own.mapInArrow(work, "doc_id long, " + RESULT + ", n long, th string" * several)
+        return bounded(own).mapInArrow(work, "doc_id long, " + RESULT + ", n long, th string" * several)
 
     if not several:
         return one(blocks[0])
@@ -230,35 +256,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spans: bool = False, bl
     # Spans of a text meet in one row, whose size is bounded by the text's.
     merged = every.groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.max("longest").alias("longest"))
     covered = F.expr("aggregate(spans, struct(0L AS hit, 0L AS far), (a, s) -> struct(a.hit + greatest(0L, s.end - greatest(s.start, a.far)) AS hit, greatest(a.far, s.end) AS far), a -> a.hit)")
-    return merged.withColumn("n_hit", covered).withColumn("_", F.explode(F.expr("sequence(1, n)"))).select("doc_id", "n_words", "n_hit", "items", "spans", "longest")
+    return merged.withColumn("n_hit", covered).withColumn("_", F.explode(F.expr("sequence(1, n)"))).select("doc_id", "n_words", "n_hit", "items", "spans", "longest", *["th"] * digest)
 
 
+#: Of op5's column of that name; ``remove`` drops every affected document unless it is told otherwise.
 CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 
-def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents.
+def remove(docs: DataFrame, benchmark: DataFrame, share: float = 0.0) -> DataFrame:
+    """``docs`` without affected documents: those with a hit and with at least ``share`` of their words hit.
 
-    A benchmark of one block is searched where the rows are, and batches lose their contaminated rows without a shuffle. With
-    more blocks the hits have to meet first; then the hashes of contaminated texts are joined (equal texts have equal
-    answers, so a text's hash is enough to name it).
+    A benchmark of one block is searched where the rows are, and batches lose their affected rows without a shuffle. With
+    more blocks the hits have to meet first; then the digests of affected texts are joined (equal texts have equal
+    answers, so a text's digest is enough to name it). Columns may have any names.
     """
     blocks = _blocks(benchmark)
+    columns, p = quoted(docs.columns), fresh_prefix(docs.columns, "_d_")
     if len(blocks) > 1:
-        text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-        bad = contamination(docs.select(text_hash.alias("doc_id"), "text"), benchmark, blocks=blocks).filter(CONTAMINATED).select(F.col("doc_id").alias("_h")).distinct()
-        return docs.withColumn("_h", text_hash).join(bad, "_h", "left_anti").select(*docs.columns)
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        named = docs.select(*columns, F.md5(text).alias(f"{p}h"))
+        # A number of 64 bits will do within the search: texts are told apart by their digests.
+        found = contamination(docs.select(F.xxhash64(text).alias("doc_id"), "text"), benchmark, blocks=blocks, digest=True)
+        bad = found.filter(F.col("n_hit") > 0).filter(F.col("n_hit") >= F.lit(float(share)) * F.col("n_words")).select(F.col("th").alias(f"{p}h")).distinct()
+        return named.join(bad, f"{p}h", "left_anti").select(*columns)
     sent = docs.sparkSession.sparkContext.broadcast(blocks[0])  # BLOCK_BYTES at most
     place = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = Queries(sent.value)
         for batch in batches:
-            texts = binary(batch.column(place))
-            clean = [not (n_hit and 20 * n_hit >= n) for part in shards(texts) for n, n_hit in ((n, int(hit.sum())) for n, hit, _, _ in search(part, queries))]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for a, b in runs_of(batch.column(place)):
+                own = batch.slice(a, b - a)
+                n, hit = hit_words(binary(own.column(place)), queries)
+                yield own.filter(pa.array(~((hit > 0) & (hit >= share * n)), pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_rows(docs, work)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
