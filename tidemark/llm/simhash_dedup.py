@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import binary, staged, table
+from ._common import binary, bounded, fresh_prefix, quoted, runs_of, staged, table
 from .components import components
 
 RADIUS = 2
@@ -72,14 +72,15 @@ def fingerprints(docs: DataFrame, with_hash: bool = False) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([fingerprint(t) for t in binary(batch.column(1))], np.uint64).view(np.int64)
+            texts = batch.column(1)
+            own = np.array([fingerprint(t) for a, b in runs_of(texts) for t in binary(texts[a:b])], np.uint64).view(np.int64)
             rest = {"th": batch.column(2)} if with_hash else {}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(own)} | rest)
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if with_hash:
-        columns.append(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"))
-    return docs.select(*columns).mapInArrow(work, "doc_id long, fp long" + ", th long" * with_hash)
+        columns.append(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"))
+    return bounded(docs).select(*columns).mapInArrow(work, "doc_id long, fp long" + ", th long" * with_hash)
 
 
 def _block_key(fp: Column, blocks: tuple[int, int]) -> Column:
@@ -138,28 +139,30 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One row of each group stays: that of the least doc_id (null ids last), then of the least text hash.
 
     Rows that repeat both id and text count once; of those the least by a hash of all columns stays. The choice is made
-    on ids and hashes; texts meet only the list of what goes.
+    on ids and hashes: first the best row of each fingerprint, then of each group, both as aggregates that are combined
+    before the shuffle, so that no group of copies meets in one task. Texts meet only the list of what stays. Columns may
+    have any names.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    columns, p = quoted(docs.columns), fresh_prefix(docs.columns, "_k_")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(fingerprints(own, with_hash=True), "fingerprints")
-    keys = rows.groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.first("fp").alias("fp"))
-    keys = staged(keys.join(fingerprint_components(rows, bucket), "fp").select("doc_id", "th", "n", F.col("label").alias("group")), "keys")
-    best = keys.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
-    judged = staged(keys.join(best, "group").select("doc_id", "th", "n", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))).alias("stays")), "judged")
-    tagged = docs.withColumn("_th", text_hash)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = rows.groupBy("fp").agg(F.min(place).alias("best"))
+    best = staged(first.join(fingerprint_components(rows, bucket), "fp").groupBy("label").agg(F.min("best").alias("best")).select("best.doc_id", "best.th"), "best")
+    tagged = docs.select(*columns, F.col("doc_id").cast("long").alias(f"{p}id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(f"{p}th"))
 
     def of(which: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        which = which.select(F.col("doc_id").alias("_id"), F.col("th").alias("_t"))
-        return rows.join(which, rows["doc_id"].eqNullSafe(which["_id"]) & (rows["_th"] == which["_t"]), how)
-
-    kept = of(judged.filter("NOT stays"), "left_anti", tagged)
-    repeated = judged.filter("stays AND n > 1")
-    if repeated.limit(1).count():
-        every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        once = of(repeated, "left_semi", kept).groupBy("doc_id", "_th").agg(F.min_by(every, F.xxhash64(every)).alias("_row")).select("_row.*")
-        return of(repeated, "left_anti", kept).select(*docs.columns).unionByName(once)
-    return kept.select(*docs.columns)
+        which = which.select(F.col("doc_id").alias(f"{p}i"), F.col("th").alias(f"{p}t"))
+        return rows.join(which, F.col(f"{p}id").eqNullSafe(F.col(f"{p}i")) & (F.col(f"{p}th") == F.col(f"{p}t")), how)
+
+    kept = of(best, "left_semi", tagged)
+    several = rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1")
+    several = several.join(best.select(F.col("doc_id").alias("i"), F.col("th").alias("t")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_semi").select("doc_id", "th")
+    if (several := staged(several, "several")).limit(1).count():
+        every = F.struct(*columns)
+        once = of(several, "left_semi", kept).groupBy(f"{p}id", f"{p}th").agg(F.min_by(every, F.xxhash64(every)).alias(f"{p}row")).select(f"{p}row.*")
+        return of(several, "left_anti", kept).select(*columns).unionByName(once)
+    return kept.select(*columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
