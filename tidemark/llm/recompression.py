@@ -1,6 +1,6 @@
 """Substring dedup by recompression: words under 13-word windows that an earlier document has too.
 
-Words get global names, 64-bit functions of their bytes, and rounds rename on: first a run of one word becomes one symbol
+Words get global names, 64-bit hashes of their bytes, and rounds rename on: first a run of one word becomes one symbol
 (word, count), then in each round symbols fall into two classes by a bit of their name and every neighbouring pair (first
 class, second class) becomes a symbol named after both. A name depends on content alone, so all executors give equal
 substrings the same symbols without a dictionary to exchange, except near their ends, where a neighbour outside decides.
@@ -9,7 +9,9 @@ a window is in every copy of that window: these are the consistent interior symb
 them (ties: greatest name); windows without any, such as the inside of a long run, take a word's name.
 
 Symbols that documents of different ids share reveal candidates (see ``_repeats``); candidates are verified window by
-window: by a 64-bit hash of the 13 word names together with 32 bits of the key.
+window, by 128 bits that are computed anew from the words: two hashes of the window, each over word hashes of a seed of its
+own. Every step of them mixes, none is linear, so no pattern of bytes or words makes different windows agree; by chance,
+1e12 different windows have a pair that does once in 1e14 corpora.
 
 Words are runs of other than ASCII white space, unchanged. Null and short texts have no windows and lose nothing; empty
 texts keep the empty string. Long texts are read whole, in segments that overlap by a window.
@@ -23,11 +25,12 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import binary, mix, table
-from ._repeats import _WORD_BASE, BYTE_NAMES, CHUNK_BYTES, Deal, RangeHash, _ids, bucket_of, chunks, copied, known_keys, member, signed, unrepeated
+from ._repeats import CHUNK_BYTES, Deal, _ids, bucket_of, chunks, copied, known_keys, member, signed, unrepeated
 
 WINDOW = 13
 ROUNDS = 6
@@ -37,20 +40,45 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The names of the words of all texts, and the text of each word. Works through the texts in pieces of a chunk."""
-    names, docs, part, size = [], [], [], 0
+#: Two seeds: names of words, and a second name of each for the verification.
+SEEDS = (_U(0x8CB92BA72F3D8DD7), _U(0x2545F4914F6CDD1D))
+LONG_WORD = 64
+
+
+def hash_words(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word. Eight bytes at a time are mixed in, so no step is linear; words of more than
+    ``LONG_WORD`` bytes are hashed one by one."""
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the number that begins at each place
+    size = end - start
+    first, second = (mix(size.astype(np.uint64) ^ s) for s in SEEDS)
+    own = np.flatnonzero(size <= LONG_WORD)
+    at = start[own]
+    while len(own):
+        rest = end[own] - at
+        lane = words[at] & np.where(rest >= 8, ~_U(0), (_U(1) << (_U(8) * np.minimum(rest, 7).astype(np.uint64))) - _U(1))
+        first[own], second[own] = mix(first[own] ^ lane), mix((second[own] + lane) * _U(0x9FB21C651E98DF25))
+        more = rest > 8
+        own, at = own[more], at[more] + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        word = data[start[i] : end[i]]
+        first[i], second[i] = xxhash.xxh64_intdigest(word, int(SEEDS[0])), xxhash.xxh64_intdigest(word, int(SEEDS[1]))
+    return first, second
+
+
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both names of the words of all texts, and the text of each word. Works through the texts in pieces of a chunk."""
+    names, others, docs, part, size = [], [], [], [], 0
 
     def flush() -> None:
-        data = np.frombuffer(b" ".join([b for _, b in part]) + b" ", np.uint8)
-        if len(data) > 1:
-            space = _SPACE[data]
-            inside = ~space
-            start = np.flatnonzero(inside & np.concatenate(([True], space[:-1])))
-            end = np.flatnonzero(space & np.concatenate(([False], inside[:-1])))
-            names.append(mix(RangeHash(BYTE_NAMES[data]).of(start, end) + (end - start).astype(np.uint64)))
-            at = np.cumsum([len(b) + 1 for _, b in part])
-            docs.append(np.array([d for d, _ in part], np.int64)[np.searchsorted(at, start, "right")])
+        joined = b" ".join([b for _, b in part]) + b" " * 8
+        space = _SPACE[np.frombuffer(joined, np.uint8)]
+        inside = ~space
+        start = np.flatnonzero(inside & np.concatenate(([True], space[:-1])))
+        end = np.flatnonzero(space & np.concatenate(([False], inside[:-1])))
+        for own, found in zip((names, others), hash_words(joined, start, end), strict=True):
+            own.append(found)
+        at = np.cumsum([len(b) + 1 for _, b in part])
+        docs.append(np.array([d for d, _ in part], np.int64)[np.searchsorted(at, start, "right")])
 
     for d, text in enumerate(texts):
         at = 0
@@ -66,7 +94,15 @@ def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 part, size = [], 0
     if part:
         flush()
-    return (np.concatenate(names), np.concatenate(docs)) if names else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in (names, others, docs)) if names else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def window_hash(name: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``WINDOW`` names from each start: hashes of 2, 4 and 8 names, joined as 8 + 4 + 1."""
+    two = mix(name[:-1] * _U(0xA24BAED4963EE407) ^ name[1:])
+    four = mix(two[:-2] * _U(0x9FB21C651E98DF25) ^ two[2:])
+    eight = mix(four[:-4] * _U(0xD6E8FEB86659FD93) ^ four[4:])
+    return mix(mix(eight[start] * _U(0xCA5A826395121157) ^ four[start + 8]) * _U(0xA24BAED4963EE407) ^ name[start + 12])
 
 
 def window_keys(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,27 +148,29 @@ def window_keys(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(key[start]), start
 
 
-def _segments(name: np.ndarray, doc: np.ndarray):
+def _segments(names: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """Long stretches of words, cut with an overlap, so that arrays stay small."""
     step = CHUNK_BYTES // 2
-    for at in range(0, max(1, len(name) - WINDOW + 1), step):
-        yield at, name[at : at + step + WINDOW - 1], doc[at : at + step + WINDOW - 1]
+    for at in range(0, max(1, len(names[0]) - WINDOW + 1), step):
+        yield at, *(x[at : at + step + WINDOW - 1] for x in names)
 
 
 def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     found = []
-    for _, name, doc in _segments(*word_names(texts)):
+    for _, name, _, doc in _segments(word_names(texts)):
         key, start = window_keys(name, doc)
         found.append((key, doc[start]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _named(texts: list[bytes]):
-    """(key, window hash, text, first word) of all windows."""
+def _named(texts: list[bytes], known: np.ndarray | None = None, shift: np.uint64 = _U(0)):
+    """(window hash, second hash, text, first word) of all windows, or of those under ``known`` keys."""
     found = []
-    for at, name, doc in _segments(*word_names(texts)):
+    for at, name, other, doc in _segments(word_names(texts)):
         key, start = window_keys(name, doc)
-        found.append((key, mix(RangeHash(name, _WORD_BASE).of(start, start + WINDOW)), doc[start], start + at))
+        if known is not None:
+            start = start[member(key >> shift, known) >= 0]
+        found.append((window_hash(name, start), window_hash(other, start), doc[start], start + at) if len(start) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), doc[:0], start))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -148,43 +186,41 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         known = known_keys(notes)
         found = []
         for _, ids, texts in unrepeated(group, notes) if len(known) else ():
-            key, name, doc, _ = _named(texts)
-            hit = member(key >> shift, known) >= 0
-            found.append((name[hit], key[hit].astype(np.uint32).astype(np.uint64), ids[doc[hit]]))
+            name, tag, doc, _ = _named(texts, known, shift)
+            found.append((name, tag, ids[doc]))
         if found:
             name, tag, of = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((tag, name))
             name, tag, of = name[order], tag[order], of[order]
         if not found or not len(name):
-            return pa.table({"bucket": pa.array([], pa.int32()), "name": pa.array([], pa.int64()), "tag": pa.array([], pa.int32()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
+            return pa.table({"bucket": pa.array([], pa.int32()), "name": pa.array([], pa.int64()), "tag": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
         first = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (tag[1:] != tag[:-1]))))
         bucket = pa.array(np.full(len(first), bucket_of(group), np.int32))
-        return pa.table({"bucket": bucket, "name": signed(name[first]), "tag": pa.array(tag[first].astype(np.uint32).view(np.int32)), "low": np.minimum.reduceat(of, first), "high": np.maximum.reduceat(of, first)})
+        return pa.table({"bucket": bucket, "name": signed(name[first]), "tag": signed(tag[first]), "low": np.minimum.reduceat(of, first), "high": np.maximum.reduceat(of, first)})
 
-    rows = deal.rows.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(candidates, "bucket int, name long, tag int, low long, high long")
+    rows = deal.rows.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(candidates, "bucket int, name long, tag long, low long, high long")
     # Rows of a window: one a bucket at most.
     least = F.min("low").over(Window.partitionBy("name", "tag"))
     earlier = rows.select("bucket", "name", "tag", "high", least.alias("least")).filter("least < high").select("bucket", "name", "tag", "least", F.lit(None).cast("long").alias("mark"))
-    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("tag", "int"), ("least", "long"))], "mark")
+    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("tag", "long"), ("least", "long"))], "mark")
 
     def cut(group: pa.Table, windows: pa.Table) -> pa.Table:
         ids, texts, whole = _ids(group["doc_id"]), binary(group["text"]), copied(group, windows)
         windows = windows.filter(pc.is_null(windows["mark"]))
         name, tag, least = (windows[c].to_numpy() for c in ("name", "tag", "least"))
-        # Both parts of a window's name as one sortable value of 64 bits, told apart by the tag afterwards.
-        order = np.lexsort((tag, name.view(np.uint64)))
-        name, tag, least = name[order].view(np.uint64), tag[order], least[order]
+        order = np.argsort(name.view(np.uint64))
+        name, tag, least = name[order].view(np.uint64), tag[order].view(np.uint64), least[order]
         out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "text")}
         for own in chunks(texts):
             split = [texts[i].split() for i in own]
             ends = np.cumsum([len(w) for w in split])
             gone = np.zeros(int(ends[-1]) + 1, np.int64)
             if len(name):
-                key, of, doc, start = _named([texts[i] for i in own])
+                of, own_tag, doc, start = _named([texts[i] for i in own])
                 left, right = np.searchsorted(name, of, "left"), np.searchsorted(name, of, "right")
-                own_tag, mine = key.astype(np.uint32).view(np.int32), ids[np.array(own)][doc]
+                mine = ids[np.array(own)][doc]
                 ok = (right > left) & False
-                for step in range(int((right - left).max(initial=0))):  # hashes that tags tell apart are rare
+                for step in range(int((right - left).max(initial=0))):  # names that second hashes tell apart are rare
                     at = np.minimum(left + step, len(name) - 1)
                     ok |= (left + step < right) & (tag[at] == own_tag) & (least[at] < mine)
                 np.add.at(gone, start[ok], 1)
