@@ -32,7 +32,7 @@ CHUNK_BYTES = 1 << 20
 LAST_ID = (1 << 63) - 1
 
 _U = np.uint64
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
+_BASE = 0x9E3779B97F4A7C15 | 1
 BYTE_NAMES = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -50,7 +50,10 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """64-bit hashes of ranges of a sequence of 64-bit names; equal content gives equal hashes at any place."""
+    """64-bit hashes of ranges of a sequence of 64-bit names; equal content gives equal hashes at any place.
+
+    They are polynomials, so long ranges of a regular pattern can agree by construction; ranges under 1024 names do not.
+    """
 
     def __init__(self, names: np.ndarray, base: int = _BASE):
         up, self.down = powers(base, len(names))
@@ -117,7 +120,8 @@ class Deal:
         buckets = max(least, -(-size // BUCKET_BYTES))
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         own = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).withColumn("mark", F.xxhash64("text", "doc_id"))
-        self.rows = own.repartition(max(least, -(-size // PARTITION_BYTES)), "bucket")
+        self.partitions = max(least, -(-size // PARTITION_BYTES))
+        self.rows = own.repartition(self.partitions, "bucket")
         # New names for columns, so that a bucket's own rows can meet its notes.
         named = own.select(F.expr("bucket + 0").cast("int").alias("bucket"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "mark", F.md5("text").alias("name"))
         first = named.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("name", "least")

@@ -2,7 +2,8 @@
 
 The key of a 50-byte window is the least hash of its 16-byte strings, a choice that its bytes alone decide (see
 ``_repeats`` for the plan). Windows under a key that documents of different ids share are candidates. Neighbouring windows
-of one key form a fragment; each bucket sends each distinct fragment once, and all fragments of a key meet in one shard.
+of one key form a fragment; each bucket sends each distinct fragment once, and all fragments of a key meet in one shard. A
+bucket tells its own fragments apart by a 64-bit hash and the 64-bit key together.
 
 A shard sorts its suffixes in two stages. Suffixes smaller than their successors (S) are sorted directly, by their first
 56 bytes. The rest (L) is induced: buckets are scanned by first byte, from small to great; each suffix that is met places
@@ -157,7 +158,7 @@ def same_prefix(data: np.ndarray, order: np.ndarray, length: int = WINDOW) -> np
     return np.concatenate(([False], same)) if len(order) else same
 
 
-def _shard(bucket: np.ndarray, name: np.ndarray, low: np.ndarray, high: np.ndarray, fragments: list[bytes]) -> pa.Table:
+def _shard(bucket: np.ndarray, name: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, fragments: list[bytes]) -> pa.Table:
     """The runs of windows of each fragment that have a smaller id elsewhere."""
     size = np.array([len(f) for f in fragments], np.int64)
     ends = np.cumsum(size)
@@ -174,7 +175,12 @@ def _shard(bucket: np.ndarray, name: np.ndarray, low: np.ndarray, high: np.ndarr
     first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1] + 1) | (of[place[1:]] != of[place[:-1]]) | (least[place[1:]] != least[place[:-1]])))) if len(place) else place
     at = place[first]
     f = of[at]
-    return pa.table({"bucket": pa.array(bucket[f].astype(np.int32)), "name": pa.array(name[f]), "at": pa.array((at - (ends[f] - size[f])).astype(np.int32)), "count": pa.array(np.diff(np.append(first, len(place))).astype(np.int32)), "least": pa.array(least[at])})
+    return pa.table({"bucket": pa.array(bucket[f].astype(np.int32)), "name": pa.array(name[f]), "key": pa.array(key[f]), "at": pa.array((at - (ends[f] - size[f])).astype(np.int32)), "count": pa.array(np.diff(np.append(first, len(place))).astype(np.int32)), "least": pa.array(least[at])})
+
+
+def new_pairs(name: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where a sorted pair differs from the one before."""
+    return np.concatenate(([True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -184,7 +190,6 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, the kept bytes (a cut may fall within a character)."""
     deal = Deal(docs)
     notes, shift = deal.shared_keys(keys_of), deal.shift
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def candidates(group: pa.Table, notes: pa.Table) -> pa.Table:
         known = known_keys(notes)
@@ -193,18 +198,20 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             data, _, key, doc, begin, end, name = _fragments(texts, known, shift)
             if len(key):
                 of = ids[doc]
-                once, place = np.unique(name, return_index=True)
-                at = np.arange(len(fragments), len(fragments) + len(once))
+                order = np.lexsort((key, name))
+                first = new_pairs(name[order], key[order])
+                place, at = order[first], np.empty(len(name), np.int64)
+                at[order] = len(fragments) + np.cumsum(first) - 1
                 fragments += [data[a:b] for a, b in zip(begin[place].tolist(), end[place].tolist(), strict=True)]
                 names.append(name)
-                found.append((key, of, at[np.searchsorted(once, name)]))
+                found.append((key, of, at))
         if not names:
             return pa.table({"bucket": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "name": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64()), "fragment": pa.array([], pa.binary())})
         name = np.concatenate(names)
         key, of, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(name)
+        order = np.lexsort((key, name))
         name, of = name[order], of[order]
-        first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+        first = np.flatnonzero(new_pairs(name, key[order]))
         bucket = pa.array(np.full(len(first), bucket_of(group), np.int32))
         own = [fragments[i] for i in at[order][first].tolist()]
         return pa.table({"bucket": bucket, "key": signed(key[order][first]), "name": signed(name[first]), "low": np.minimum.reduceat(of, first), "high": np.maximum.reduceat(of, first), "fragment": pa.array(own, pa.binary())})
@@ -217,7 +224,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
         def sort(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
-            columns = (t[c].to_numpy() for c in ("bucket", "name", "low", "high"))
+            columns = (t[c].to_numpy() for c in ("bucket", "name", "key", "low", "high"))
             yield from _shard(*columns, t["fragment"].to_pylist()).to_batches()
 
         for batch in batches:
@@ -242,23 +249,24 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         if held:
             yield from sort(held)
 
-    runs = rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(shards, "bucket int, name long, at int, count int, least long")
+    runs = rows.repartition(deal.partitions, "key").sortWithinPartitions("key").mapInArrow(shards, "bucket int, name long, key long, at int, count int, least long")
 
     def cut(group: pa.Table, runs: pa.Table) -> pa.Table:
         ids, texts, whole = _ids(group["doc_id"]), binary(group["text"]), copied(group, runs)
         runs = runs.filter(pc.is_null(runs["mark"]))
         names = runs["name"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(names)
-        names, at, count, least = names[order], *(runs[c].to_numpy()[order] for c in ("at", "count", "least"))
+        names, keys, at, count, least = names[order], *(runs[c].to_numpy()[order] for c in ("key", "at", "count", "least"))
+        keys = keys.astype(np.int64).view(np.uint64)
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for own in chunks(texts):
-            data, starts, _, doc, begin, _, name = _fragments([texts[i] for i in own]) if len(names) else (*_join([texts[i] for i in own]), *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
+            data, starts, key, doc, begin, _, name = _fragments([texts[i] for i in own]) if len(names) else (*_join([texts[i] for i in own]), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
             edge = np.zeros(len(data) + 1, np.int32)
             left, right = np.searchsorted(names, name, "left"), np.searchsorted(names, name, "right")
             hit = np.flatnonzero(right > left)
             of = np.repeat(hit, (right - left)[hit])
             row = left[of] + np.arange(len(of)) - np.repeat(np.cumsum((right - left)[hit]) - (right - left)[hit], (right - left)[hit])
-            ok = least[row] < ids[np.array(own)][doc[of]] if len(of) else np.zeros(0, bool)
+            ok = (least[row] < ids[np.array(own)][doc[of]]) & (keys[row] == key[of]) if len(of) else np.zeros(0, bool)
             a = begin[of[ok]] + at[row[ok]]
             np.add.at(edge, a, 1)
             np.add.at(edge, a + count[row[ok]] + WINDOW - 1, -1)
@@ -277,7 +285,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return pa.table({"doc_id": group["doc_id"].combine_chunks()} | columns)
 
     runs = runs.withColumn("mark", F.lit(None).cast("long"))
-    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("at", "int"), ("count", "int"), ("least", "long"))], "mark")
+    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("key", "long"), ("at", "int"), ("count", "int"), ("least", "long"))], "mark")
     result = deal.rows.groupBy("bucket").cogroup(runs.union(copies).groupBy("bucket")).applyInArrow(cut, RESULT)
     return result if with_text else result.drop("kept")
 
