@@ -7,8 +7,8 @@ page_id, place). File names are unique to an attempt; only the manifest, which S
 task that runs again leaves stray files at worst, never a wrong archive.
 
 Merging. Each range of keys is one task. It opens the runs at its lower bound, which each run's directory of first keys
-finds, and merges them with a loser tree (log2 k comparisons a capture) up to its upper bound. A task opens ``FAN_IN`` runs
-at most: with more, groups of runs are merged into longer runs first. Range bounds come from a bounded sample of keys; they
+finds, and merges them with a loser tree (log2 k comparisons a capture) up to its upper bound. A task opens about ``FAN_IN``
+runs at most: with more, groups of runs are merged into longer runs first, by ranges too. Range bounds come from a bounded sample of keys; they
 only decide how evenly tasks are filled. The keys are whole capture keys, so one host or one URL with a third of all
 captures is still cut into many ranges.
 
@@ -31,16 +31,17 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import binary, shared_dir, staged, table
+from ._common import binary, bounded, shared_dir, staged, table
 
 LEAST_REVISIT = 100
 FILE_BYTES = 64 << 20
 FILE_RECORDS = 200_000
 FAN_IN = 256
 RANGE_ROWS = 200_000
+LEVEL_ROWS = 1_000_000
 SAMPLE_KEYS = 50_000
 EPOCH = 946_684_800  # page 0 was captured at 2000-01-01T00:00:00Z, page n n seconds later
 _MAX_ID = (1 << 62) - 1
@@ -223,14 +224,24 @@ class LoserTree:
 
 
 def decide(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, bytes, refers_to, revisit for each row."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-    # The groups that have revisits: ids and digests only, summed before the shuffle.
-    shared = rows.filter(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1 AND least IS NOT NULL").select("digest", "least")
-    joined = rows.join(shared, "digest", "left")
-    revisit = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
-    return joined.select("page_id", "url", "html", "digest", "bytes", F.when(revisit, F.col("least")).alias("refers_to"), revisit.alias("revisit"))
+    """page_id, url, html, digest, bytes, refers_to, revisit for each row.
+
+    Payload groups are summed before the shuffle and written. Groups of more than a partition's share of the rows, of which
+    there are at most as many as partitions, are broadcast; their rows then need no partner in the shuffle, are dealt out by
+    their ids, and meet in no one task, however many copies a payload has.
+    """
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    spark = pages.sparkSession
+    shared = staged(rows.filter(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1 AND least IS NOT NULL"), "shared")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = (shared.agg(F.sum("n")).first()[0] or 0) // partitions + 1
+    hot = F.broadcast(shared.filter(F.col("n") > share).select("digest", F.col("least").alias("hot")))  # under one a partition
+    dealt = rows.join(hot, "digest", "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot "), F.coalesce("page_id", F.lit(-1)).cast("string"))))
+    joined = dealt.join(shared.filter(F.col("n") <= share).select(F.col("digest").alias("key"), "least"), "key", "left")
+    least = F.coalesce("hot", "least")
+    revisit = least.isNotNull() & ~F.col("page_id").eqNullSafe(least)
+    return joined.select("page_id", "url", "html", "digest", "bytes", F.when(revisit, least).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -254,7 +265,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
     fs, path = _fs(folder)
     fs.create_dir(path, recursive=True)
-    return staged(decide(pages).mapInArrow(work, MANIFEST), "manifest")
+    return staged(bounded(decide(pages)).mapInArrow(work, MANIFEST), "manifest")
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -315,40 +326,56 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def merge_index(manifest: DataFrame, folder: str, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The global index: urlkey, ts, page_id, file, offset, length, index_range, index_pos; ordered by (index_range, index_pos)."""
-    spark = manifest.sparkSession
-    runs = manifest.select("run")
-    while (k := runs.count()) > fan_in:
-        groups = -(-k // fan_in)
+    """The global index: urlkey, ts, page_id, file, offset, length, index_range, index_pos; ordered by (index_range, index_pos).
+
+    While a range of keys has more than ``fan_in`` runs, they are merged in groups, each group in as many key ranges as keep
+    a task's rows bounded; a level's output lies in the finer ranges of the next. Every level has about total / ``LEVEL_ROWS``
+    tasks, so neither many runs nor long ones meet in one task.
+    """
+    head = manifest.agg(F.sum("records"), F.count("*")).first()
+    total, files = head[0] or 0, head[1]
+    keys = manifest.select(F.explode("sample").alias("s")).select("s.*")
+    if files * 33 > SAMPLE_KEYS:
+        keys = keys.sample(SAMPLE_KEYS / (files * 33), 7)
+    sampled = sorted(tuple(r) for r in keys.limit(2 * SAMPLE_KEYS).collect())
+
+    def edges(ranges: int) -> list[tuple | None]:
+        """Bounds of so many ranges; those of a multiple contain them."""
+        return [None, *[(*sampled[i * len(sampled) // ranges], "", -1) for i in range(1, ranges)], None]
 
-        def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    runs, ranges = manifest.select(F.lit(0).alias("part"), "run"), 1
+    most = 10_000 if sampled else 1
+    while (k := runs.groupBy("part").count().agg(F.max("count")).first()[0] or 0) > fan_in:
+        groups = min(k - 1, -(-5 * k // (4 * fan_in)))  # dealt by a hash, so with some room
+        split = max(1, min(most // ranges, -(-total // (ranges * groups * LEVEL_ROWS))))
+        bounds = edges(ranges * split)
+
+        def longer(batches: Iterator[pa.RecordBatch], bounds=bounds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for names in batch.column(0).to_pylist():
+                for part, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    rows = iter(LoserTree(read_run(n, bounds[part], bounds[part + 1]) for n in names))
+                    if (row := next(rows, None)) is None:
+                        continue
                     name = f"{folder}/{uuid.uuid4().hex}.run"
                     with RunWriter(name) as w:
-                        for row in LoserTree(read_run(n, None, None) for n in names):
+                        w.add(row)
+                        for row in rows:
                             w.add(row)
-                    yield pa.RecordBatch.from_pydict({"run": [name]})
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name])], names=["part", "run"])
 
-        place = F.row_number().over(Window.orderBy("run")) - 1  # names of runs only
-        runs = staged(runs.withColumn("g", F.pmod(place, F.lit(groups))).groupBy("g").agg(F.collect_list("run").alias("runs")).select("runs").repartition(groups).mapInArrow(longer, "run string"), "runs")
-    names = sorted(r[0] for r in runs.collect())  # fan_in at most
-    total = manifest.agg(F.sum("records")).first()[0] or 0
-    files = max(1, manifest.count())
-    keys = manifest.select(F.explode("sample").alias("s")).select("s.*")
-    if files * 33 > SAMPLE_KEYS:
-        keys = keys.sample(SAMPLE_KEYS / (files * 33), 7)
-    sampled = sorted(tuple(r) for r in keys.limit(2 * SAMPLE_KEYS).collect())
-    ranges = max(1, min(len(sampled) or 1, -(-total // range_rows), 10_000))
-    bounds = sorted({sampled[i * len(sampled) // ranges] for i in range(1, ranges)}) if sampled else []
-    edges = [None, *[(*b, "", -1) for b in bounds], None]
+        grouped = runs.groupBy("part", F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g")).agg(F.collect_list("run").alias("runs"))
+        tasks = grouped.select(F.explode(F.expr(f"transform(sequence(0, {split - 1}), i -> part * {split} + i)")).alias("part"), "g", "runs")
+        tasks = tasks.repartition(min(10_000, ranges * split * groups), "part", "g").select("part", "runs")
+        runs, ranges = staged(tasks.mapInArrow(longer, "part int, run string"), "runs"), ranges * split
+    split = max(1, min(most // ranges, -(-total // (ranges * range_rows))))
+    bounds = edges(ranges * split)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = RUN_SCHEMA.append(pa.field("index_range", pa.int64())).append(pa.field("index_pos", pa.int64()))
         for batch in batches:
-            for r in batch.column(0).to_pylist():
+            for r, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows: list[tuple] = []
-                for at, row in enumerate(LoserTree(read_run(n, edges[r], edges[r + 1]) for n in names)):
+                for at, row in enumerate(LoserTree(read_run(n, bounds[r], bounds[r + 1]) for n in names)):
                     rows.append((*row, r, at))
                     if len(rows) == 10_000:
                         yield _batch(rows, schema)
@@ -357,7 +384,9 @@ def merge_index(manifest: DataFrame, folder: str, fan_in: int = FAN_IN, range_ro
                     yield _batch(rows, schema)
 
     spec = "urlkey string, ts string, page_id long, file string, offset long, length long, index_range long, index_pos long"
-    return spark.range(0, len(edges) - 1, 1, len(edges) - 1).mapInArrow(merge, spec)
+    own = runs.groupBy("part").agg(F.sort_array(F.collect_list("run")).alias("runs"))  # fan_in at most
+    tasks = own.select(F.explode(F.expr(f"transform(sequence(0, {split - 1}), i -> part * {split} + i)")).alias("part"), "runs")
+    return tasks.repartition(ranges * split, "part").mapInArrow(merge, spec)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
