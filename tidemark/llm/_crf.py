@@ -92,8 +92,12 @@ class CRF:
         """Adam on the mean penalised log likelihood of (features, labels); no random numbers are drawn."""
         sequences = sorted(sequences, key=lambda s: len(s[1]))
         batches = []
-        for at in range(0, len(sequences), 512):
-            own = sequences[at : at + 512]
+        at = 0
+        while at < len(sequences):  # of 512 sequences, or fewer where they are long, so that padding stays bounded
+            end = at + 1
+            while end < len(sequences) and end - at < 512 and (end + 1 - at) * len(sequences[end][1]) <= 1 << 18:
+                end += 1
+            own, at = sequences[at:end], end
             size = np.array([len(y) for _, y in own])
             x = np.zeros((len(own), size.max(), self.weight.shape[0]))
             y = np.zeros(x.shape[:2], int)

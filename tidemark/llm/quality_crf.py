@@ -10,7 +10,7 @@ first take their document's label; after a first fit, lines of bad documents tha
 worst of each, and the field is fitted again. Only features reach the driver. Scores never see labels, lang, source or id.
 
 Lines without a word are left out. Null and empty texts have no lines and take the raw quality 0, so their score is the
-curve's lowest. Without usable labels every score is 0.5. Of several labels of a document the least counts. Repeated rows are
+curve's lowest. A null id is in no fold, so never held out. Without usable labels every score is 0.5. Of several labels of a document the least counts. Repeated rows are
 scored alike. Long texts are read whole; one of more than ``BLOCK`` lines is a batch of its own. Extra columns are ignored.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import binary, table
+from ._common import binary, bounded, table
 from ._crf import CRF
 from .quality_rules import STOP_WORDS
 
@@ -134,7 +134,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) ->
             found = [line_features(t) for t in binary(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist() for x, _ in found], pa.list_(pa.float64())), pa.array([w.tolist() for _, w in found], pa.list_(pa.float64())), batch.column(1)], names=["x", "w", "y"])
 
-    return rows.mapInArrow(work, "x array<double>, w array<double>, y long")
+    return bounded(rows).mapInArrow(work, "x array<double>, w array<double>, y long")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -166,10 +166,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 every.append(scores(own_model, texts[at:end]))
                 at = end
             own = np.concatenate(every) if every else np.zeros(0)
-            held = [None if i is None else zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
+            held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(own), pa.array((own >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
