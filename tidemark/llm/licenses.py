@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import binary, table
+from ._common import binary, bounded, table
 
 TRAIN_DOCS = 400
 SURE = 0.6
@@ -222,7 +222,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_paragraphs", "n_licenses", "families", "family", "probability"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_paragraphs long, n_licenses long, families string, family string, probability double")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_paragraphs long, n_licenses long, families string, family string, probability double")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

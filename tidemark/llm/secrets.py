@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import bounded, map_rows, table
 from ._crf import CRF
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -286,7 +286,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> CRF:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["turn", "place", "x", "y"])
 
     # Ordered by hash and place, so that the bounded sample does not depend on which task is first.
-    rows = sample.mapInArrow(work, "turn long, place long, x binary, y binary").orderBy("turn", "place", "x", "y").limit(most // 2).collect()
+    rows = bounded(sample).mapInArrow(work, "turn long, place long, x binary, y binary").orderBy("turn", "place", "x", "y").limit(most // 2).collect()
     sequences = [(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float), np.frombuffer(r["y"], np.int8).astype(int)) for r in rows]
     sequences += [examples(*g) for g in generated()]
     return CRF(FEATURES, 3).fit(sequences, rounds=120, penalty=1e-4)
@@ -347,7 +347,7 @@ def scan(docs: DataFrame, model: CRF | None = None) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame, model: CRF | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -372,7 +372,7 @@ def redact(docs: DataFrame, model: CRF | None = None, mark: str = "[SECRET]") ->
             texts = own.to_pylist()
             yield batch.set_column(place, batch.schema.field(place), pa.array([clean(t, *found) for t, found in zip(texts, find_all(texts, own_model), strict=True)], own.type))
 
-    cleaned = docs.mapInArrow(work, docs.schema)
+    cleaned = map_rows(docs, work)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
