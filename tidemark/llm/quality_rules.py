@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import fresh_prefix, quoted, table
 
 SYMBOLS = "#*$%&|<>"
 SQL_SPACE = r"[ \\t-\\r]+"
@@ -47,20 +47,13 @@ RULES = (
 )
 
 
-def fresh_prefix(columns: list[str], prefix: str = "_q_") -> str:
-    """A prefix that no column has, whatever its case."""
-    while any(c.lower().startswith(prefix) for c in columns):
-        prefix = "_" + prefix
-    return prefix
-
-
 def with_measures(df: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame:
     """Add the measure columns. Each step is a projection of its own, so no measure is evaluated twice.
 
     Windows that occur twice or more: a text whose window hashes all differ has none. Only where two agree are the windows
     themselves sorted with their places, so that the places of equal neighbours can be kept.
     """
-    own, white = [f"`{c}`" for c in df.columns], r" \t\n\u000b\u000c\r"
+    own, white = quoted(df.columns), r" \t\n\u000b\u000c\r"
     df = df.select(*own, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(f"{prefix}text"))
 
     def add(name: str, expression: str) -> None:
@@ -123,9 +116,9 @@ def keep(docs: DataFrame) -> DataFrame:
     The row number is a barrier: without it the optimizer moves the filter below the projections and copies every measure
     into it.
     """
-    p = fresh_prefix(docs.columns)
+    p = fresh_prefix(docs.columns, "_q_")
     judged = judge(docs, prefix=p).withColumn(f"{p}row", F.monotonically_increasing_id())
-    return judged.filter(f"{p}kept AND {p}row >= 0").select(*[f"`{c}`" for c in docs.columns])
+    return judged.filter(f"{p}kept AND {p}row >= 0").select(*quoted(docs.columns))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
