@@ -99,10 +99,10 @@ add("sort_topk", lambda s, d: search(table(s, d, "events"), SearchRequest(sort=[
 add("sort_two_fields_nulls", lambda s, d: search(_nulled(s, d), SearchRequest(sort=[("event_type", "asc"), ("value", "desc")], size=3000, tie="event_id"), EVENTS).select("event_id", "value"), f"SELECT event_id, {_NULLED} AS value FROM events ORDER BY event_type ASC NULLS LAST, {_NULLED} DESC NULLS LAST, event_id ASC LIMIT 3000")
 add("search_after", lambda s, d: _nulled(s, d).filter(keyset([("value", "desc")], "event_id", (50.0, 1000))).select("event_id"), f"SELECT event_id FROM events WHERE {_NULLED} < 50 OR {_NULLED} IS NULL OR ({_NULLED} = 50 AND event_id < 1000)")
 add("from_size", lambda s, d: search(table(s, d, "events"), SearchRequest(sort=[("ts", "asc")], size=30, start=40, tie="event_id"), EVENTS).select("event_id"), "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 30 OFFSET 40")
-add("bm25_topk", lambda s, d: bm25(table(s, d, "documents"), "text", "instan onheed", "doc_id").select("doc_id", F.round("score", 6).alias("score")), f"""
+add("bm25_topk", lambda s, d: bm25(table(s, d, "documents"), "text", "instan onheed", "doc_id", top=20).select("doc_id", F.round("score", 6).alias("score")), f"""
 WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents), f AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'instan')) AS a, len(list_filter(t, lambda x: x = 'onheed')) AS b FROM t),
 s AS (SELECT count(*) AS c, avg(n) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f)
-SELECT doc_id, round(ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (c - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)), 6) AS score FROM f, s WHERE a > 0 OR b > 0""")
+SELECT doc_id, round(ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (c - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)), 6) AS score FROM f, s WHERE a > 0 OR b > 0 ORDER BY score DESC, doc_id LIMIT 20""")
 
 
 def _agg(name: str, request: dict, path: str, sql: str, source: Callable = lambda s, d: table(s, d, "events"), columns: tuple[str, ...] | None = None, rounded: tuple[str, ...] = ()) -> None:
@@ -120,15 +120,15 @@ _agg("agg_multi_terms", {"k": {"multi_terms": {"terms": [{"field": "l_returnflag
 _agg("agg_histogram", {"h": {"histogram": {"field": "value", "interval": 50}}}, "h", "WITH g AS (SELECT CAST(floor(value / 50) * 50 AS DOUBLE) AS h, count(*) AS n FROM events GROUP BY 1), e AS (SELECT CAST(unnest(range(CAST(min(h) / 50 AS BIGINT), CAST(max(h) / 50 AS BIGINT) + 1)) * 50 AS DOUBLE) AS h FROM g) SELECT h, coalesce(n, 0) AS doc_count FROM e LEFT JOIN g USING (h)")
 _agg("agg_histogram_bounds", {"h": {"histogram": {"field": "value", "interval": 100, "extended_bounds": {"min": -200, "max": 100}}}}, "h", "WITH g AS (SELECT CAST(floor(value / 100) * 100 AS DOUBLE) AS h, count(*) AS n FROM events GROUP BY 1), e AS (SELECT CAST(unnest(range(least(-2, CAST(min(h) / 100 AS BIGINT)), greatest(1, CAST(max(h) / 100 AS BIGINT)) + 1)) * 100 AS DOUBLE) AS h FROM g) SELECT h, coalesce(n, 0) AS doc_count FROM e LEFT JOIN g USING (h)")
 _agg("agg_date_histogram", {"d": {"date_histogram": {"field": "ts", "fixed_interval": "30d", "offset": "-4d", "min_doc_count": 1}}}, "d", "SELECT CAST(floor((epoch_ms(ts) + 345600000) / 2592000000) * 2592000000 - 345600000 AS BIGINT) AS d, count(*) AS doc_count FROM events GROUP BY 1")
-_agg("agg_date_histogram_gapfill", {"d": {"date_histogram": {"field": "ts", "fixed_interval": "6h"}}}, "d", "WITH g AS (SELECT epoch_ms(ts) // 21600000 AS k, count(*) AS n FROM events WHERE user_id = 17 GROUP BY 1), e AS (SELECT unnest(range(min(k), max(k) + 1)) AS k FROM g) SELECT k * 21600000 AS d, coalesce(n, 0) AS doc_count FROM e LEFT JOIN g USING (k)", lambda s, d: table(s, d, "events").filter("user_id = 17"))
+_agg("agg_date_histogram_gapfill", {"d": {"date_histogram": {"field": "ts", "fixed_interval": "1m"}}}, "d", "WITH g AS (SELECT epoch_ms(ts) // 60000 AS k, count(*) AS n FROM events GROUP BY 1), e AS (SELECT unnest(range(min(k), max(k) + 1)) AS k FROM g) SELECT k * 60000 AS d, coalesce(n, 0) AS doc_count FROM e LEFT JOIN g USING (k)")
 _agg("agg_range", {"r": {"range": {"field": "value", "ranges": [{"to": 20}, {"from": 20, "to": 80}, {"from": 80, "to": 1e9, "key": "high"}, {"from": 1e9}]}}}, "r", "SELECT * FROM (SELECT '*-20.0' AS r, count(*) FILTER (value < 20) AS doc_count FROM events UNION ALL SELECT '20.0-80.0', count(*) FILTER (value >= 20 AND value < 80) FROM events UNION ALL SELECT 'high', count(*) FILTER (value >= 80 AND value < 1e9) FROM events UNION ALL SELECT '1000000000.0-*', count(*) FILTER (value >= 1e9) FROM events)")
 _COMPOSITE = [{"kind": {"terms": {"field": "event_type"}}}, {"v": {"histogram": {"field": "value", "interval": 100}}}]
 _agg("agg_composite_page1", {"c": {"composite": {"sources": _COMPOSITE, "size": 5}}}, "c", "SELECT event_type AS c_kind, CAST(floor(value / 100) * 100 AS DOUBLE) AS c_v, count(*) AS doc_count FROM events GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 5")
 _agg("agg_composite_after", {"c": {"composite": {"sources": [{"kind": {"terms": {"field": "event_type"}}}, {"v": {"terms": {"field": "value", "missing_bucket": True}}}], "size": 8, "after": {"kind": "click", "v": None}}}}, "c", f"SELECT event_type AS c_kind, {_NULLED} AS c_v, count(*) AS doc_count FROM events GROUP BY 1, 2 HAVING c_kind > 'click' OR (c_kind = 'click' AND c_v IS NOT NULL) ORDER BY 1, 2 NULLS FIRST LIMIT 8", _nulled)
 _agg("agg_stats", {"v": {"stats": {"field": "value"}}}, "", f"SELECT count({_NULLED}) AS v_count, min({_NULLED}) AS v_min, max({_NULLED}) AS v_max, round(avg({_NULLED}), 4) AS v_avg, round(sum({_NULLED}), 4) AS v_sum FROM events", _nulled, rounded=("v_avg", "v_sum"))
 _agg("agg_extended_stats", {"q": {"extended_stats": {"field": "l_quantity"}}}, "", "SELECT count(l_quantity) AS q_count, min(l_quantity) AS q_min, max(l_quantity) AS q_max, round(avg(l_quantity), 4) AS q_avg, round(sum(l_quantity), 4) AS q_sum, round(sum(l_quantity * l_quantity), 4) AS q_sum_of_squares, round(var_pop(l_quantity), 4) AS q_variance_population, round(var_samp(l_quantity), 4) AS q_variance_sampling, round(stddev_pop(l_quantity), 4) AS q_std_deviation_population, round(stddev_samp(l_quantity), 4) AS q_std_deviation_sampling, round(avg(l_quantity) + 2 * stddev_pop(l_quantity), 4) AS q_upper, round(avg(l_quantity) - 2 * stddev_pop(l_quantity), 4) AS q_lower FROM lineitem", lambda s, d: table(s, d, "lineitem"), rounded=tuple(f"q_{x}" for x in ("avg", "sum", "sum_of_squares", "variance_population", "variance_sampling", "std_deviation_population", "std_deviation_sampling", "upper", "lower")))
-_agg("agg_percentiles", {"p": {"percentiles": {"field": "value", "percents": [50, 95, 99]}}}, "", "SELECT round(quantile_cont(value, 0.5), 4) AS p_p50, round(quantile_cont(value, 0.95), 4) AS p_p95, round(quantile_cont(value, 0.99), 4) AS p_p99 FROM events", rounded=("p_p50", "p_p95", "p_p99"))
-_agg("agg_cardinality", {"u": {"cardinality": {"field": "user_id"}}}, "", "SELECT count(DISTINCT user_id) AS u FROM events")
+_agg("agg_percentiles", {"p": {"percentiles": {"field": "value", "percents": [50, 95, 99], "exact": True}}}, "", "SELECT round(quantile_cont(value, 0.5), 4) AS p_p50, round(quantile_cont(value, 0.95), 4) AS p_p95, round(quantile_cont(value, 0.99), 4) AS p_p99 FROM events", rounded=("p_p50", "p_p95", "p_p99"))
+_agg("agg_cardinality", {"u": {"cardinality": {"field": "user_id", "exact": True}}}, "", "SELECT count(DISTINCT user_id) AS u FROM events")
 _agg("agg_cardinality_approx", {"u": {"cardinality": {"field": "user_id", "exact": False}}}, "", "")
 _agg("agg_nested_3level", {"a": {"terms": {"field": "o_orderstatus"}, "aggs": {"b": {"terms": {"field": "o_orderpriority", "size": 3}, "aggs": {"c": {"histogram": {"field": "o_totalprice", "interval": 100000, "min_doc_count": 1}}}}}}}, "a>b>c", "WITH r AS (SELECT o_orderstatus AS a, o_orderpriority AS b, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS k FROM orders GROUP BY 1, 2) SELECT a, b, CAST(floor(o_totalprice / 100000) * 100000 AS DOUBLE) AS c, count(*) AS doc_count FROM orders JOIN r ON a = o_orderstatus AND b = o_orderpriority WHERE k <= 3 GROUP BY 1, 2, 3", lambda s, d: table(s, d, "orders"))
 _agg("agg_top_hits", {"t": {"terms": {"field": "event_type"}, "aggs": {"h": {"top_hits": {"size": 2, "sort": [{"value": "desc"}, {"event_id": "asc"}]}}}}}, "t>h", "SELECT t, event_id, value FROM (SELECT event_type AS t, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, event_id) AS k FROM events) WHERE k <= 2", columns=("t", "event_id", "value"))
@@ -158,7 +158,7 @@ def _points(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")))
 
 
-add("metrics_rollup_avg_of_max", lambda s, d: discovery.rollup(_points(s, d).filter("user_id < 50"), ["event_type", "user_id"], ["event_type"], F.col("t"), "value", "max", "avg", 3600).withColumn("value", F.round("value", 4)), "SELECT event_type, bin, round(avg(m), 4) AS value FROM (SELECT event_type, user_id, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bin, max(value) AS m FROM events WHERE user_id < 50 GROUP BY 1, 2, 3) GROUP BY 1, 2")
+add("metrics_rollup_avg_of_max", lambda s, d: discovery.rollup(_points(s, d), ["event_type", "user_id"], ["event_type"], F.col("t"), "value", "max", "avg", 3600).withColumn("value", F.round("value", 4)), "SELECT event_type, bin, round(avg(m), 4) AS value FROM (SELECT event_type, user_id, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bin, max(value) AS m FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2")
 add("window_start", lambda s, d: _points(s, d).select("event_id", datetimes.window_start(F.col("t") - 1_800_000_000, 900).alias("w")), "SELECT event_id, CAST(floor((floor(epoch(ts)) - 1800000000) / 900) * 900 AS BIGINT) AS w FROM events")
 add("series_id", lambda s, d: table(s, d, "events").select("event_id", discovery.series_id("event_type", ["user_id"]).alias("series")))
 add("route_hash_mod", lambda s, d: table(s, d, "events").select("event_id", discovery.routing("event_type,hash_mod((user_id),16)").alias("route")))
@@ -215,11 +215,15 @@ _sql_query("metrics_inlist_group", "SELECT event_type, user_id, max(value) AS m
 # -- operators on stored indexes: each call writes an index of its own into the shared folder
 
 def _folder(s: SparkSession, name: str) -> str:
-    """A new folder where executors and driver both see it."""
+    """A new folder where executors and driver both see it: under the shared one, or, on one machine alone, a temporary one."""
     import tempfile
     import uuid
 
-    where = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    where = s.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not s.sparkContext.master.startswith("local[") and s.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        where = "file://" + tempfile.gettempdir()
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -324,9 +328,15 @@ _agg("agg_metrics", {"a": {"avg": {"field": "value"}}, "s": {"sum": {"field": "v
 add("partition_overflow", lambda s, d: docs.partitioned(table(s, d, "events"), F.col("event_type"), 3).groupBy(F.when(F.col("_partition") == 0, "OTHER").otherwise(F.col("event_type")).alias("part")).agg(F.count("*").alias("n")), "WITH k AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC) AS i FROM k) SELECT CASE WHEN i <= 3 THEN event_type ELSE 'OTHER' END AS part, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1")
 
 
+def _more() -> None:
+    from . import catalogue_more  # noqa: F401  adds its queries here
+
+
 def queries() -> dict[str, Query]:
+    _more()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(_SQL)

@@ -6,9 +6,11 @@ change of a configuration, so that the latest row of a name tells what holds. No
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 from fnmatch import fnmatchcase
 from typing import Any
 
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .functions import analyzers
-from .functions.datetimes import output
+from .functions.datetimes import literal_time, output
 from .operators import aggs, discovery, docs, scoring
 from .operators.filter import compile_query
 from .operators.search import Scroll, SearchRequest, matching, page, snippet, to_ast, union_indexes
@@ -33,6 +35,8 @@ from .sources.connect import open_source
 from .streaming.ingest import ingest
 
 MOST = 10_000
+#: Where a row lies: its file and its place there. No two rows have the same.
+ADDRESS = "_address"
 
 
 class SearchError(ValueError):
@@ -96,7 +100,11 @@ class Engine:
 
     def index(self, name: str) -> Index:
         c = self.config(name)
-        return Index(self.spark, f"{self.root}/indexes/{name}", c.mapping.timestamp, c.tags)
+        return self._index(name, c)
+
+    def _index(self, name: str, c: C.IndexConfig) -> Index:
+        texts = {n: f.tokenizer for n, f in c.mapping.fields.items() if f.type == "text" and not f.array and not f.path and f.tokenizer != "raw"}
+        return Index(self.spark, f"{self.root}/indexes/{name}", c.mapping.timestamp, c.tags, texts=texts)
 
     def add_source(self, name: str, source: dict[str, Any]) -> None:
         raw = dict(self.config(name).raw)
@@ -154,9 +162,9 @@ class Engine:
 
     # -- reading
     def table(self, pattern: str, start=None, end=None, query: A.Node | None = None) -> tuple[DataFrame, Mapping]:
-        """The rows of all indexes a pattern selects, with ``_index``, and the union of their mappings.
+        """The rows of all indexes a pattern selects, with ``_index`` and ``_address``, and the union of their mappings.
 
-        Files that cannot hold rows of the time range or the query's tags are left out.
+        Files that cannot hold rows of the time range, the query's tags or the terms that it needs are left out.
         """
         for p in pattern.split(","):
             C.check_pattern(p)
@@ -164,14 +172,27 @@ class Engine:
         lazy: dict[str, DataFrame] = {}
         for n in known:
             if any(fnmatchcase(n, p.removeprefix("-")) for p in pattern.split(",")):
-                index = Index(self.spark, f"{self.root}/indexes/{n}", known[n].mapping.timestamp, known[n].tags)
-                lazy[n] = index.scan(start, end, _tag_values(query, known[n])) if index.exists() else docs.split(docs.parse(self.spark.createDataFrame([], "value string"), known[n].mapping))[0]
+                index = self._index(n, known[n])
+                if index.exists():
+                    low, high = _time_bounds(query, known[n].mapping)
+                    rows = index.scan(start or low, end or high, _tag_values(query, known[n]), _terms(query, known[n].mapping))
+                    place = F.concat_ws(":", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+                else:
+                    rows, place = docs.split(docs.parse(self.spark.createDataFrame([], "value string"), known[n].mapping))[0], F.lit(None).cast("string")
+                lazy[n] = rows.withColumn(ADDRESS, place)
         df = union_indexes(lazy, pattern)
-        chosen = [known[n].mapping for n in sorted(lazy)]
+        return df, self._united([known[n].mapping for n in sorted(lazy)])
+
+    def mapping(self, pattern: str) -> Mapping:
+        """The union of the mappings of all indexes a pattern selects."""
+        return self._united([self.config(n).mapping for n in sorted(self.resolve(pattern))])
+
+    @staticmethod
+    def _united(chosen: list[Mapping]) -> Mapping:
         fields = {k: f for m in reversed(chosen) for k, f in m.fields.items()}
         defaults = tuple(dict.fromkeys(f for m in chosen for f in m.default_fields))
         mode = "strict" if all(m.mode == "strict" for m in chosen) else "dynamic"
-        return df, Mapping(fields, mode, defaults, chosen[0].timestamp if chosen else None, "_source")
+        return Mapping(fields, mode, defaults, chosen[0].timestamp if chosen else None, "_source")
 
     def search(self, pattern: str, request: SearchRequest | None = None, aggregations: dict | None = None, count_all: bool = True, snippet_fields: tuple[str, ...] = ()) -> dict[str, Any]:
         """The native search: hits, their number, aggregations and snippets."""
@@ -184,17 +205,30 @@ class Engine:
             end = str(self.spark.sql(f"SELECT CAST(timestamp_seconds({request.end_timestamp}) AS STRING)").first()[0])
         df, mapping = self.table(pattern, start, end, to_ast(request.query, Mapping(default_fields=("_",))))
         matched = matching(df, request, mapping)
-        rows = [r.asDict(True) for r in page(matched, request).collect()]
-        out: dict[str, Any] = {"num_hits": matched.count() if count_all else len(rows), "hits": [json.loads(r["_source"]) for r in rows], "errors": []}
+        # First the addresses of the page's rows, by the columns that select and sort; then the documents there.
+        if not request.tie:
+            request = replace(request, tie=ADDRESS)
+        found = [r[0] for r in page(matched, replace(request, fields=None, exclude=())).select(ADDRESS).collect()]
+        sources = self._fetch(found)
+        out: dict[str, Any] = {"num_hits": matched.count() if count_all else len(found), "hits": [json.loads(sources[a]) for a in found], "errors": []}
         if snippet_fields:
             terms = [t for s in A.leaves(to_ast(request.query, mapping)) if isinstance(s, A.FullText) for t in analyzers.tokens_of("default", s.text)]
             marked = page(matched, request).select(*[snippet(f, terms).alias(f) for f in snippet_fields]) if terms else None
-            out["snippets"] = [r.asDict() for r in marked.collect()] if terms else [{} for _ in rows]
+            out["snippets"] = [r.asDict() for r in marked.collect()] if terms else [{} for _ in found]
         if aggregations:
-            out["aggregations"] = aggs.response(matched, aggregations)
+            out["aggregations"] = aggs.response(matched, aggregations, self.table(pattern, start, end)[0])
         out["elapsed_time_micros"] = int((time.perf_counter() - began) * 1e6)
         return out
 
+    def _fetch(self, addresses: list[str]) -> dict[str, str]:
+        """The documents at the addresses of one page (10 000 at most); only their files are read."""
+        if not addresses:
+            return {}
+        rows = [(a, *a.rsplit(":", 1)) for a in addresses]
+        wanted = self.spark.createDataFrame([(a, f, int(n)) for a, f, n in rows], "a string, f string, n long")
+        own = self.spark.read.parquet(*dict.fromkeys(f for _, f, _ in rows)).select("_source", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("n"))
+        return {r["a"]: r["_source"] for r in own.join(F.broadcast(wanted), ["f", "n"]).select("a", "_source").collect()}
+
     def scroll(self, pattern: str, request: SearchRequest) -> Scroll:
         """A snapshot of all hits in order, to be read page by page; it lies under ``scrolls/`` until it is deleted."""
         df, mapping = self.table(pattern)
@@ -220,15 +254,16 @@ class Engine:
         allowed = {"query", "from", "size", "sort", "aggs", "aggregations", "_source", "search_after", "track_total_hits", "fields", "stored_fields", "highlight", "timeout", "docvalue_fields", "pit"}
         if extra := set(body) - allowed:
             raise SearchError(f"unknown keys {sorted(extra)}")
-        df, mapping = self.table(pattern)
+        mapping = self.mapping(pattern)
         node = parse(url["q"], mapping.default_fields, url.get("default_operator", "or")) if url.get("q") else lower(body.get("query"))
         for f in url.get("extra_filters", ()):
             node = A.Bool(must=(node,), filter=(parse(f, mapping.default_fields, "and"),))
+        sort = _sorts(url.get("sort", body.get("sort")))
+        scored = any(f == "_score" for f, _, _ in sort)
+        df, mapping = self.table(pattern, query=None if scored else node)  # scores count the terms of all files
         size, first = int(url.get("size", body.get("size", 10))), int(url.get("from", body.get("from", 0)))
         if not (0 <= size <= MOST and 0 <= first <= MOST):
             raise SearchError(f"from and size lie between 0 and {MOST}")
-        sort = _sorts(url.get("sort", body.get("sort")))
-        scored = any(f == "_score" for f, _, _ in sort)
         matched = scoring.scored(df, node, mapping) if scored else df.filter(compile_query(node, mapping))
         rows, keys = self._hits(matched, sort, size, first, body.get("search_after"))
         track = url.get("track_total_hits", body.get("track_total_hits", True))
@@ -243,12 +278,15 @@ class Engine:
             hits.append(hit)
         out: dict[str, Any] = {"timed_out": False, "hits": {"total": total, "max_score": max((h["_score"] for h in hits if h["_score"] is not None), default=None), "hits": hits}}
         if wanted := body.get("aggs") or body.get("aggregations"):
-            out["aggregations"] = aggs.response(matched, wanted)
+            out["aggregations"] = aggs.response(matched, wanted, df)
         return out
 
     def _hits(self, matched: DataFrame, sort: list[tuple[str, str, str | None]], size: int, first: int, after: list | None) -> tuple[list[dict], list[str]]:
-        """One page. A hit's ``_id`` is a hash of its text, which also breaks ties, so pages follow each other."""
-        own = matched.withColumn("_id", F.lower(F.hex(F.xxhash64("_source"))))
+        """One page, found by sort keys and addresses alone; the documents are fetched after.
+
+        A hit's ``_id`` is made of its address, which also breaks ties, so pages follow each other and copies are kept apart.
+        """
+        own = matched.withColumn("_id", F.concat(F.lower(F.hex(F.xxhash64(F.substring_index(ADDRESS, ":", -2)))), F.lit("-"), F.substring_index(ADDRESS, ":", -1)))
         order, keys, seen, same = [], [], F.lit(False), F.lit(True)
         plan = list(sort)
         if after is not None and len(after) == len(plan) + 1 or not any(f in ("_doc", "_shard_doc") for f, _, _ in plan):
@@ -269,10 +307,12 @@ class Engine:
             if len(after) < len(sort):
                 raise SearchError("search_after needs a value for each sort field")
             own = own.filter(seen)
-        kept = ["_index", "_id", "_source", *keys, *(["_score"] if "_score" in own.columns else [])]
+        kept = ["_index", "_id", ADDRESS, *keys, *(["_score"] if "_score" in own.columns else [])]
         page = own.orderBy(*order)
         page = (page.offset(first) if first else page).limit(size)
-        return [r.asDict(True) for r in page.select(*kept).collect()], keys
+        rows = [r.asDict(True) for r in page.select(*kept).collect()]
+        sources = self._fetch([r[ADDRESS] for r in rows])
+        return [r | {"_source": sources[r[ADDRESS]]} for r in rows], keys
 
     def es_msearch(self, requests: Iterable[tuple[dict, dict]]) -> dict[str, Any]:
         """Several searches; one that fails has an error in its place."""
@@ -289,8 +329,9 @@ class Engine:
         """Matching rows; without a query from the manifests alone."""
         if not (body or {}).get("query"):
             return sum(i.count() for i in map(self.index, self.resolve(pattern)) if i.exists())
-        df, mapping = self.table(pattern)
-        return df.filter(compile_query(lower(body["query"]), mapping)).count()
+        node = lower(body["query"])
+        df, mapping = self.table(pattern, query=node)
+        return df.filter(compile_query(node, mapping)).count()
 
     def resolve(self, pattern: str) -> list[str]:
         out: list[str] = []
@@ -332,7 +373,8 @@ class Engine:
 
     def delete_by_query(self, name: str, query: str | dict) -> None:
         mapping = self.config(name).mapping
-        self.index(name).delete(compile_query(to_ast(query, mapping), mapping))
+        c, node = self.config(name), to_ast(query, mapping)
+        self.index(name).delete(compile_query(node, mapping), *_time_bounds(node, mapping), _tag_values(node, c), _terms(node, mapping))
 
     def retain(self, name: str, now) -> None:
         c = self.config(name)
@@ -350,7 +392,7 @@ class Engine:
         """One or several statements over the indexes, each a view of its name; the last one's result or its plan."""
         for n in self.indexes():
             if n.replace("-", "_").lower() in text.lower().replace("-", "_"):
-                self.table(n)[0].createOrReplaceTempView(n.replace("-", "_"))
+                self.table(n)[0].drop(ADDRESS).createOrReplaceTempView(n.replace("-", "_"))
         out = None
         for s in sqltext.statements(text):
             made = metrics.create_external_table(self.spark, s, self._paths)
@@ -373,13 +415,54 @@ class Engine:
 def _tag_values(node: A.Node | None, c: C.IndexConfig) -> dict[str, list[str]]:
     """Values that every match has in a raw text field that is a tag: the terms of the outermost conjunction."""
     out: dict[str, list[str]] = {}
-    for x in node.must + node.filter if isinstance(node, A.Bool) else (node,):
+    for x in _required(node):
         value = x.value if isinstance(x, A.Term) else x.text if isinstance(x, A.FullText) else None
         if value is not None and x.field in c.tags and c.mapping.fields[x.field].type == "text" and c.mapping.fields[x.field].tokenizer == "raw":
             out.setdefault(x.field, [str(value)])
     return out
 
 
+def _required(node: A.Node | None) -> tuple[A.Node, ...]:
+    """What every match of a query fulfils: the clauses of the outermost conjunctions."""
+    if isinstance(node, A.Bool):
+        return tuple(y for x in node.must + node.filter for y in _required(x))
+    if isinstance(node, A.Boost):
+        return _required(node.query)
+    return () if node is None else (node,)
+
+
+def _terms(node: A.Node | None, mapping: Mapping) -> dict[str, list[str]]:
+    """Of text fields, the terms that every match has."""
+    out: dict[str, list[str]] = {}
+    for x in _required(node):
+        if isinstance(x, A.FullText) and x.field in mapping.fields and mapping.fields[x.field].type == "text":
+            field = mapping.fields[x.field]
+            own = analyzers.tokens_of(field.tokenizer, x.text) if x.analyzer in (None, field.tokenizer) else []
+            if x.mode in ("and", "phrase", "phrase_or_and") or len(own) == 1 and x.mode == "or":
+                out.setdefault(x.field, []).extend(own)
+    return out
+
+
+def _time_bounds(node: A.Node | None, mapping: Mapping) -> tuple[str | None, str | None]:
+    """Bounds of the timestamp field that every match keeps, as text; the upper one is exclusive."""
+    low = high = None
+    for x in _required(node):
+        if isinstance(x, A.Range) and x.field == mapping.timestamp and mapping.timestamp and not x.format:
+            for bound, side in ((x.lower, "low"), (x.upper, "high")):
+                if bound is None:
+                    continue
+                try:
+                    t = literal_time(bound[0])
+                except ValueError:
+                    continue
+                if side == "low":
+                    low = max(low or t, t)
+                else:
+                    t += dt.timedelta(seconds=1)  # whatever the precision
+                    high = min(high or t, t)
+    return tuple(None if t is None else t.isoformat(sep=" ") for t in (low, high))
+
+
 def _sorts(spec: Any) -> list[tuple[str, str, str | None]]:
     """(field, direction, format): fields ascend and scores descend by default."""
     if not spec:

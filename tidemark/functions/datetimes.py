@@ -26,8 +26,8 @@ def parse(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
 _JAVA = {"yyyy": "%Y", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
 
 
-def parse_literal(value: Any, precision: str = "us", format: str | None = None) -> Column:
-    """A query's date as a timestamp, cut to the field's precision."""
+def literal_time(value: Any, format: str | None = None) -> dt.datetime:
+    """A query's date, in UTC."""
     if isinstance(value, dt.datetime):
         t = value
     elif isinstance(value, int | float) or str(value).lstrip("-").isdigit():
@@ -46,8 +46,12 @@ def parse_literal(value: Any, precision: str = "us", format: str | None = None)
             t = dt.datetime.strptime(text, pattern.replace("'", ""))
         else:
             t = dt.datetime.fromisoformat(text.replace("/", "-").replace("Z", "+00:00"))
-    if t.tzinfo is not None:
-        t = t.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return t.astimezone(dt.timezone.utc).replace(tzinfo=None) if t.tzinfo is not None else t
+
+
+def parse_literal(value: Any, precision: str = "us", format: str | None = None) -> Column:
+    """A query's date as a timestamp, cut to the field's precision."""
+    t = literal_time(value, format)
     cut = {"s": 1_000_000, "ms": 1000, "us": 1}[precision]
     t = t.replace(microsecond=t.microsecond // cut * cut)
     return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -21,12 +21,11 @@ def merge(df: DataFrame, by: list[str]) -> DataFrame:
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     fault = (F.size("keys") != F.size("counts")) | (total != F.col("count")) | (F.coalesce(F.col("flags"), F.lit(0)) != 0) | (F.col("min") > F.col("max"))
     good = good.withColumn("keys", F.when(fault, F.raise_error(F.lit("malformed sketch row"))).otherwise(F.col("keys")))
-    buckets = good.select(*by, F.explode(F.arrays_zip("keys", "counts")).alias("b")).groupBy(*by, F.col("b.keys").alias("key")).agg(F.sum("b.counts").alias("n"))
-    lists = buckets.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("b"))
-    heads = good.groupBy(*by).agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
-    if not by:
-        return heads.crossJoin(lists).select("count", "sum", "min", "max", F.col("b.key").alias("keys"), F.col("b.n").alias("counts"))  # one row each
-    return heads.join(lists, by).select(*by, "count", "sum", "min", "max", F.col("b.key").alias("keys"), F.col("b.n").alias("counts"))
+    # The totals of a row travel with its first bucket, so the rows are read once.
+    first = lambda c: F.when(F.col("pos") == 0, F.col(c))
+    buckets = good.select(*by, "count", "sum", "min", "max", F.posexplode(F.arrays_zip("keys", "counts"))).groupBy(*by, F.col("col.keys").alias("key")).agg(F.sum("col.counts").alias("n"), F.sum(first("count")).alias("count"), F.sum(first("sum")).alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
+    rows = buckets.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("b"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
+    return rows.filter("count > 0").select(*by, "count", "sum", "min", "max", F.col("b.key").alias("keys"), F.col("b.n").alias("counts"))
 
 
 def quantile(keys: Column, counts: Column, count: Column, low: Column, high: Column, q: float) -> Column:

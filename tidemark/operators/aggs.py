@@ -1,13 +1,15 @@
 """Aggregation trees: nested JSON requests become one ``groupBy`` for each path.
 
 A bucket aggregation gives a DataFrame with the keys of its ancestors (k0, k1, ...), its own key, doc_count and a column for
-each metric below it. Results are exact: there is no shard size and no error bound.
+each metric below it. Counts are exact: there is no shard size and no error bound. Percentiles and cardinalities are estimated
+by sketches of bounded size, which are combined before the shuffle; ``"exact": true`` computes them from all values instead.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,11 +51,10 @@ def metric_columns(name: str, kind: str, body: dict) -> list[Column]:
     if kind in simple:
         return [simple[kind]().alias(name)]
     if kind == "cardinality":
-        exact = body.get("exact", True)
-        return [(F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(name)]
+        return [(F.count_distinct(c) if body.get("exact") else F.approx_count_distinct(c, 0.02)).alias(name)]
     if kind == "percentiles":
         percents = body.get("percents", [1, 5, 25, 50, 75, 95, 99])
-        make = (lambda p: F.percentile(d, p / 100)) if body.get("exact", True) else (lambda p: F.percentile_approx(d, p / 100, 10_000))
+        make = (lambda p: F.percentile(d, p / 100)) if body.get("exact") else (lambda p: F.percentile_approx(d, p / 100, 10_000))
         return [make(p).alias(f"{name}_p{str(p).replace('.', '_')}") for p in percents]
     stats = [F.count(c).alias(f"{name}_count"), F.min(d).alias(f"{name}_min"), F.max(d).alias(f"{name}_max"), F.avg(d).alias(f"{name}_avg"), F.coalesce(F.sum(d), F.lit(0.0)).alias(f"{name}_sum")]
     if kind == "stats":
@@ -84,9 +85,12 @@ def _key(df: DataFrame, kind: str, body: dict, name: str) -> DataFrame:
             return df.withColumn(name, own)
         return df.withColumn(name, _value(body)).filter(F.col(name).isNotNull())
     if kind == "multi_terms":
-        parts = [_value(t).cast("string") for t in body["terms"]]
-        # a null in one part drops the row, so concat, not concat_ws
-        return df.withColumn(name, F.concat(*[x for p in parts for x in (p, F.lit("|"))][:-1])).filter(F.col(name).isNotNull())
+        # Of multi-valued fields, each combination of values is a key. A null in one part drops the row, so concat, not concat_ws.
+        parts = []
+        for k, t in enumerate(body["terms"]):
+            df = _exploded(df, t, f"_{name}_{k}", False)
+            parts += [F.col(f"_{name}_{k}").cast("string"), F.lit("|")]
+        return df.withColumn(name, F.concat(*parts[:-1])).filter(F.col(name).isNotNull()).drop(*[f"_{name}_{k}" for k in range(len(body["terms"]))])
     if kind == "histogram":
         step, offset = float(body["interval"]), float(body.get("offset", 0))
         if step <= 0:
@@ -102,17 +106,26 @@ def _key(df: DataFrame, kind: str, body: dict, name: str) -> DataFrame:
         step, offset = interval_ms(body["fixed_interval"]), interval_ms(body["offset"]) if body.get("offset") else 0
         ms = millis(_value(body))
         return df.withColumn(name, ((ms - offset) - F.pmod(ms - offset, F.lit(step)) + offset)).filter(F.col(name).isNotNull())
-    if kind == "range":
-        return df.withColumn(name, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c, _, _ in range_parts(body)]))))
+    if kind == "range":  # rows in no range keep their parents' keys in the result until empty ranges are filled in
+        return df.withColumn(name, F.explode_outer(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c, _, _ in range_parts(body)]))))
     if kind == "composite":
-        for k, (part, own, skip) in enumerate(composite_sources(body)):
-            df = df.withColumn(f"{name}_{part}", own)
+        for part, spec, of, skip in composite_sources(body):
+            df = _exploded(df, spec, f"{name}_{part}", not skip)
+            df = df.withColumn(f"{name}_{part}", of(F.col(f"{name}_{part}")))
             if skip:
                 df = df.filter(F.col(f"{name}_{part}").isNotNull())
         return df
     raise AggError(f"unknown aggregation {kind}")
 
 
+def _exploded(df: DataFrame, body: dict, name: str, outer: bool) -> DataFrame:
+    """``df`` with a field's value as ``name``, a row for each distinct value of a multi-valued one."""
+    if dict(df.dtypes).get(body["field"], "").startswith("array"):
+        values = F.array_distinct(F.col(f"`{body['field']}`"))
+        return df.withColumn(name, F.explode_outer(values) if outer else F.explode(values))
+    return df.withColumn(name, _value(body))
+
+
 def range_parts(body: dict) -> list[tuple[str, Column, float | None, float | None]]:
     """The buckets [from, to), and those below the first and above the last, so that every value has one."""
     c, out = _value(body).cast("double"), []
@@ -136,21 +149,23 @@ def range_parts(body: dict) -> list[tuple[str, Column, float | None, float | Non
     return out
 
 
-def composite_sources(body: dict) -> list[tuple[str, Column, bool]]:
+def composite_sources(body: dict) -> list[tuple[str, dict, Callable[[Column], Column], bool]]:
+    """Of each source its name, its body, how a value becomes a key, and whether rows without one are left out."""
     out = []
     for source in body["sources"]:
         ((part, own),) = source.items()
         ((kind, spec),) = own.items()
-        c = F.col(f"`{spec['field']}`")
         if kind == "histogram":
             step = float(spec["interval"])
-            c = F.floor(c.cast("double") / step).cast("double") * step
+            of = lambda c, step=step: F.floor(c.cast("double") / step).cast("double") * step
         elif kind == "date_histogram":
             step = interval_ms(spec["fixed_interval"])
-            c = millis(c) - F.pmod(millis(c), F.lit(step))
-        elif kind != "terms":
+            of = lambda c, step=step: millis(c) - F.pmod(millis(c), F.lit(step))
+        elif kind == "terms":
+            of = lambda c: c
+        else:
             raise AggError(f"{kind} is no composite source")
-        out.append((part, c, not spec.get("missing_bucket", False)))
+        out.append((part, spec, of, not spec.get("missing_bucket", False)))
     return out
 
 
@@ -179,18 +194,25 @@ def _order(body: dict, key: str) -> list[Column]:
     return [*out, F.col(key).asc()]
 
 
-def bucket(df: DataFrame, name: str, request: dict, parents: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
+def bucket(df: DataFrame, name: str, request: dict, parents: tuple[str, ...] = (), base: DataFrame | None = None) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
     """Buckets of one aggregation, the rows with their key, and the key columns so far."""
     kind, body, subs = split_request(request)
     keyed = _key(df, kind, body, name)
-    keys = [f"{name}_{part}" for part, _, _ in composite_sources(body)] if kind == "composite" else [name]
+    keys = [f"{name}_{part}" for part, *_ in composite_sources(body)] if kind == "composite" else [name]
     metrics = [c for n, r in subs.items() if split_request(r)[0] in METRICS - {"top_hits"} for c in metric_columns(n, *split_request(r)[:2])]
     out = keyed.groupBy(*parents, *keys).agg(F.count("*").alias("doc_count"), *metrics)
     least = body.get("min_doc_count", 0 if kind in ("histogram", "date_histogram") else 1)
     if kind in ("terms", "multi_terms"):
         if least > 1:
             out = out.filter(F.col("doc_count") >= least)
+        if least == 0:
+            if base is None or parents:
+                raise AggError("min_doc_count 0 needs the rows that a query leaves out, and no parent")
+            absent = _key(base, kind, body, name).select(name).distinct().join(out.select(name), name, "left_anti")
+            out = out.unionByName(absent.withColumn("doc_count", F.lit(0).cast("long")), allowMissingColumns=True)
         size = int(body.get("size", 10))
+        if not 0 < size <= MOST_BUCKETS:  # which also bounds the broadcast below
+            raise AggError(f"size lies between 1 and {MOST_BUCKETS}")
         if parents:
             w = Window.partitionBy(*parents).orderBy(*_order(body, name))
             out = out.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= size).drop("_rank")
@@ -201,9 +223,14 @@ def bucket(df: DataFrame, name: str, request: dict, parents: tuple[str, ...] = (
         if body.get("extended_bounds") and least > 0:
             raise AggError("extended_bounds need min_doc_count 0")
         out = fill_gaps(out, name, kind, body, parents) if least == 0 else out.filter(F.col("doc_count") >= least)
-    elif kind == "range" and not parents:
-        every = out.sparkSession.createDataFrame([(k,) for k, *_ in range_parts(body)], f"{name} string")
-        out = every.join(F.broadcast(out), name, "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)).cast("long"))
+    elif kind == "range":
+        # One row of each parent, with its ranges as a map, takes every range; so no join is needed to find the empty ones.
+        rest = [c for c in out.columns if c not in (*parents, name)]
+        found = F.map_from_entries(F.collect_list(F.when(F.col(name).isNotNull(), F.struct(name, F.struct(*rest)))))
+        every = out.groupBy(*parents).agg(found.alias("_ranges")).select(*parents, "_ranges", F.explode(F.array(*[F.lit(k) for k, *_ in range_parts(body)])).alias(name))
+        values = {c: F.try_element_at("_ranges", F.col(name))[c] for c in rest}
+        out = every.select(*parents, name, F.coalesce(values["doc_count"], F.lit(0).cast("long")).alias("doc_count"), *[v.alias(c) for c, v in values.items() if c != "doc_count"])
+        keyed = keyed.filter(F.col(name).isNotNull())
     elif kind == "composite":
         if (later := _after(body, name)) is not None:
             out = out.filter(later)
@@ -231,8 +258,11 @@ def fill_gaps(out: DataFrame, name: str, kind: str, body: dict, parents: tuple[s
     return joined.withColumn("doc_count", F.coalesce("doc_count", F.lit(0)).cast("long"))
 
 
-def aggregate(df: DataFrame, request: dict[str, dict], parents: tuple[str, ...] = (), path: str = "") -> dict[str, DataFrame]:
-    """All aggregations of a request: path (a>b) to DataFrame. Metrics at the top are one row under the path ``''``."""
+def aggregate(df: DataFrame, request: dict[str, dict], parents: tuple[str, ...] = (), path: str = "", base: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All aggregations of a request: path (a>b) to DataFrame. Metrics at the top are one row under the path ``''``.
+
+    ``base`` has the rows of the index whether or not the query selects them; ``min_doc_count`` 0 finds terms there.
+    """
     out: dict[str, DataFrame] = {}
     metrics = []
     for name, r in request.items():
@@ -245,7 +275,7 @@ def aggregate(df: DataFrame, request: dict[str, dict], parents: tuple[str, ...]
             if kind == "top_hits":
                 out[f"{path}{name}"] = top_hits(df, parents, body)
             continue
-        found, keyed, keys = bucket(df, name, r, parents)
+        found, keyed, keys = bucket(df, name, r, parents, base)
         out[f"{path}{name}"] = found
         nested = {n: s for n, s in subs.items() if split_request(s)[0] in BUCKETS | {"top_hits"}}
         if nested:
@@ -256,7 +286,8 @@ def aggregate(df: DataFrame, request: dict[str, dict], parents: tuple[str, ...]
 
 
 def top_hits(df: DataFrame, parents: tuple[str, ...], body: dict) -> DataFrame:
-    """The first rows of each bucket. ``max_by`` style aggregates keep ``size`` rows a bucket, whatever its size."""
+    """The first rows of each bucket, by a window that sorts a bucket's rows; Spark drops all but ``size`` rows of each bucket in
+    each task before the shuffle (a limit on the rank), so a large bucket is not moved."""
     size = int(body.get("size", 3))
     order = []
     for item in body.get("sort") or [{"_doc": "asc"}]:
@@ -267,10 +298,10 @@ def top_hits(df: DataFrame, parents: tuple[str, ...], body: dict) -> DataFrame:
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= size)
 
 
-def response(df: DataFrame, request: dict[str, dict]) -> dict[str, Any]:
+def response(df: DataFrame, request: dict[str, dict], base: DataFrame | None = None) -> dict[str, Any]:
     """The nested response. Results are collected; more than ``MOST_BUCKETS`` buckets are an error."""
     flat = {}
-    for path, own in aggregate(df, request).items():
+    for path, own in aggregate(df, request, base=base).items():
         rows = [r.asDict(True) for r in own.limit(MOST_BUCKETS + 1).collect()]
         if len(rows) > MOST_BUCKETS:
             raise AggError(f"more than {MOST_BUCKETS} buckets")
@@ -291,12 +322,14 @@ def _nest(flat: dict, request: dict, outer: dict, path: str) -> dict:
                 out[name] = {"values": own} if kind == "percentiles" else own
             continue
         rows = [x for x in flat[path + name] if all(x[k] == v for k, v in outer.items())]
-        keys = [f"{name}_{p}" for p, _, _ in composite_sources(body)] if kind == "composite" else [name]
+        keys = [f"{name}_{p}" for p, *_ in composite_sources(body)] if kind == "composite" else [name]
         buckets = []
         for x in rows if kind not in ("histogram", "date_histogram") else sorted(rows, key=lambda x: x[name]):
             b: dict[str, Any] = {"key": {k[len(name) + 1 :]: x[k] for k in keys} if kind == "composite" else x[name], "doc_count": x["doc_count"]}
             if kind == "date_histogram":
                 b["key_as_string"] = dt.datetime.fromtimestamp(x[name] / 1000, dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+            if body.get("show_term_doc_count_error"):
+                b["doc_count_error_upper_bound"] = 0  # counts are exact
             for n, s in subs.items():
                 if split_request(s)[0] in METRICS - {"top_hits"}:
                     b[n] = {k[len(n) :].lstrip("_") or "value": v for k, v in x.items() if k == n or k.startswith(n + "_")}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analyzers
 from ..functions.addresses import ip_key, literal_key
+from ..functions.datetimes import parse as parse_date
 from ..functions.datetimes import parse_literal
 from ..plans import ast as A
 from ..plans.dsl import resolve
@@ -188,11 +189,7 @@ class Compiler:
         if field.type == "bool":
             raise ValueError("a range over a bool is not defined")
         if path:
-            c = json_value(column, path)
-            number = all(b is None or re.fullmatch(r"-?\d+(\.\d+)?", str(b[0])) for b in (node.lower, node.upper))
-            own = _between(c.try_cast("double"), *[b and (F.lit(float(b[0])), b[1]) for b in (node.lower, node.upper)]) if number else F.lit(False)
-            as_text = _between(c, *[b and (F.lit(str(b[0])), b[1]) for b in (node.lower, node.upper)])
-            return _safe(own) | (_safe(as_text & c.try_cast("double").isNull()) if not number else F.lit(False))
+            return self.dynamic_range(json_value(column, path), node)
         bounds = []
         for b in (node.lower, node.upper):
             value = None if b is None else self.literal(field, b[0], node.format)
@@ -205,6 +202,20 @@ class Compiler:
             return _safe(F.exists(c, lambda x: _between(key(x), *bounds)))
         return _safe(_between(key(c), *bounds))
 
+    def dynamic_range(self, c: Column, node: A.Range) -> Column:
+        """A range over a value without a declared type: as numbers if the bounds are numbers, else as dates if they are
+        dates, and as text for values that are neither."""
+        ends = (node.lower, node.upper)
+        number, date = c.try_cast("double"), parse_date(c).cast("timestamp_ntz")
+        if all(b is None or re.fullmatch(r"-?\d+(\.\d+)?", str(b[0])) for b in ends):
+            return _safe(_between(number, *[b and (F.lit(float(b[0])), b[1]) for b in ends]))
+        as_text = _safe(_between(c, *[b and (F.lit(str(b[0])), b[1]) for b in ends]) & number.isNull())
+        try:
+            dates = [b and (parse_literal(b[0], "us", node.format), b[1]) for b in ends]
+        except ValueError:
+            return as_text
+        return _safe(_between(date, *dates)) | (as_text & date.isNull())
+
     def on_wildcard(self, node: A.Wildcard) -> Column:
         if not self.mapping.find(node.field):
             return F.lit(False)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import analyzers
@@ -150,11 +151,12 @@ def _equals(term: str):
     return lambda x: x == F.lit(term)
 
 
-def bm25(df: DataFrame, column: str, text: str, key: str, analyzer: str = "default", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of rows with any of the terms; statistics are those of the whole table.
+def bm25(df: DataFrame, column: str, text: str, key: str, analyzer: str = "default", k1: float = 1.2, b: float = 0.75, top: int | None = None) -> DataFrame:
+    """(key, score) of rows with any of the terms, or of the ``top`` best (ties by the key); statistics are those of the whole
+    table.
 
-    One pass counts each term's frequency as columns, a second one-row aggregate gives document frequencies and the mean
-    length; nothing is exploded.
+    One pass cuts the texts, counts the terms of each, keeps the few rows that have one and observes the statistics, of
+    which one row reaches the driver. Rows kept are cached, spilling to disk, and cut again if an executor is lost.
     """
     terms = list(dict.fromkeys(analyzers.tokens_of(analyzer, text)))
     if not terms:
@@ -162,15 +164,17 @@ def bm25(df: DataFrame, column: str, text: str, key: str, analyzer: str = "defau
     tokens = analyzers.analyze(analyzer, F.coalesce(F.col(column), F.lit("")))
     # One lambda over the tokens gives length and frequencies, so they are cut once a row.
     counted = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("_len"), *[F.size(F.filter(t, _equals(x))).alias(f"_f{i}") for i, x in enumerate(terms)]))
-    own = df.select(key, F.inline(counted))
-    stats = own.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
-    joined = own.filter(reduce(lambda x, y: x | y, [F.col(f"_f{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(stats))  # stats is one row
-    parts = []
-    for i in range(len(terms)):
-        f, d = F.col(f"_f{i}").cast("double"), F.col(f"_d{i}")
-        idf = F.log(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
-        parts.append(idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_len") / F.col("_avg"))))
-    return joined.select(key, reduce(lambda x, y: x + y, parts).alias("score"))
+    seen, places = Observation(), range(len(terms))
+    own = df.select(key, F.inline(counted)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_len").alias("words"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in places])
+    found = own.filter(reduce(lambda x, y: x | y, [F.col(f"_f{i}") > 0 for i in places])).persist()
+    found.count()
+    s, parts = seen.get, []
+    mean = (s["words"] or 0) / max(1, s["n"]) or 1.0
+    for i in places:
+        f, d = F.col(f"_f{i}").cast("double"), s[f"d{i}"]
+        parts.append(F.lit(math.log(1 + (s["n"] - d + 0.5) / (d + 0.5))) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_len") / mean)))
+    out = found.select(key, reduce(lambda x, y: x + y, parts).alias("score"))
+    return out if top is None else out.orderBy(F.desc(F.round("score", 6)), key).limit(top)
 
 
 def snippet(column: str, terms: list[str], width: int = 150) -> Column:

@@ -2,30 +2,44 @@
 
 The manifest has a row for each file: its rows, time range and the values of its tag fields. It is a DataFrame; only the
 paths of the files that a query needs reach the driver.
+
+Beside it, ``terms/`` has for each file and text field a bitmap of ``TERM_BITS`` bits, set at the hashes of the terms that the
+file holds. A query that needs a term reads only files whose bit for it is set; a file without bitmaps is always read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import analyzers
 from ..plans.config import MergePolicy
 
 MOST_TAG_VALUES = 1000
+#: Bits of a file's term filter: 32 blocks of 4096 bytes.
+BLOCK_BITS = 32_768
+TERM_BITS = 32 * BLOCK_BITS
 #: How files are written: compression, and row groups and pages small enough to skip within a file.
 WRITE = {"compression": "zstd", "parquet.block.size": str(64 << 20), "parquet.page.size": str(1 << 20)}
 
 
+def term_bit(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BITS)).cast("long")
+
+
 class Index:
     """An index under ``path``: ``data/`` holds the files, ``manifest/`` a row for each.
 
     ``sort`` orders the rows of each file, and Bloom filters on ``bloom`` columns let a scan skip row groups by equality.
+    ``texts`` names the text fields that have term filters, with their analyzers.
     """
 
-    def __init__(self, spark: SparkSession, path: str, timestamp: str | None = None, tags: tuple[str, ...] = (), sort: tuple[str, ...] = (), bloom: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, path: str, timestamp: str | None = None, tags: tuple[str, ...] = (), sort: tuple[str, ...] = (), bloom: tuple[str, ...] = (), texts: dict[str, str] | None = None):
         self.spark, self.path, self.timestamp, self.tags = spark, path.rstrip("/"), timestamp, tags
-        self.sort, self.bloom = sort, bloom
+        self.sort, self.bloom, self.texts = sort, bloom, texts or {}
         self.options = WRITE | {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom} | {f"parquet.bloom.filter.fpp#{c}": "0.05" for c in bloom}
 
     @property
@@ -48,8 +62,24 @@ class Index:
         self.remember(df)
         batch = f"{self.data}/batch={uuid.uuid4().hex}"
         self.write(df.coalesce(files) if files else df, batch)
+        self.publish(batch, merges)
+
+    def publish(self, batch: str, merges: int = 0) -> None:
+        """Term filters of a folder's files, then their manifest entries."""
+        if self.texts:
+            self.term_filters(batch).write.mode("append").parquet(f"{self.path}/terms")
         self.describe(batch, merges).write.mode("append").parquet(f"{self.path}/manifest")
 
+    def term_filters(self, folder: str) -> DataFrame:
+        """(file, field, block, bits): set bits are combined in each task before the shuffle, so a block is one small row."""
+        df, out = self.spark.read.parquet(folder), None
+        for field, analyzer in self.texts.items():
+            terms = analyzers.analyze(analyzer, F.col(f"`{field}`"))
+            own = df.select(F.col("_metadata.file_path").alias("file"), F.lit(field).alias("field"), F.explode(F.array_distinct(terms)).alias("term")).withColumn("bit", term_bit(F.col("term")))
+            own = own.groupBy("file", "field", F.floor(F.col("bit") / BLOCK_BITS).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("bit") % BLOCK_BITS).alias("bits"))
+            out = own if out is None else out.unionByName(own)
+        return out
+
     def write(self, df: DataFrame, folder: str, mode: str = "errorifexists") -> None:
         own = df.sortWithinPartitions(*self.sort) if self.sort else df
         own.write.mode(mode).options(**self.options).parquet(folder)
@@ -64,9 +94,16 @@ class Index:
         df = self.spark.read.parquet(folder)
         t = F.col(self.timestamp).cast("timestamp") if self.timestamp else F.lit(None).cast("timestamp")
         aggs = [F.count("*").alias("num_docs"), F.min(t).alias("time_start"), F.max(t).alias("time_end")]
-        aggs += [F.when(F.approx_count_distinct(c) <= MOST_TAG_VALUES, F.array_sort(F.collect_set(F.col(c).cast("string")))).alias(f"tag_{c}") for c in self.tags]
         aggs += [F.first("_metadata.file_size").alias("bytes"), F.current_timestamp().alias("created"), F.lit(merges).alias("merges")]
-        return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(*aggs)
+        out = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(*aggs)
+        for c in self.tags:
+            # Of a file's distinct values one more than the limit are kept at most, so that no large set is ever built.
+            pairs = df.select(F.col("_metadata.file_path").alias("file"), F.col(f"`{c}`").cast("string").alias("v")).filter("v IS NOT NULL").distinct()
+            few = pairs.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("v"))).filter(F.col("k") <= MOST_TAG_VALUES + 1)
+            lists = few.groupBy("file").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+            tag = F.when(F.size(F.coalesce("vs", F.array())) <= MOST_TAG_VALUES, F.coalesce("vs", F.array().cast("array<string>")))
+            out = out.join(lists, "file", "left").withColumn(f"tag_{c}", tag).drop("vs")
+        return out
 
     def manifest(self) -> DataFrame:
         """Entries that no tombstone removes."""
@@ -75,19 +112,37 @@ class Index:
             own = own.join(self.spark.read.schema("file string").parquet(f"{self.path}/removed"), "file", "left_anti")
         return own
 
-    def prune(self, start=None, end=None, tags: dict[str, list[str]] | None = None) -> DataFrame:
-        """Entries of files that may hold rows in [start, end) with the tags. A file without tag values is kept."""
+    def prune(self, start=None, end=None, tags: dict[str, list[str]] | None = None, terms: dict[str, list[str]] | None = None) -> DataFrame:
+        """Entries of files that may hold rows in [start, end) with the tags, and of each field all of the terms.
+
+        A file without tag values or term filters is kept.
+        """
         own = self.manifest()
         if start is not None:
             own = own.filter(F.col("time_end").isNull() | (F.col("time_end") >= F.lit(start).cast("timestamp")))
         if end is not None:
             own = own.filter(F.col("time_start").isNull() | (F.col("time_start") < F.lit(end).cast("timestamp")))
         for c, values in (tags or {}).items():
-            own = own.filter(F.col(f"tag_{c}").isNull() | F.arrays_overlap(f"tag_{c}", F.array(*[F.lit(str(v)) for v in values])))
+            if f"tag_{c}" in own.columns:
+                own = own.filter(F.col(f"tag_{c}").isNull() | F.arrays_overlap(f"tag_{c}", F.array(*[F.lit(str(v)) for v in values])))
+        wanted = [(f, t) for f, ts in (terms or {}).items() if f in self.texts for t in dict.fromkeys(ts)]
+        if wanted and self.exists("terms"):
+            filters = self.spark.read.parquet(f"{self.path}/terms")
+            places = self.spark.createDataFrame(wanted, "field string, term string").withColumn("bit", term_bit(F.col("term"))).collect()  # the query's terms
+            tests = []
+            for r in places:
+                at = r["bit"] % BLOCK_BITS
+                byte = F.conv(F.hex(F.expr(f"substring(bits, {at // 8 + 1}, 1)")), 16, 10).cast("int")
+                tests.append((F.col("field") == r["field"]) & (F.col("block") == r["bit"] // BLOCK_BITS) & (byte.bitwiseAND(F.lit(1 << at % 8)) != 0))
+            needed = reduce(lambda x, y: x | y, [(F.col("field") == r["field"]) & (F.col("block") == r["bit"] // BLOCK_BITS) for r in places])
+            has = filters.filter(needed).groupBy("file").agg(*[F.max(t).alias(f"h{k}") for k, t in enumerate(tests)])
+            # A file that is known but lacks a block holds no term of it.
+            known = filters.select("file").distinct().join(has, "file", "left").filter(~reduce(lambda x, y: x & y, [F.coalesce(f"h{k}", F.lit(False)) for k in range(len(tests))]))
+            own = own.join(known.select("file"), "file", "left_anti")
         return own
 
-    def scan(self, start=None, end=None, tags: dict[str, list[str]] | None = None) -> DataFrame:
-        files = [r[0] for r in self.prune(start, end, tags).select("file").collect()]
+    def scan(self, start=None, end=None, tags: dict[str, list[str]] | None = None, terms: dict[str, list[str]] | None = None) -> DataFrame:
+        files = [r[0] for r in self.prune(start, end, tags, terms).select("file").collect()]
         if not files:
             return self.spark.read.parquet(f"{self.path}/schema")
         return self.spark.read.parquet(*files)
@@ -113,17 +168,21 @@ class Index:
     def merge(self, policy: MergePolicy, now=None) -> int:
         """Merge files as the policy plans; returns how many were merged. Each group becomes one file."""
         own = self.manifest().withColumn("age", F.unix_seconds(F.lit(now).cast("timestamp") if now else F.current_timestamp()) - F.unix_seconds("created"))
-        rows = [r.asDict() for r in own.select("file", "num_docs", "merges", "age", "time_end").collect()]  # file entries, not rows
-        plan = plan_policy(rows, policy)
+        # Files of one partition of the index and one schema merge with each other alone.
+        scope = F.regexp_extract("file", r"/_partition=([^/]*)/", 1)
+        plan: list[list[dict]] = []
+        for (part,) in own.select(scope).distinct().collect():
+            rows = [r.asDict() for r in own.filter(scope == part).select("file", "num_docs", "merges", "age", "time_end").collect()]  # file entries, not rows
+            plan += plan_policy(rows, policy)
         for group in plan:
             files = [r["file"] for r in group]
             self.rewrite(self.spark.createDataFrame([(f,) for f in files], "file string"), self.spark.read.parquet(*files).coalesce(1), 1 + max(r["merges"] for r in group))
         return sum(len(g) for g in plan)
 
-    def delete(self, condition) -> None:
-        """Delete by query: files with matches are written again without them."""
-        df = self.spark.read.parquet(*[r[0] for r in self.manifest().select("file").collect()])
-        hit = df.filter(condition).select(F.col("_metadata.file_path").alias("file")).distinct()
+    def delete(self, condition, start=None, end=None, tags: dict[str, list[str]] | None = None, terms: dict[str, list[str]] | None = None) -> None:
+        """Delete by query: files with matches are written again without them. The bounds, where every match has them, spare
+        the other files a scan."""
+        hit = self.scan(start, end, tags, terms).filter(condition).select(F.col("_metadata.file_path").alias("file")).distinct()
         files = [r[0] for r in hit.collect()]
         if files:
             self.rewrite(self.spark.createDataFrame([(f,) for f in files], "file string"), self.spark.read.parquet(*files).filter(~F.coalesce(condition, F.lit(False))))

@@ -33,7 +33,7 @@ def ingest(stream: DataFrame, index: Index, checkpoint: str, transforms: dict[st
             good = good.filter(F.col(index.timestamp) >= F.expr(accept_since))
         index.remember(good)
         index.write(good, folder, "overwrite")
-        index.describe(folder).write.mode("append").parquet(f"{index.path}/manifest")
+        index.publish(folder)
         if CORRUPT in batch.columns:
             batch.unpersist()
 
