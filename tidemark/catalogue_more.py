@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _NULLED, DOCUMENTS, EVENTS, TOKENS, _docs, _events, _folder, _has, _nulled, _phrase, _sql_query, add, table
+from .catalogue import EVENTS, TOKENS, _docs, _events, _folder, _has, _phrase, _sql_query, add, table
 from .engine import Engine
 from .functions import analyzers, datetimes
 from .operators import aggs, discovery, docs
@@ -150,9 +150,16 @@ def _registered(s: SparkSession, d: str) -> DataFrame:
 
 
 add("tokens_registered", _registered, "SELECT event_id, 'ete ' || event_type AS folded, substr(event_type, 1, 1) || ' ' || substr(event_type, 1, 2) || ' ' || substr(event_type, 1, 3) AS prefixes FROM events")
-_T = F.date_trunc("second", F.col("ts").cast("timestamp"))
-_STYLES = {"iso": F.date_format(_T, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "plain": F.date_format(_T, "yyyy-MM-dd HH:mm:ss"), "mail": F.date_format(_T, "EEE, d MMM yyyy HH:mm:ss Z"), "secs": F.unix_seconds(_T).cast("string"), "millis": F.unix_millis(_T).cast("string"), "nanos": (F.unix_micros(_T) * 1000).cast("string"), "bad": F.lit("no date")}
-add("date_parse", lambda s, d: table(s, d, "events").select("event_id", *[F.unix_seconds(datetimes.parse(c)).alias(n) for n, c in _STYLES.items()]), "SELECT event_id, " + ", ".join(f"CAST(floor(epoch(ts)) AS BIGINT) AS {n}" if n != "bad" else "CAST(NULL AS BIGINT) AS bad" for n in _STYLES) + " FROM events")
+
+
+def _written_dates(s: SparkSession, d: str) -> DataFrame:
+    """Each event's second, written in several styles and read again."""
+    t = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    styles = {"iso": F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "plain": F.date_format(t, "yyyy-MM-dd HH:mm:ss"), "mail": F.date_format(t, "EEE, d MMM yyyy HH:mm:ss Z"), "secs": F.unix_seconds(t).cast("string"), "millis": F.unix_millis(t).cast("string"), "nanos": (F.unix_micros(t) * 1000).cast("string"), "bad": F.lit("no date")}
+    return table(s, d, "events").select("event_id", *[F.unix_seconds(datetimes.parse(c)).alias(n) for n, c in styles.items()])
+
+
+add("date_parse", _written_dates, "SELECT event_id, " + ", ".join(f"CAST(floor(epoch(ts)) AS BIGINT) AS {n}" for n in ("iso", "plain", "mail", "secs", "millis", "nanos")) + ", CAST(NULL AS BIGINT) AS bad FROM events")
 add("date_output", lambda s, d: table(s, d, "events").select("event_id", *[datetimes.output(F.col("ts"), x).alias(x) for x in ("rfc3339", "unix_timestamp_secs", "unix_timestamp_millis", "unix_timestamp_micros", "unix_timestamp_nanos")]), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS rfc3339, CAST(floor(epoch(ts)) AS BIGINT) AS unix_timestamp_secs, epoch_us(ts) // 1000 AS unix_timestamp_millis, epoch_us(ts) AS unix_timestamp_micros, epoch_us(ts) * 1000 AS unix_timestamp_nanos FROM events")
 add("date_truncate", lambda s, d: table(s, d, "events").select("event_id", *[F.unix_micros(datetimes.truncate(F.col("ts").cast("timestamp"), p)).alias(p) for p in ("s", "ms", "us")]), "SELECT event_id, epoch_us(ts) // 1000000 * 1000000 AS s, epoch_us(ts) // 1000 * 1000 AS ms, epoch_us(ts) AS us FROM events")
 add("metric_windows", lambda s, d: with_window(table(s, d, "events").withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp"))), "t", 900).groupBy("window_start").agg(F.count("*").alias("n")), "SELECT CAST(floor(epoch(ts) / 900) * 900 AS BIGINT) AS window_start, count(*) AS n FROM events GROUP BY 1")
@@ -220,13 +227,32 @@ def _requests(s: SparkSession, d: str, outer: str, scope: str, inner: object) ->
     return table(s, d, "events").select(F.to_json(body).alias("value"))
 
 
-_NANOS = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
-_LOG = F.struct(F.struct(F.lit("x").alias("name")).alias("scope"), F.array(F.struct(_NANOS.alias("timeUnixNano"), F.lit(9).alias("severityNumber"), F.struct(F.concat(F.lit("user "), F.col("user_id")).alias("stringValue")).alias("body"), F.array(_attribute("id", F.col("event_id"))).alias("attributes"))).alias("logRecords"))
-_SPAN = F.struct(F.array(F.struct(F.col("user_id").cast("string").alias("traceId"), F.col("event_id").cast("string").alias("spanId"), F.col("event_type").alias("name"), F.lit(2).alias("kind"), _NANOS.alias("startTimeUnixNano"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + 5_000_000).cast("string").alias("endTimeUnixNano"))).alias("spans"))
-_GAUGE = F.struct(F.array(F.struct(F.lit("m").alias("name"), F.struct(F.array(F.struct(_NANOS.alias("timeUnixNano"), F.col("value").alias("asDouble"), F.array(_attribute("host", F.col("user_id"))).alias("attributes"))).alias("dataPoints")).alias("gauge"))).alias("metrics"))
-add("otlp_logs", lambda s, d: formats.otlp_logs(_requests(s, d, "resourceLogs", "scopeLogs", _LOG)).select(F.col("attributes")["id"].cast("long").alias("event_id"), "service_name", "body", "severity_number", "scope_name", F.expr("timestamp_nanos div 1000").alias("micros")), "SELECT event_id, event_type AS service_name, 'user ' || user_id AS body, 9 AS severity_number, 'x' AS scope_name, epoch_us(ts) AS micros FROM events")
-add("otlp_traces", lambda s, d: formats.otlp_traces(_requests(s, d, "resourceSpans", "scopeSpans", _SPAN)).select(F.col("span_id").cast("long").alias("event_id"), "trace_id", "service_name", "span_name", "span_duration_millis", "is_root"), "SELECT event_id, CAST(user_id AS VARCHAR) AS trace_id, event_type AS service_name, event_type AS span_name, 5 AS span_duration_millis, true AS is_root FROM events")
-add("otlp_metrics", lambda s, d: metrics.otlp_metrics(_requests(s, d, "resourceMetrics", "scopeMetrics", _GAUGE)).groupBy("metric_name", "service", "host").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.min("timestamp_secs").alias("first")), "SELECT 'm' AS metric_name, event_type AS service, CAST(user_id AS VARCHAR) AS host, count(*) AS n, max(value) AS most, min(CAST(floor(epoch(ts)) AS BIGINT)) AS first FROM events GROUP BY 2, 3")
+def _nanos(more: int = 0):
+    return (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + more).cast("string")
+
+
+def _logs(s: SparkSession, d: str) -> DataFrame:
+    log = F.struct(_nanos().alias("timeUnixNano"), F.lit(9).alias("severityNumber"), F.struct(F.concat(F.lit("user "), F.col("user_id")).alias("stringValue")).alias("body"), F.array(_attribute("id", F.col("event_id"))).alias("attributes"))
+    found = formats.otlp_logs(_requests(s, d, "resourceLogs", "scopeLogs", F.struct(F.struct(F.lit("x").alias("name")).alias("scope"), F.array(log).alias("logRecords"))))
+    return found.select(F.col("attributes")["id"].cast("long").alias("event_id"), "service_name", "body", "severity_number", "scope_name", F.expr("timestamp_nanos div 1000").alias("micros"))
+
+
+def _spans(s: SparkSession, d: str) -> DataFrame:
+    span = F.struct(F.col("user_id").cast("string").alias("traceId"), F.col("event_id").cast("string").alias("spanId"), F.col("event_type").alias("name"), F.lit(2).alias("kind"), _nanos().alias("startTimeUnixNano"), _nanos(5_000_000).alias("endTimeUnixNano"))
+    found = formats.otlp_traces(_requests(s, d, "resourceSpans", "scopeSpans", F.struct(F.array(span).alias("spans"))))
+    return found.select(F.col("span_id").cast("long").alias("event_id"), "trace_id", "service_name", "span_name", "span_duration_millis", "is_root")
+
+
+def _gauges(s: SparkSession, d: str) -> DataFrame:
+    point = F.struct(_nanos().alias("timeUnixNano"), F.col("value").alias("asDouble"), F.array(_attribute("host", F.col("user_id"))).alias("attributes"))
+    gauge = F.struct(F.lit("m").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge"))
+    found = metrics.otlp_metrics(_requests(s, d, "resourceMetrics", "scopeMetrics", F.struct(F.array(gauge).alias("metrics"))))
+    return found.groupBy("metric_name", "service", "host").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.min("timestamp_secs").alias("first"))
+
+
+add("otlp_logs", _logs, "SELECT event_id, event_type AS service_name, 'user ' || user_id AS body, 9 AS severity_number, 'x' AS scope_name, epoch_us(ts) AS micros FROM events")
+add("otlp_traces", _spans, "SELECT event_id, CAST(user_id AS VARCHAR) AS trace_id, event_type AS service_name, event_type AS span_name, 5 AS span_duration_millis, true AS is_root FROM events")
+add("otlp_metrics", _gauges, "SELECT 'm' AS metric_name, event_type AS service, CAST(user_id AS VARCHAR) AS host, count(*) AS n, max(value) AS most, min(CAST(floor(epoch(ts)) AS BIGINT)) AS first FROM events GROUP BY 2, 3")
 
 
 def _bulk(s: SparkSession, d: str) -> DataFrame:
@@ -260,7 +286,7 @@ add("source_transform", _from_source, "SELECT lower(r_name) AS value FROM region
 
 
 # -- the engine: an index of the events, written as documents
-def _engine(s: SparkSession, d: str, tokenizer: str = "raw") -> Engine:
+def _engine(s: SparkSession, d: str) -> Engine:
     engine = Engine(s, _folder(s, "engine"))
     engine.create_index({"index_id": "events", "doc_mapping": {"timestamp_field": "ts", "tag_fields": ["event_type"], "field_mappings": [
         {"name": "event_id", "type": "i64"}, {"name": "ts", "type": "datetime"}, {"name": "event_type", "type": "text", "tokenizer": "raw"}, {"name": "value", "type": "f64"}, {"name": "note", "type": "text", "record": "position"}]},
@@ -396,4 +422,3 @@ def _json_out(s: SparkSession, d: str) -> DataFrame:
 
 
 add("engine_source_filter", _json_out, """SELECT '{"event_id": ' || event_id || '}' AS source, event_id FROM events WHERE value >= 150 ORDER BY event_id DESC LIMIT 30""")
-__all__ = ["DOCUMENTS", "_NULLED", "_nulled"]
