@@ -32,16 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back."""
-    return staged_at(df, name)[0]
+#: Rows of a file of a narrow staged table.
+FILE_ROWS = 100_000
 
 
-def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def staged(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
+
+    ``most`` is a bound of the rows of a narrow table; it is then written in as many files as that needs, not in one for
+    each partition of a shuffle.
+    """
+    return staged_at(df, name, most)[0]
+
+
+def staged_at(df: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, str]:
     """As ``staged``, with the path, for tables that are dropped once they are no longer read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if most is None else df.coalesce(max(1, -(-most // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -95,12 +95,13 @@ def _flips(fp: Column, blocks: tuple[int, int]) -> Column:
     return F.array(*[fp.bitwiseXOR(F.lit(m - 2**64 if m >= 2**63 else m)) for m in masks])
 
 
-def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fp`` that give the same components as all links do."""
+def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, int]:
+    """Links (a, b) between the distinct fingerprints ``fp`` that give the same components as all links do, and about how many
+    there are."""
     fp = F.col("fp")
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _block_key(fp, b).alias("key")) for j, b in enumerate(BLOCKS)])).alias("k")).select("fp", "k.*")
     shared = keyed.groupBy("j", "key").count().filter("count > 1")
-    live = staged(keyed.join(shared, ["j", "key"]), "keys")
+    live = staged(keyed.join(shared, ["j", "key"]), "keys", len(BLOCKS) * distinct.count())
     pivots = [F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("tinyint").alias(f"p{i}") for i, p in enumerate(PIVOTS)]
     few = live.filter(F.col("count") <= bucket).select("j", "key", "fp", *pivots)
     x, y = few.alias("x"), few.alias("y")
@@ -113,7 +114,7 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     near = many.select("j", "fp", F.explode(by_j).alias("value"))
     stars = near.groupBy("j", "value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
     spokes = near.join(stars, ["j", "value"]).select("a", F.col("fp").alias("b")).filter("a <> b")
-    return pairs.union(spokes).distinct()
+    return pairs.union(spokes).distinct(), 2 * live.count()
 
 
 def fingerprint_components(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -122,8 +123,9 @@ def fingerprint_components(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     ``label`` names the component by its least fingerprint; ``component_id`` is the least id, which two components can share
     where ids repeat.
     """
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = components(fingerprint_links(distinct.select("fp"), bucket))
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows.count())
+    links, most = fingerprint_links(distinct.select("fp"), bucket)
+    labels = components(links, most=most)
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     linked = named.groupBy("label").agg(F.min("least").alias("component_id"))
     return named.select("fp", "label").join(linked, "label").select("fp", "label", "component_id")
@@ -148,7 +150,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = staged(fingerprints(own, with_hash=True), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = rows.groupBy("fp").agg(F.min(place).alias("best"))
-    best = staged(first.join(fingerprint_components(rows, bucket), "fp").groupBy("label").agg(F.min("best").alias("best")).select("best.doc_id", "best.th"), "best")
+    best = staged(first.join(fingerprint_components(rows, bucket), "fp").groupBy("label").agg(F.min("best").alias("best")).select("best.doc_id", "best.th"), "best", rows.count())
     tagged = docs.select(*columns, F.col("doc_id").cast("long").alias(f"{p}id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(f"{p}th"))
 
     def of(which: DataFrame, how: str, rows: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     kept = of(best, "left_semi", tagged)
     several = rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1")
     several = several.join(best.select(F.col("doc_id").alias("i"), F.col("th").alias("t")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_semi").select("doc_id", "th")
-    if (several := staged(several, "several")).limit(1).count():
+    if (several := staged(several, "several", rows.count())).limit(1).count():
         every = F.struct(*columns)
         once = of(several, "left_semi", kept).groupBy(f"{p}id", f"{p}th").agg(F.min_by(every, F.xxhash64(every)).alias(f"{p}row")).select(f"{p}row.*")
         return of(several, "left_anti", kept).select(*columns).unionByName(once)
