@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from tidemark import llm
-from tidemark.llm import decontaminate, licenses, packing, quality_crf, quality_rules, recompression, secrets, simhash_dedup, suffix_dedup, warc
+from tidemark.llm import _repeats, decontaminate, licenses, packing, quality_crf, quality_rules, recompression, secrets, simhash_dedup, suffix_dedup, warc
 
 LONG = " ".join(f"word{i % 977} and {i % 31}" for i in range(30_000))
 TEXTS = [
@@ -67,7 +67,7 @@ def test_fingerprints_and_groups(docs):
     assert kept.columns == docs.columns and kept.count() == len({root(f) for _, f in rows})
 
 
-def test_substrings(docs):
+def test_substrings(docs, monkeypatch):
     rows = docs.select("doc_id", "text").collect()
     key = lambda i: 2**63 if i is None else i
     first, firsts = {}, {}
@@ -92,6 +92,9 @@ def test_substrings(docs):
         spans.append((r.doc_id, len(b), int(cut.sum()), int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~cut].tobytes()).hexdigest()))
     assert [tuple(r) for r in pairs(recompression.dedup(docs), "*")] == [tuple(x) for x in sorted(words, key=lambda t: repr(__import__("pyspark").sql.Row(doc_id=t[0], n_words=t[1], n_removed=t[2], kept_sha256=t[3])))]
     assert sorted((tuple(r) for r in suffix_dedup.dedup(docs).collect()), key=repr) == sorted(spans, key=repr)
+    for name, value in (("HOT_BUCKETS", 0), ("BUCKET_BYTES", 100_000)):
+        monkeypatch.setattr(_repeats, name, value)
+    assert sorted((tuple(r) for r in suffix_dedup.dedup(docs).collect()), key=repr) == sorted(spans, key=repr)
 
 
 def test_suffix_order_is_sorted():

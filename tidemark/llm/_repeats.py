@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary, input_bytes
+from ._common import binary, input_bytes, staged
 
 BUCKET_BYTES = 8 << 20
 PARTITION_BYTES = 32 << 20
 #: Texts are handled in chunks of about this many bytes; longer texts in overlapping segments of it.
 CHUNK_BYTES = 1 << 20
 LAST_ID = (1 << 63) - 1
+#: A key that more buckets have is hot: its windows are dealt out by their own content.
+HOT_BUCKETS = 64
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -123,15 +125,22 @@ class Deal:
         self.partitions = max(least, -(-size // PARTITION_BYTES))
         self.rows = own.repartition(self.partitions, "bucket")
         # New names for columns, so that a bucket's own rows can meet its notes.
-        named = own.select(F.expr("bucket + 0").cast("int").alias("bucket"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "mark", F.md5("text").alias("name"))
-        first = named.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("name", "least")
-        self.copies = named.join(first, "name").filter("id > least").select(F.expr("bucket + 0").cast("int").alias("bucket"), F.expr("mark + 0").alias("mark"), F.lit(None).cast("binary").alias("data"))
+        named = own.select(F.expr("bucket + 0").cast("int").alias("bucket"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.expr("mark + 0").alias("mark"), F.md5("text").alias("name"))
+        first = staged(named.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).filter("least < most").select("name", "least", "n"), "copies")
+        # Texts that make up more than a partition's share of the copies, fewer than there are partitions, are broadcast; rows
+        # with such a text are then dealt out by their marks, so that no group of copies meets in one task.
+        share = (first.agg(F.sum("n")).first()[0] or 0) // self.partitions + 1
+        hot = F.broadcast(first.filter(F.col("n") > share).select("name", F.col("least").alias("hot")))
+        dealt = named.join(hot, "name", "left").withColumn("name", F.when(F.col("hot").isNull(), F.col("name")).otherwise(F.concat(F.lit("hot "), F.col("mark").cast("string"))))
+        found = dealt.join(first.filter(F.col("n") <= share).select("name", "least"), "name", "left").filter(F.col("id") > F.coalesce("hot", "least"))
+        self.copies = found.select("bucket", "mark", F.lit(None).cast("binary").alias("data"))
         # A key is cut to as many bits as keep chance meetings rare; they would cost work, not correctness.
         self.shift = 64 - min(64, max(40, size.bit_length() + 12))
         self.parts = max(least, -(-size // (16 << 20)))
 
     def shared_keys(self, keys_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-        """Notes: the copies, and the keys of each bucket that other documents have too.
+        """Notes: the copies, and the keys of each bucket that other documents have too; in ``hot``, those of them that more than
+        ``HOT_BUCKETS`` buckets have.
 
         ``keys_of`` takes the texts of a chunk and gives the keys of their windows and the text that each belongs to.
         A bucket sends each key once, packed by part of the key space, with a bit that says if several of its own ids have it.
@@ -173,11 +182,14 @@ class Deal:
             good[order] = np.repeat((count > 1) | (np.maximum.reduceat(several[order], first) > 0), count)
             full = every * _U(parts) + _U(group["part"][0].as_py())
             ends = np.cumsum([len(k) for k in keys])
+            often = np.zeros(len(key), bool)
+            often[order] = np.repeat(count > HOT_BUCKETS, count)
             data = [full[e - len(k) : e][good[e - len(k) : e]].tobytes() for k, e in zip(keys, ends.tolist(), strict=True)]
-            return pa.table({"bucket": group["bucket"].combine_chunks(), "mark": pa.nulls(len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+            hot = [full[e - len(k) : e][often[e - len(k) : e]].tobytes() for k, e in zip(keys, ends.tolist(), strict=True)]
+            return pa.table({"bucket": group["bucket"].combine_chunks(), "mark": pa.nulls(len(data), pa.int64()), "data": pa.array(data, pa.binary()), "hot": pa.array(hot, pa.binary())})
 
         sent = self.rows.groupBy("bucket").cogroup(self.copies.groupBy("bucket")).applyInArrow(send, "bucket int, part int, keys binary, several binary")
-        return sent.groupBy("part").applyInArrow(meet, "bucket int, mark long, data binary").filter("octet_length(data) > 0").union(self.copies)
+        return sent.groupBy("part").applyInArrow(meet, "bucket int, mark long, data binary, hot binary").filter("octet_length(data) > 0").unionByName(self.copies.withColumn("hot", F.lit(None).cast("binary")))
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
@@ -190,9 +202,9 @@ def bucket_of(*tables: pa.Table) -> int:
     return next(t["bucket"][0].as_py() for t in tables if t.num_rows)
 
 
-def known_keys(notes: pa.Table) -> np.ndarray:
-    """The shared keys of a bucket, sorted."""
-    data = [d for d in notes["data"].to_pylist() if d]
+def known_keys(notes: pa.Table, column: str = "data") -> np.ndarray:
+    """The shared keys of a bucket, or the hot ones of them, sorted."""
+    data = [d for d in notes[column].to_pylist() if d]
     return np.sort(np.frombuffer(b"".join(data), np.uint64))
 
 

@@ -3,7 +3,9 @@
 The key of a 50-byte window is the least hash of its 16-byte strings, a choice that its bytes alone decide (see
 ``_repeats`` for the plan). Windows under a key that documents of different ids share are candidates. Neighbouring windows
 of one key form a fragment; each bucket sends each distinct fragment once, and all fragments of a key meet in one shard. A
-bucket tells its own fragments apart by a 64-bit hash and the 64-bit key together.
+bucket tells its own fragments apart by a 64-bit hash and the 64-bit key together. Windows of a hot key, which many buckets
+have, are fragments of their own and dealt out by their own content, so that a common passage in ever new surroundings does
+not meet in one shard.
 
 A shard sorts its suffixes in two stages. Suffixes smaller than their successors (S) are sorted directly, by their first
 56 bytes. The rest (L) is induced: buckets are scanned by first byte, from small to great; each suffix that is met places
@@ -80,8 +82,11 @@ def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _fragments(texts: list[bytes], known: np.ndarray | None = None, shift: int = 0):
-    """The joined texts; key, text, first byte, end and name of their fragments, of ``known`` keys only if given."""
+def _fragments(texts: list[bytes], known: np.ndarray | None = None, shift: int = 0, hot: np.ndarray | None = None):
+    """The joined texts; key, text, first byte, end and name of their fragments, of ``known`` keys only if given.
+
+    A window under a ``hot`` key is a fragment of its own, and its key is its own hash.
+    """
     data, starts = _join(texts)
     hashes = RangeHash(BYTE_NAMES[np.frombuffer(data, np.uint8)])
     out = []
@@ -91,6 +96,9 @@ def _fragments(texts: list[bytes], known: np.ndarray | None = None, shift: int =
             key, doc, place = key[own], doc[own], place[own]
         if not len(key):
             continue
+        if hot is not None and len(hot):
+            own = member(key >> _U(shift), hot) >= 0
+            key[own] = mix(hashes.of(place[own], place[own] + WINDOW) ^ key[own])
         first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1))))
         size = np.diff(np.append(first, len(key)))
         parts = -(-size // PIECE)
@@ -192,10 +200,10 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     notes, shift = deal.shared_keys(keys_of), deal.shift
 
     def candidates(group: pa.Table, notes: pa.Table) -> pa.Table:
-        known = known_keys(notes)
+        known, hot = known_keys(notes), known_keys(notes, "hot")
         names, found, fragments = [], [], []
         for _, ids, texts in unrepeated(group, notes) if len(known) else ():
-            data, _, key, doc, begin, end, name = _fragments(texts, known, shift)
+            data, _, key, doc, begin, end, name = _fragments(texts, known, shift, hot)
             if len(key):
                 of = ids[doc]
                 order = np.lexsort((key, name))
@@ -253,14 +261,15 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def cut(group: pa.Table, runs: pa.Table) -> pa.Table:
         ids, texts, whole = _ids(group["doc_id"]), binary(group["text"]), copied(group, runs)
-        runs = runs.filter(pc.is_null(runs["mark"]))
+        hot = known_keys(runs, "hot")
+        runs = runs.filter(pc.is_valid(runs["name"]))
         names = runs["name"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(names)
         names, keys, at, count, least = names[order], *(runs[c].to_numpy()[order] for c in ("key", "at", "count", "least"))
         keys = keys.astype(np.int64).view(np.uint64)
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for own in chunks(texts):
-            data, starts, key, doc, begin, _, name = _fragments([texts[i] for i in own]) if len(names) else (*_join([texts[i] for i in own]), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
+            data, starts, key, doc, begin, _, name = _fragments([texts[i] for i in own], None, shift, hot) if len(names) else (*_join([texts[i] for i in own]), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
             edge = np.zeros(len(data) + 1, np.int32)
             left, right = np.searchsorted(names, name, "left"), np.searchsorted(names, name, "right")
             hit = np.flatnonzero(right > left)
@@ -284,9 +293,10 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         columns = {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.binary() if c == "kept" else pa.int64()) for c, v in out.items()}
         return pa.table({"doc_id": group["doc_id"].combine_chunks()} | columns)
 
-    runs = runs.withColumn("mark", F.lit(None).cast("long"))
-    copies = deal.copies.select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("key", "long"), ("at", "int"), ("count", "int"), ("least", "long"))], "mark")
-    result = deal.rows.groupBy("bucket").cogroup(runs.union(copies).groupBy("bucket")).applyInArrow(cut, RESULT)
+    runs = runs.withColumn("mark", F.lit(None).cast("long")).withColumn("hot", F.lit(None).cast("binary"))
+    # The bucket's hot keys and copies go with the runs.
+    rest = notes.filter("mark IS NOT NULL OR octet_length(hot) > 0").select("bucket", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("key", "long"), ("at", "int"), ("count", "int"), ("least", "long"))], "mark", "hot")
+    result = deal.rows.groupBy("bucket").cogroup(runs.unionByName(rest).groupBy("bucket")).applyInArrow(cut, RESULT)
     return result if with_text else result.drop("kept")
 
 
