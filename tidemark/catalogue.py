@@ -166,9 +166,7 @@ add("log_shape", lambda s, d: table(s, d, "events").select("event_id", discovery
 
 
 def _sketches(s: SparkSession, d: str) -> DataFrame:
-    key = F.when(F.col("value") < 1, 0).otherwise(F.floor(F.log(F.col("value")) / F.log(F.lit(sketch.GAMMA))) + sketch.BIAS).cast("smallint")
-    rows = table(s, d, "events").filter("value >= 0").withColumn("key", key).groupBy("event_type", "user_id", "key").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return rows.groupBy("event_type", "user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "n"))), lambda x: x["key"]).alias("keys"), F.transform(F.array_sort(F.collect_list(F.struct("key", "n"))), lambda x: x["n"]).alias("counts"), F.sum("n").alias("count"), F.sum("s").alias("sum"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.lit(0).alias("flags"))
+    return sketch.build(table(s, d, "events"), ["event_type", "user_id"], "value")
 
 
 _KEYS = f"CAST(CASE WHEN value < 1 THEN 0 ELSE floor(ln(value) / ln({sketch.GAMMA})) + {sketch.BIAS} END AS BIGINT)"

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .functions import analyzers
+from .functions import analyzers, sketch
 from .functions.datetimes import literal_time, output
 from .operators import aggs, discovery, docs, scoring
 from .operators.filter import compile_query
@@ -120,11 +120,15 @@ class Engine:
     def _prepared(self, raw: DataFrame, c: C.IndexConfig) -> DataFrame:
         return docs.parse(raw, c.mapping)
 
-    def ingest(self, name: str, documents: DataFrame | Iterable[str | dict]) -> dict[str, int]:
+    def ingest(self, name: str, documents: DataFrame | Iterable[str | dict], commit: str = "auto") -> dict[str, int]:
         """Documents as JSON text (a DataFrame with ``value``, or a list); how many were taken and refused.
 
-        An unknown index is made if a template fits its name.
+        An unknown index is made if a template fits its name. ``commit`` is auto, wait_for or force: a call ends when its
+        files stand in the manifest, so what it wrote is visible at its end in either case. Running streams are waited for
+        with ``wait``.
         """
+        if commit not in ("auto", "wait_for", "force"):
+            raise SearchError(f"unknown commit {commit!r}")
         if name not in self._known("index"):
             config = C.from_template(name, list(self.templates().values()))
             if config is None:
@@ -160,6 +164,11 @@ class Engine:
         parsed = self._prepared(raw, c).withColumn(formats.CORRUPT, F.when(F.col(docs.ERROR).isNotNull(), F.col(docs.SOURCE))).drop(docs.ERROR)
         return ingest(parsed, self.index(name), checkpoint, once=once, every=f"{c.commit_seconds} seconds")
 
+    @staticmethod
+    def wait(query: StreamingQuery) -> None:
+        """Until all that a stream's source holds now is visible."""
+        query.processAllAvailable()
+
     # -- reading
     def table(self, pattern: str, start=None, end=None, query: A.Node | None = None) -> tuple[DataFrame, Mapping]:
         """The rows of all indexes a pattern selects, with ``_index`` and ``_address``, and the union of their mappings.
@@ -364,6 +373,25 @@ class Engine:
         total = {k: sum(r[k] for r in rows) for k in ("docs", "files", "bytes")}
         return {"_all": total, "indices": {r["index"]: {k: r[k] for k in ("docs", "files", "bytes")} for r in rows}}
 
+    def es_mapping(self, pattern: str = "*") -> dict[str, Any]:
+        """The fields of each index with their types, nested by their dots."""
+        kinds = {"text": "text", "i64": "long", "u64": "unsigned_long", "f64": "double", "bool": "boolean", "datetime": "date", "ip": "ip", "bytes": "binary", "json": "object", "concatenate": "text"}
+        out = {}
+        for n in self.resolve(pattern):
+            top: dict[str, Any] = {}
+            for name, f in self.config(n).mapping.fields.items():
+                at = top
+                *above, last = name.split(".")
+                for part in above:
+                    at = at.setdefault(part, {"properties": {}}).setdefault("properties", {})
+                at[last] = {"type": "keyword" if f.type == "text" and f.tokenizer == "raw" else kinds[f.type]}
+            out[n] = {"mappings": {"properties": top}}
+        return out
+
+    def es_aliases(self, pattern: str = "*") -> dict[str, Any]:
+        """Each index with its aliases, of which there are none."""
+        return {n: {"aliases": {}} for n in self.resolve(pattern)}
+
     def health(self) -> dict[str, Any]:
         return {"status": "green", "timed_out": False, "number_of_indices": len(self.indexes())}
 
@@ -394,7 +422,8 @@ class Engine:
             if n.replace("-", "_").lower() in text.lower().replace("-", "_"):
                 self.table(n)[0].drop(ADDRESS).createOrReplaceTempView(n.replace("-", "_"))
         out = None
-        for s in sqltext.statements(text):
+        sketch.register(self.spark)
+        for s in map(sketch.expand, sqltext.statements(text)):
             made = metrics.create_external_table(self.spark, s, self._paths)
             out = made if made is not None else self.spark.sql(s)
         if explain and out is not None:

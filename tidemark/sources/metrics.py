@@ -93,3 +93,28 @@ def sorted_for(df: DataFrame, schema: str) -> DataFrame:
     """Rows of each partition in the order of a sort schema, nulls last; columns that the table lacks are passed over."""
     keys = [(c, up) for c, up in sort_key(schema) if c in df.columns]
     return df.sortWithinPartitions(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in keys])
+
+
+def series_key(df: DataFrame, schema: str) -> Column:
+    """A binary key whose order, byte by byte, is that of a sort schema's columns, nulls last; for sorts and range splits by
+    one column, and for streams that group rows of a series as they come.
+
+    A column is a byte for null or not, then its value: text with a 0 1 for each zero byte and 0 0 at its end, numbers as
+    eight bytes that sort as they do; of a descending column all bytes of the value are turned over.
+    """
+    kinds, parts = dict(df.dtypes), []
+    for name, up in sort_key(schema):
+        if name not in kinds:
+            continue
+        c = F.col(f"`{name}`")
+        if kinds[name] == "string":
+            text = F.hex(F.encode(F.replace(c, F.lit("\0"), F.lit("\0\1")), "utf-8"))
+            digits = F.concat(text, F.lit("0000"))
+        elif kinds[name] in ("tinyint", "smallint", "int", "bigint"):
+            digits = F.lpad(F.hex(c.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+        else:
+            raise ValueError(f"{name}: keys of {kinds[name]} columns are not defined")
+        if not up:
+            digits = F.translate(digits, "0123456789ABCDEF", "FEDCBA9876543210")
+        parts.append(F.when(c.isNull(), F.lit("02")).otherwise(F.concat(F.lit("01"), digits)))
+    return F.unhex(F.concat(*parts)) if parts else F.unhex(F.lit(""))
