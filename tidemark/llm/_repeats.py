@@ -30,8 +30,9 @@ PARTITION_BYTES = 32 << 20
 #: Texts are handled in chunks of about this many bytes; longer texts in overlapping segments of it.
 CHUNK_BYTES = 1 << 20
 LAST_ID = (1 << 63) - 1
-#: A key that more buckets have is hot: its windows are dealt out by their own content.
-HOT_BUCKETS = 64
+#: A key that more buckets have is hot: with a fragment or two of some hundred bytes from each, its shard would pass 10 MB. Its
+#: windows get finer keys.
+HOT_BUCKETS = 50_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -3,9 +3,9 @@
 The key of a 50-byte window is the least hash of its 16-byte strings, a choice that its bytes alone decide (see
 ``_repeats`` for the plan). Windows under a key that documents of different ids share are candidates. Neighbouring windows
 of one key form a fragment; each bucket sends each distinct fragment once, and all fragments of a key meet in one shard. A
-bucket tells its own fragments apart by a 64-bit hash and the 64-bit key together. Windows of a hot key, which many buckets
-have, are fragments of their own and dealt out by their own content, so that a common passage in ever new surroundings does
-not meet in one shard.
+bucket tells its own fragments apart by a 64-bit hash and the 64-bit key together. Windows of a hot key, which very many
+buckets have, take the least hash of their 32-byte strings as a finer key, so that a common phrase in ever new surroundings
+does not meet in one shard.
 
 A shard sorts its suffixes in two stages. Suffixes smaller than their successors (S) are sorted directly, by their first
 56 bytes. The rest (L) is induced: buckets are scanned by first byte, from small to great; each suffix that is met places
@@ -46,59 +46,77 @@ def _words_at(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
 
 def window_keys(data: np.ndarray) -> np.ndarray:
     """The key of the window at each place of ``data``, documents disregarded."""
-    n = len(data) - WINDOW + 1
-    if n <= 0:
+    if len(data) < WINDOW:
         return np.zeros(0, np.uint64)
+    return _least(_grams(data), WINDOW - GRAM + 1)
+
+
+def fine_keys(data: np.ndarray) -> np.ndarray:
+    """Finer keys of the same windows: the least hash of their 32-byte strings."""
+    if len(data) < WINDOW:
+        return np.zeros(0, np.uint64)
+    v = _grams(data)
+    return _least(mix(v[:-GRAM] * _U(0xD6E8FEB86659FD93) ^ v[GRAM:]), WINDOW - 2 * GRAM + 1)
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the 16 bytes at each place."""
     w = _words_at(data)
     v = w[:-8] * _U(0x9E3779B97F4A7C15) + (w[8:] ^ (w[8:] >> _U(31))) * _U(0xC2B2AE3D27D4EB4F)
     v ^= v >> _U(29)
     v *= _U(0xBF58476D1CE4E5B9)
     v ^= v >> _U(32)
+    return v
+
+
+def _least(v: np.ndarray, count: int) -> np.ndarray:
+    """The least of each ``count`` neighbours."""
     width = 1
-    while 2 * width <= WINDOW - GRAM + 1:
+    while 2 * width <= count:
         v = np.minimum(v[:-width], v[width:])
         width *= 2
-    rest = WINDOW - GRAM + 1 - width
-    return (np.minimum(v[:-rest], v[rest:]) if rest else v)[:n]
+    rest = count - width
+    return np.minimum(v[:-rest], v[rest:]) if rest else v
 
 
 def _join(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return b"".join(texts), np.cumsum([0] + [len(t) for t in texts])
 
 
-def _windows(data: bytes, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, text, place) of the windows that lie within one text, in segments."""
+def _windows(data: bytes, starts: np.ndarray, hot: np.ndarray | None = None, shift: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(coarse key, key, text, place) of the windows that lie within one text, in segments. Under ``hot`` coarse keys the key is
+    a finer one."""
     every = np.frombuffer(data, np.uint8)
     for at in range(0, max(0, len(data) - WINDOW + 1), CHUNK_BYTES):
         key = window_keys(every[at : at + CHUNK_BYTES + WINDOW - 1])
         place = np.arange(at, at + len(key))
         doc = np.searchsorted(starts, place, "right") - 1
         inside = place + WINDOW <= starts[doc + 1]
-        yield key[inside], doc[inside], place[inside]
+        fine = key
+        if hot is not None and len(hot) and len(key):
+            fine = np.where(member(key >> _U(shift), hot) >= 0, mix(key ^ fine_keys(every[at : at + CHUNK_BYTES + WINDOW - 1])), key)
+        yield key[inside], fine[inside], doc[inside], place[inside]
 
 
 def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    found = [(key, doc) for key, doc, _ in _windows(*_join(texts))]
+    found = [(key, doc) for key, _, doc, _ in _windows(*_join(texts))]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _fragments(texts: list[bytes], known: np.ndarray | None = None, shift: int = 0, hot: np.ndarray | None = None):
     """The joined texts; key, text, first byte, end and name of their fragments, of ``known`` keys only if given.
 
-    A window under a ``hot`` key is a fragment of its own, and its key is its own hash.
+    Fragments of ``hot`` keys have finer keys.
     """
     data, starts = _join(texts)
     hashes = RangeHash(BYTE_NAMES[np.frombuffer(data, np.uint8)])
     out = []
-    for key, doc, place in _windows(data, starts):
+    for coarse, key, doc, place in _windows(data, starts, hot, shift):
         if known is not None and len(key):
-            own = member(key >> _U(shift), known) >= 0
+            own = member(coarse >> _U(shift), known) >= 0
             key, doc, place = key[own], doc[own], place[own]
         if not len(key):
             continue
-        if hot is not None and len(hot):
-            own = member(key >> _U(shift), hot) >= 0
-            key[own] = mix(hashes.of(place[own], place[own] + WINDOW) ^ key[own])
         first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1))))
         size = np.diff(np.append(first, len(key)))
         parts = -(-size // PIECE)
