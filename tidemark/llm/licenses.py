@@ -1,16 +1,17 @@
 """License scans: sparse logistic regression on word n-grams per paragraph, confirmed by comparison with templates.
 
-A paragraph is a line with a word, or, where lines are wrapped, a run of lines. Its features are the words and word pairs of the templates that it holds (lower-case
-letters and digits; words that nearly every text has are no features by themselves). One multinomial regression gives a
+A paragraph is a line with a word, or, where lines are wrapped, a run of lines. Its features are the words and word pairs of
+the templates that it holds (lower-case letters and digits; words that nearly every text has are no features by themselves). One multinomial regression gives a
 probability to each licence family and to *unknown*. It is trained on the templates, on variants of them (parts of them,
 and templates within ordinary words) and, for unknown, on paragraphs of at most ``TRAIN_DOCS`` documents that do not speak
-of licences and on sentences about licences that grant none. A temperature, fitted on every fourth example, which is kept
+of licences, on sentences about licences that grant none and on notices that are denied ("not licensed under"); the words
+that deny are features beside the templates'. A temperature, fitted on every fourth example, which is kept
 out of the fit, calibrates the probabilities; under ``SURE`` a paragraph is unknown.
 
-A predicted family is confirmed if a template of its has at least ``ALIKE`` of its word pairs in the paragraph. Lines that are
-not confirmed by themselves are read on over their ends: a run of lines, without an empty one between, that each hold a pair
+A predicted family is confirmed if a template of its has at least ``ALIKE`` of its word pairs in the paragraph. Lines are also
+read on over their ends: a run of lines, without an empty one between, that each hold a pair
 of one template (pairs over line ends count with the later line) is joined, scored and confirmed as one paragraph. Runs may
-be of any length; of runs that share lines the one with the larger part of its template counts. Weights
+be of any length; of lines and runs that share a line the one with the larger part of its template counts. Weights
 exist for template n-grams alone, so a paragraph without any has the bias as its score: it is unknown, and only the others
 are scored.
 
@@ -37,14 +38,15 @@ BLANK = b"\x20\x09\x0b\x0c\x0d"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PLAIN = frozenset(b"the a an of to and or in is for with by be as on at this that it are was from not".split())
 
+# The public wording of licence notices.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-only"),
-    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
+    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only"),
     "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"),
     "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"),
-    "BSD": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"),
+    "BSD": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "SPDX-License-Identifier: BSD-3-Clause"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -53,6 +55,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Proprietary": ("Copyright. All rights reserved.", "This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited."),
 }
 NONE = ("The license of the driver was checked at the gate.", "He asked for a version of the work with a source.", "A fishing license is free for the public.", "General terms of the public library.", "The author is permitted to use the copy.", "Version 3 of the form follows version 2.")
+#: How a notice is denied: put before a template, or around it, they make examples of unknown.
+DENIALS = ("This file is not {}", "This work was never {}", "It is no longer {}", "Nothing here is {}", "This is neither {}", "The text cannot be {}", "{} does not apply to this file.")
 FAMILIES = tuple(TEMPLATES)
 
 
@@ -64,15 +68,25 @@ def grams(own: list[bytes]) -> list[bytes]:
     return own + [a + b" " + b for a, b in zip(own, own[1:], strict=False)]
 
 
+_DENIES = frozenset(b"not never no longer nothing neither cannot apply".split())
+
+
+def denied() -> list[str]:
+    """Each notice of the form "Licensed under ..." in every denial."""
+    return [d.format(t[0].lower() + t[1:].rstrip(".") if not d.startswith("{") else t.rstrip(".")) for own in TEMPLATES.values() for t in own if t.startswith(("Licensed", "Released", "This work is licensed")) for d in DENIALS]
+
+
 class Model:
     def __init__(self):
-        every = sorted({g for t in TEMPLATES.values() for x in t for g in grams(words(x.encode())) if g not in _PLAIN})
+        own = {g for t in TEMPLATES.values() for x in t for g in grams(words(x.encode())) if g not in _PLAIN}
+        # Pairs and words by which a notice is denied are features too.
+        every = sorted(own | {g for x in denied() for g in grams(words(x.encode())) if _DENIES & set(g.split())})
         self.place = {g: i for i, g in enumerate(every)}
         self.weight = np.zeros((len(every), len(FAMILIES) + 1))
         self.bias = np.zeros(len(FAMILIES) + 1)
         self.heat = 1.0
         #: Single words without which no template n-gram occurs, and templates as sets of pairs.
-        self.words = frozenset(g for g in every if b" " not in g)
+        self.words = frozenset(g for g in own if b" " not in g)
         self.whole = [(f, frozenset(self.place[g] for g in grams(words(x.encode())) if b" " in g)) for f, family in enumerate(FAMILIES) for x in TEMPLATES[family]]
         self.holders: dict[int, list[int]] = {}
         for t, (_, pairs) in enumerate(self.whole):
@@ -120,46 +134,55 @@ class Model:
             x[k, v] = 1 / max(1.0, len(v) ** 0.5)
         return x, np.array([c for _, c in examples])
 
-    def judge(self, paragraphs: list[bytes]) -> list[tuple[int, float, bool] | None]:
-        """For each paragraph the family, its probability and whether a template confirms it; None is unknown."""
+    def judge(self, paragraphs: list[bytes]) -> list[tuple[int, float, float] | None]:
+        """For each paragraph the family, its probability and the largest part of a template of it that the paragraph holds;
+        None is unknown."""
         split = [words(p) for p in paragraphs]
         vectors = [self.vector(w) if not self.words.isdisjoint(w) else [] for w in split]
         some = [k for k, v in enumerate(vectors) if v]
-        out: list[tuple[int, float, bool] | None] = [None] * len(paragraphs)
+        out: list[tuple[int, float, float] | None] = [None] * len(paragraphs)
         if some:
             p = self.scores([vectors[k] for k in some])
             for k, family, sure in zip(some, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
                 if family < len(FAMILIES) and sure >= SURE:
                     own = set(grams(split[k]))
-                    out[k] = family, sure, any(len(t & own) >= ALIKE * len(t) for t in self.pairs[family])
+                    out[k] = family, sure, max(len(t & own) / len(t) for t in self.pairs[family])
         return out
 
-    def wrapped(self, lines: list[bytes], taken: set[int]) -> list[tuple[int, float, bool]]:
-        """Hits of runs of two or more lines; ``taken`` has the lines that are hits by themselves."""
+    def hits(self, lines: list[bytes]) -> list[tuple[int, float, float]]:
+        """The confirmed hits of lines and of runs of lines; of those that share lines the one with the larger part of its
+        template, and of equal ones the shorter."""
+        found: list[tuple[float, int, int, tuple[int, float, float] | None, int]] = []
+        places = [k for k, x in enumerate(lines) if x.strip(BLANK)]
+        for at in range(0, len(places), 1000):
+            own = places[at : at + 1000]
+            found += [(hit[2], k, k, hit, hit[0]) for k, hit in zip(own, self.judge([lines[k] for k in own]), strict=True) if hit and hit[2] >= ALIKE]
         runs: dict[int, list[tuple[int, int, set[int]]]] = {}  # of each template: first line, last line, pairs
         before: list[bytes] = []
         for k, line in enumerate(lines):
-            own = words(line) if k not in taken else []
+            own = words(line)
             if own and not (self.words.isdisjoint(own) and (not before or self.words.isdisjoint(before[-1:]))):
                 joined = before[-1:] + own
-                for a, b in zip(joined, joined[1:], strict=False):
+                for i, (a, b) in enumerate(zip(joined, joined[1:], strict=False)):
                     g = self.place.get(a + b" " + b)
                     for t in self.holders.get(g, ()):
                         every = runs.setdefault(t, [])
                         if not every or every[-1][1] < k - 1:
                             # A pair over the line's end begins with the line before.
-                            every.append((k - 1 if before and a is before[-1] and a is joined[0] else k, k, {g}))
+                            every.append((k - 1 if before and i == 0 else k, k, {g}))
                         else:
                             first, _, pairs = every[-1]
                             pairs.add(g)
                             every[-1] = first, k, pairs
             before = own
-        found = [(len(pairs) / len(self.whole[t][1]), first, last, self.whole[t][0]) for t, every in runs.items() for first, last, pairs in every if last > first and len(pairs) >= ALIKE * len(self.whole[t][1])]
-        out, used = [], set(taken)
-        for _, first, last, family in sorted(found, key=lambda x: (-x[0], *x[1:])):
+        for t, every in runs.items():
+            family, whole = self.whole[t]
+            found += [(len(pairs) / len(whole), first, last, None, family) for first, last, pairs in every if last > first and len(pairs) >= ALIKE * len(whole)]
+        out, used = [], set()
+        for _, first, last, hit, family in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1], x[4])):
             if used.isdisjoint(range(first, last + 1)):
-                hit = self.judge([b" ".join(lines[first : last + 1])])[0]
-                if hit and hit[2] and hit[0] == family:
+                hit = hit or self.judge([b" ".join(lines[first : last + 1])])[0]
+                if hit and hit[2] >= ALIKE and hit[0] == family:
                     out.append(hit)
                     used.update(range(first, last + 1))
         return out
@@ -182,13 +205,13 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
             for k in range(24):
                 part = own
                 if k % 3 == 1 and len(own) > 6:
-                    cut = r.randint(0, len(own) // 3)
-                    part = own[cut : len(own) - r.randint(0, len(own) // 4)] if r.random() < 0.3 else own[: len(own) - cut]
+                    part = own[r.randint(0, len(own) // 3) :]  # families differ in their last words, which stay
                 near = r.choice(ordinary)
                 out.append((model.vector(part if k % 3 != 2 else near[:6] + own + near[6:12]), f))
     unknown = len(FAMILIES)
     out += [(model.vector(w), unknown) for w in ordinary]
     out += [(model.vector(words(n.encode())), unknown) for n in NONE for _ in range(10)]
+    out += [(model.vector(words(n.encode())), unknown) for n in denied() for _ in range(3)]
     out.sort()
     r.shuffle(out)
     return model.fit(out)
@@ -202,22 +225,12 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
-                own, best, found = paragraphs(text), None, []
-                taken = set()
-                for at in range(0, len(own), 1000):
-                    for k, hit in enumerate(own_model.judge(own[at : at + 1000]), at):
-                        if hit and hit[2]:
-                            found.append(hit)
-                            taken.add(k)
-                count, lines = len(own), text.split(b"\n")
-                if count < len(lines):  # empty lines end a run
-                    places = [k for k, x in enumerate(lines) if x.strip(BLANK)]
-                    taken = {places[k] for k in taken}
-                found += own_model.wrapped(lines, taken)
+                lines, best = text.split(b"\n"), None
+                found = own_model.hits(lines)
                 for hit in found:
                     best = hit if best is None or hit[1] > best[1] else best
                 names = sorted({FAMILIES[f] for f, _, _ in found})
-                rows.append((doc_id, count, len(found), ",".join(names), FAMILIES[best[0]] if best else None, best[1] if best else 0.0))
+                rows.append((doc_id, len(paragraphs(text)), len(found), ",".join(names), FAMILIES[best[0]] if best else None, best[1] if best else 0.0))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_paragraphs", "n_licenses", "families", "family", "probability"])
