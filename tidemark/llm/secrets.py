@@ -233,7 +233,7 @@ def generated(count: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[in
             else:
                 token = r.choice((lambda: pick(small, r.randint(4, 7)) + pick("0123456789", r.randint(1, 4)), lambda: pick(full, r.randint(5, 10)) + "7a", lambda: pick(small, 3) + pick("0123456789", 2) + pick(small, 3)))()
                 if make == 3:
-                    head = r.choice((f"{word} {name}: ", f'{word} {name} = "', f"{name}: ", f'"{name}": "', f"{word} {name}="))
+                    head = r.choice((f"{word} {name}: ", f'{word} {name} = "', f"{name}: ", f'"{name}": "', f"{word} {name}=", f"Authorization: {name} ", "Authorization: Bearer "))
             tail = '" ' if head.endswith('"') else " "
             if make == 4:
                 head, tail = f"{word} {r.choice(('postgres', 'mysql', 'https', 'amqp', 'redis'))}://{pick(small, r.randint(1, 6))}:", f"@{pick(small, r.randint(1, 8))}{r.choice(('', '.com', ':5432/db'))} "
