@@ -86,6 +86,7 @@ def test_minimum_should_match(wanted, least):
 
 
 def test_slop(spark):
+    # Texts and counts that define what slop means.
     df = spark.createDataFrame([(x,) for x in ("a red bike", "a small blue bike", "a small, rusty, and yellow bike", "fred's small bike", "a tiny shelter")], "body string")
     n = lambda q: df.filter(compile_query(parse("body:" + q), Mapping.infer(df))).count()
     assert [n(q) for q in ('"small bike"', '"small bike"~1', '"small bike"~2', '"small bike"~3', '"red bike"~2', '"small blue bike"~3', '"small bird"~2', '"tiny shelter"~3')] == [1, 2, 2, 3, 1, 1, 0, 1]
@@ -106,6 +107,7 @@ def test_parser_errors_and_precedence():
 
 
 def test_aggregation_response(spark):
+    # Rows whose buckets and statistics are given.
     rows = [("Albert", 100, ["nice"]), ("Fred", 100, ["nice"]), ("Manfred", 120, ["nice"]), ("Horst", None, ["nice", "cool"]), ("Fritz", 30, ["nice", "cool"]), ("Fritz", 30, None), ("Fritz", 30, None), ("Holger", 30, None), ("Werner", 20, None), ("Bernhard", 130, None)]
     df = spark.createDataFrame(rows, "name string, response long, tags array<string>")
     out = aggs.response(df, {"tags": {"terms": {"field": "tags"}}, "h": {"histogram": {"field": "response", "interval": 50}}, "e": {"extended_stats": {"field": "response"}}, "r": {"range": {"field": "response", "ranges": [{"to": 50}, {"from": 50, "to": 80}, {"from": 80}]}, "aggs": {"m": {"max": {"field": "response"}}}}})
@@ -229,3 +231,17 @@ def test_results_do_not_depend_on_files(spark, sf, tmp_path):
         buckets = aggs.response(rows, request)["k"]["buckets"]
         seen.append(([r["event_id"] for r in page.collect()], [(b["key"], b["doc_count"], round(b["v"]["sum"], 4), [x["doc_count"] for x in b["h"]["buckets"]]) for b in buckets]))
     assert seen[0] == seen[1]
+
+
+def test_words_found_in_the_text_equal_its_tokens(spark):
+    """Patterns at the places of terms against the arrays of tokens."""
+    from tidemark.functions import analyzers
+    from tidemark.operators.filter import in_words, phrase
+
+    long = "x" * 300
+    texts = ["of the end", "OF, THE; end", f"of {long} the end", f"of{long}the", "soft he", "often the", "the of", "", None, "été of-the été", "of\nthe", "a1 of the2 the", "Of THE\u0307 x", "of the" + long]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    tokens, c = analyzers.default(F.col("t")), F.col("t")
+    cases = {"one": (["the"], "and", F.array_contains(tokens, "the")), "and": (["of", "the"], "and", F.array_contains(tokens, "of") & F.array_contains(tokens, "the")), "or": (["end", "été"], "or", F.arrays_overlap(tokens, F.array(F.lit("end"), F.lit("été")))), "phrase": (["of", "the"], "phrase", phrase(tokens, ["of", "the"])), "prefix": (["of", "th"], "bool_prefix_and", F.array_contains(tokens, "of") & F.exists(tokens, lambda t: t.startswith("th")))}
+    rows = df.select("i", *[F.coalesce(x, F.lit(False)).alias(f"{n}{k}") for n, (terms, mode, slow) in cases.items() for k, x in enumerate((in_words(c, terms, mode, tokens), slow))]).collect()
+    assert [(r["i"], n) for r in rows for n in cases if r[n + "0"] != r[n + "1"]] == []

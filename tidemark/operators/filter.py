@@ -21,6 +21,7 @@ from ..plans.dsl import resolve
 from ..plans.mapping import Field, Mapping, json_value
 
 _MARK = "\x01"
+_BEGIN, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 
 def _safe(c: Column) -> Column:
@@ -70,6 +71,10 @@ class Compiler:
         kind = analyzer or ("raw" if path else field.tokenizer)
         return (c if field.array and not path else analyzers.analyze(kind, c)), kind
 
+    def text(self, name: str) -> Column:
+        _, column, path = self.mapping.find(name)
+        return json_value(column, path) if path else F.col(f"`{column}`")
+
     def on_term(self, node: A.Term) -> Column:
         found = self.mapping.find(node.field)
         if not found:
@@ -159,6 +164,8 @@ class Compiler:
         mode = node.mode
         if mode == "phrase_or_and":
             mode = "phrase" if field.record == "position" else "and"
+        if kind == "default" and not field.array and not (mode == "phrase" and (node.slop or field.record != "position")):
+            return _safe(in_words(self.text(node.field), terms, mode, tokens))
         if mode.startswith("bool_prefix"):
             parts = [F.array_contains(tokens, t) for t in terms[:-1]] + [F.exists(tokens, lambda t: t.startswith(terms[-1]))]
             return _safe(reduce((lambda a, b: a & b) if mode.endswith("and") else (lambda a, b: a | b), parts))
@@ -249,6 +256,29 @@ class Compiler:
         return _safe(F.exists(tokens, lambda t: t.rlike(f"{flag}^(?:{node.regex})$")))
 
 
+def in_words(c: Column, terms: list[str], mode: str, tokens: Column) -> Column:
+    """Terms among the words that the default analyzer finds, without cutting the text into an array.
+
+    A word is a longest run of letters and digits, so its ends can be looked at where the term stands; texts that lack a
+    term even as a part of a word are out before any pattern is tried. Only texts with words too long to be terms, which
+    phrases step over, are cut.
+    """
+    text = F.lower(c)
+    has = lambda t: F.contains(text, F.lit(t)) & text.rlike(f"{_BEGIN}{t}{_END}")
+    every = lambda parts: reduce(lambda a, b: a & b, parts)
+    some = lambda parts: reduce(lambda a, b: a | b, parts)
+    long = text.rlike(r"[\p{L}\p{N}]{64}")
+    if mode.startswith("bool_prefix"):
+        start = F.contains(text, F.lit(terms[-1])) & text.rlike(_BEGIN + terms[-1]) & (~long | F.exists(tokens, lambda t: t.startswith(terms[-1])))
+        parts = [has(t) for t in terms[:-1]] + [start]
+        return (every if mode.endswith("and") else some)(parts)
+    once = list(dict.fromkeys(terms))
+    if mode != "phrase" or len(terms) == 1:
+        return (some if mode == "or" else every)([has(t) for t in once])
+    near = text.rlike(_BEGIN + r"[^\p{L}\p{N}]+".join(terms) + _END)
+    return every([F.contains(text, F.lit(t)) for t in once]) & (near | (long & phrase(tokens, terms)))
+
+
 def _joined(tokens: Column) -> Column:
     return F.concat(F.lit(_MARK), F.array_join(tokens, _MARK), F.lit(_MARK))
 

@@ -15,9 +15,11 @@ TYPES = ("text", "i64", "u64", "f64", "bool", "datetime", "ip", "bytes", "json",
 UNITS = {"s": 1, "sec": 1, "second": 1, "m": 60, "min": 60, "minute": 60, "h": 3600, "hour": 3600, "d": 86400, "day": 86400, "w": 604800, "week": 604800}
 PRECISIONS = {"seconds": "s", "milliseconds": "ms", "microseconds": "us", "nanoseconds": "us"}
 
+#: Which names indexes, patterns of indexes and fields may have.
 _NAME = re.compile(r"^[a-zA-Z][a-zA-Z0-9_.-]{2,254}$")
 _PATTERN = re.compile(r"^[a-zA-Z*][a-zA-Z0-9_.*-]{0,254}$")
-_FIELD_NAME = re.compile(r"^[@$_\-a-zA-Z0-9][@$_/\.\-a-zA-Z0-9]{0,254}$")
+_FIELD#: Fixed values: which names indexes, patterns of indexes and fields may have.
+_NAME = re.compile(r"^[@$_\-a-zA-Z0-9][@$_/\.\-a-zA-Z0-9]{0,254}$")
 
 
 class ConfigError(ValueError):
@@ -46,6 +48,7 @@ def check_pattern(pattern: str) -> str:
     return pattern
 
 
+#: Its defaults are fixed values too.
 @dataclass
 class MergePolicy:
     """kind: stable_log, limit_merge or no_merge."""

@@ -19,6 +19,7 @@ from ..functions import analyzers
 from ..plans.config import MergePolicy
 
 MOST_TAG_VALUES = 1000
+PARTITION = "_partition"
 #: Bits of a file's term filter: 32 blocks of 4096 bytes.
 BLOCK_BITS = 32_768
 TERM_BITS = 32 * BLOCK_BITS
@@ -81,8 +82,10 @@ class Index:
         return out
 
     def write(self, df: DataFrame, folder: str, mode: str = "errorifexists") -> None:
-        own = df.sortWithinPartitions(*self.sort) if self.sort else df
-        own.write.mode(mode).options(**self.options).parquet(folder)
+        """Rows with a ``_partition`` go to files of their partition alone, under a folder that is named after it."""
+        own = df.sortWithinPartitions(*[c for c in (PARTITION,) if c in df.columns], *self.sort) if self.sort else df
+        writer = own.withColumn("_part", F.col(PARTITION)).write.partitionBy("_part") if PARTITION in df.columns else own.write
+        writer.mode(mode).options(**self.options).parquet(folder)
 
     def remember(self, df: DataFrame) -> None:
         """Keep the schema, for an index whose files are all gone."""
@@ -169,16 +172,23 @@ class Index:
         """Merge files as the policy plans; returns how many were merged. Each group becomes one file."""
         own = self.manifest().withColumn("age", F.unix_seconds(F.lit(now).cast("timestamp") if now else F.current_timestamp()) - F.unix_seconds("created"))
         # Files of one partition of the index and one schema merge with each other alone.
-        scope = F.regexp_extract("file", r"/_partition=([^/]*)/", 1)
+        scope = F.regexp_extract("file", r"/_part=([^/]*)/", 1)
         plan: list[list[dict]] = []
         for (part,) in own.select(scope).distinct().collect():
             rows = [r.asDict() for r in own.filter(scope == part).select("file", "num_docs", "merges", "age", "time_end").collect()]  # file entries, not rows
             plan += plan_policy(rows, policy)
-        for group in plan:
-            files = [r["file"] for r in group]
-            self.rewrite(self.spark.createDataFrame([(f,) for f in files], "file string"), self.spark.read.parquet(*files).coalesce(1), 1 + max(r["merges"] for r in group))
+        groups = [([r["file"] for r in group], 1 + max(r["merges"] for r in group)) for group in plan]
+        for merges in sorted({m for _, m in groups}):
+            self._merge([files for files, m in groups if m == merges], merges)
         return sum(len(g) for g in plan)
 
+    def _merge(self, groups: list[list[str]], merges: int, sort: list[str] | None = None) -> None:
+        """Each group of files becomes one file, all groups in one job; a group has as many rows as its policy allows."""
+        of = self.spark.createDataFrame([(f, k) for k, files in enumerate(groups) for f in files], "_file string, _group int")
+        rows = self.spark.read.parquet(*[f for files in groups for f in files]).withColumn("_file", F.col("_metadata.file_path"))
+        rows = rows.join(F.broadcast(of), "_file").repartitionById(len(groups), F.col("_group")).drop("_file", "_group")  # a row a file
+        self.rewrite(of.select(F.col("_file").alias("file")), rows.sortWithinPartitions(*sort) if sort else rows, merges)
+
     def delete(self, condition, start=None, end=None, tags: dict[str, list[str]] | None = None, terms: dict[str, list[str]] | None = None) -> None:
         """Delete by query: files with matches are written again without them. The bounds, where every match has them, spare
         the other files a scan."""
@@ -190,10 +200,8 @@ class Index:
     def compact(self, target_docs: int, sort: list[str] | None = None) -> int:
         """Merge files smaller than the target; returns how many were merged."""
         plan = plan_merges([(r["file"], r["num_docs"]) for r in self.manifest().select("file", "num_docs").collect()], target_docs)
-        for group in plan:
-            rows = self.spark.read.parquet(*group)
-            rows = rows.repartitionByRange(1, *sort).sortWithinPartitions(*sort) if sort else rows.coalesce(1)
-            self.rewrite(self.spark.createDataFrame([(f,) for f in group], "file string"), rows)
+        if plan:
+            self._merge(plan, 1, sort)
         return sum(len(g) for g in plan)
 
     def collect_garbage(self) -> int:
