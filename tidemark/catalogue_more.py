@@ -70,6 +70,25 @@ for _name, _query, _where in (
     add(f"dynamic_range_{_name}", lambda s, d, q=_query: _dynamic(s, d).filter(compile_query(parse(q), _DAYS)).select("event_id"), f"SELECT event_id FROM events WHERE {_where}")
 add("search_time_bounds", lambda s, d: search(table(s, d, "events"), SearchRequest("*", size=10_000, tie="event_id", start_timestamp=1704844800, end_timestamp=1705708800), EVENTS).select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' ORDER BY event_id DESC LIMIT 10000")
 
+_IDS = [3 * k for k in range(4000)]
+add("dsl_terms_large", lambda s, d: search(table(s, d, "orders"), SearchRequest({"bool": {"filter": [{"terms": {"o_orderkey": _IDS}}, {"range": {"o_totalprice": {"gte": 1000}}}]}}, size=10_000, tie="o_orderkey"), Mapping({"o_orderkey": Field("i64"), "o_totalprice": Field("f64")})).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 12000 AND o_totalprice >= 1000")
+_events("dsl_terms_numbers", {"terms": {"user_id": [3, "5", 7, "x"]}}, "user_id IN (3, 5, 7)")
+
+
+def _scroll_all(s: SparkSession, d: str) -> DataFrame:
+    """All pages of a scroll, with the page that each row came on."""
+    from .operators.search import Scroll
+
+    scroll = Scroll(table(s, d, "events"), SearchRequest("event_type:purchase", sort=[("value", "desc")], size=60, tie="event_id"), EVENTS, _folder(s, "scroll"))
+    out, page = None, 0
+    while scroll.at < min(scroll.total, 300):
+        own = scroll.next().select("event_id", F.lit(page).alias("page"))
+        out, page = own if out is None else out.unionAll(own), page + 1
+    return out
+
+
+add("scroll_all_pages", _scroll_all, "SELECT event_id, CAST((row_number() OVER (ORDER BY value DESC, event_id DESC) - 1) // 60 AS INT) AS page FROM events WHERE event_type = 'purchase' ORDER BY value DESC, event_id DESC LIMIT 300")
+
 # -- aggregations
 _TAGGED = "CASE WHEN user_id % 3 = 0 THEN ['a', 'b', 'a'] WHEN user_id % 3 = 1 THEN ['b'] END"
 

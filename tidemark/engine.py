@@ -416,8 +416,9 @@ class Engine:
         return self.index(name).collect_garbage()
 
     # -- SQL
-    def sql(self, text: str, explain: bool = False) -> DataFrame | str | None:
-        """One or several statements over the indexes, each a view of its name; the last one's result or its plan."""
+    def sql(self, text: str, explain: bool | str = False) -> DataFrame | str | None:
+        """One or several statements over the indexes, each a view of its name; the last one's result or its plan, with
+        ``explain="analyze"`` after it ran."""
         for n in self.indexes():
             if n.replace("-", "_").lower() in text.lower().replace("-", "_"):
                 self.table(n)[0].drop(ADDRESS).createOrReplaceTempView(n.replace("-", "_"))
@@ -427,7 +428,7 @@ class Engine:
             made = metrics.create_external_table(self.spark, s, self._paths)
             out = made if made is not None else self.spark.sql(s)
         if explain and out is not None:
-            return sqltext.explain(out)
+            return sqltext.analyze(out) if explain == "analyze" else sqltext.explain(out)
         return out
 
     def _paths(self, location: str) -> list[str]:

@@ -6,6 +6,7 @@ The search semantics has two truth values, so every leaf is coalesced to false b
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -128,6 +129,9 @@ class Compiler:
                 out.append(_safe(F.col(f"`{column}`").isin([str(v) for v in values])))
             elif field.type == "text" and not path:
                 out.append(_safe(F.arrays_overlap(self.tokens(name)[0], F.array(*[F.lit(str(v)) for v in values]))))
+            elif field.type in ("i64", "u64", "f64", "bool", "datetime") and not path and not field.array:
+                literals = [c for c in (self.literal(field, v) for v in values) if c is not None]
+                out.append(_safe(F.col(f"`{column}`").isin(literals)) if literals else F.lit(False))
             else:
                 out += [self.visit(A.Term(name, v)) for v in values]
         return reduce(lambda a, b: a | b, out) if out else F.lit(False)
@@ -313,6 +317,33 @@ def phrase(tokens: Column, terms: list[str], slop: int = 0) -> Column:
     return F.exists(F.array(tokens), near)
 
 
+#: Sets of more values are joined instead of being part of the plan.
+MOST_LITERALS = 1000
+
+
+def split_term_sets(node: A.Node, mapping: Mapping) -> tuple[A.Node, list[tuple[str, list]]]:
+    """A query without the large term sets that each match has to meet, and those as (column, distinct values)."""
+    out = []
+
+    def large(x: A.Node) -> bool:
+        if not isinstance(x, A.TermSet) or len(x.terms) != 1 or len(x.terms[0][1]) <= MOST_LITERALS:
+            return False
+        name, values = x.terms[0]
+        found = mapping.find(name)
+        if not found or found[2] or found[0].array or not (found[0].type == "i64" or found[0].type == "text" and found[0].tokenizer == "raw"):
+            return False
+        if found[0].type == "i64":
+            values = [int(v) for v in values if re.fullmatch(r"-?\d{1,18}", str(v))]
+        out.append((found[1], list(dict.fromkeys(values if found[0].type == "i64" else map(str, values)))))
+        return True
+
+    if large(node):
+        return A.MatchAll(), out
+    if isinstance(node, A.Bool) and not node.should:
+        node = replace(node, must=tuple(x for x in node.must if not large(x)), filter=tuple(x for x in node.filter if not large(x)))
+    return node, out
+
+
 def compile_query(node: A.Node, mapping: Mapping) -> Column:
     return Compiler(mapping)(node)
 

@@ -16,7 +16,7 @@ from ..plans import ast as A
 from ..plans.dsl import lower
 from ..plans.mapping import Mapping
 from ..plans.querystring import parse
-from .filter import compile_query
+from .filter import compile_query, split_term_sets
 
 MOST = 10_000
 
@@ -70,7 +70,10 @@ def keyset(sort: list[tuple[str, str]], tie: str | None, after: tuple) -> Column
 
 def matching(df: DataFrame, request: SearchRequest, mapping: Mapping) -> DataFrame:
     """All rows that the request selects, unsorted."""
-    df = df.filter(compile_query(to_ast(request.query, mapping), mapping))
+    node, sets = split_term_sets(to_ast(request.query, mapping), mapping)
+    for column, values in sets:
+        df = df.join(F.broadcast(df.sparkSession.createDataFrame([(v,) for v in values], f"_term {dict(df.dtypes)[column]}")), F.col(f"`{column}`") == F.col("_term"), "left_semi")  # a request's values
+    df = df.filter(compile_query(node, mapping))
     for extra in request.extra_filters:
         df = df.filter(compile_query(parse(extra, mapping.default_fields, "and"), mapping))
     if request.start_timestamp is not None or request.end_timestamp is not None:
@@ -112,23 +115,37 @@ def hits(df: DataFrame, request: SearchRequest, mapping: Mapping, index: str = "
 
 
 class Scroll:
-    """A snapshot of ordered results, read page by page from a written table."""
+    """A snapshot of ordered results, read page by page from a written table.
+
+    The rows are sorted once, by a range of sort keys a file, and numbered as they are written; a page is a range of numbers,
+    which the statistics of files and row groups find, so that it costs what it holds, wherever it stands.
+    """
+
+    PLACE = "_place"
 
     def __init__(self, df: DataFrame, request: SearchRequest, mapping: Mapping, folder: str):
         own = matching(df, request, mapping)
-        own.orderBy(*order_by(request.sort, request.tie)).write.mode("errorifexists").parquet(folder)
-        self.spark, self.folder, self.request, self.last = df.sparkSession, folder, request, request.after
+        if request.after is not None:
+            own = own.filter(keyset(request.sort, request.tie, request.after))
+        # Numbers are those of the partition, times 2**33, and of the row in it: in order, with gaps between partitions.
+        own.orderBy(*order_by(request.sort, request.tie)).withColumn(self.PLACE, F.monotonically_increasing_id()).write.mode("errorifexists").parquet(folder)
+        self.spark, self.folder, self.size, self.at = df.sparkSession, folder, request.size, 0
+        rows = self.spark.read.parquet(folder)
+        self.schema = rows.schema
+        parts = rows.groupBy(F.shiftright(self.PLACE, 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a file
+        self.parts = [(r["part"] << 33, r["n"]) for r in parts]
+        self.total = sum(n for _, n in self.parts)
 
     def next(self) -> DataFrame:
-        r, df = self.request, self.spark.read.parquet(self.folder)
-        names = [f for f, _ in r.sort] + ([r.tie] if r.tie and r.tie not in dict(r.sort) else [])
-        if self.last is not None:
-            df = df.filter(keyset(r.sort, r.tie, self.last))
-        page = df.orderBy(*order_by(r.sort, r.tie)).limit(r.size)
-        rows = page.select(*names).collect()
-        if rows:
-            self.last = tuple(rows[-1])
-        return page
+        low, self.at = self.at, min(self.at + self.size, self.total)
+        ranges, begin = [], 0
+        for first, n in self.parts:
+            a, b = max(low, begin), min(self.at, begin + n)
+            if a < b:
+                ranges.append(F.col(self.PLACE).between(first + a - begin, first + b - begin - 1))
+            begin += n
+        rows = self.spark.read.schema(self.schema).parquet(self.folder)
+        return rows.filter(reduce(lambda x, y: x | y, ranges) if ranges else F.lit(False)).orderBy(self.PLACE).drop(self.PLACE)
 
 
 def union_indexes(indexes: dict[str, DataFrame], pattern: str) -> DataFrame:

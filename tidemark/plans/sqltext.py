@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _PART = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|[^;'\"`/-]+|.", re.S)
 
@@ -34,3 +36,10 @@ def run(spark: SparkSession, text: str) -> DataFrame | None:
 def explain(df: DataFrame, mode: str = "formatted") -> str:
     """The plan as text."""
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+def analyze(df: DataFrame) -> str:
+    """The plan that ran, after a run whose rows are counted and dropped, with the rows and the seconds it took."""
+    seen, began = Observation(), time.perf_counter()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    return f"{explain(df)}\nrows: {seen.get['rows']}, seconds: {time.perf_counter() - began:.3f}"
