@@ -158,7 +158,7 @@ def _points(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")))
 
 
-add("metrics_rollup_avg_of_max", lambda s, d: discovery.rollup(_points(s, d), ["event_type", "user_id"], ["event_type"], F.col("t"), "value", "max", "avg", 3600).withColumn("value", F.round("value", 4)), "SELECT event_type, bin, round(avg(m), 4) AS value FROM (SELECT event_type, user_id, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bin, max(value) AS m FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2")
+add("metrics_rollup_avg_of_max", lambda s, d: discovery.rollup(_points(s, d), ["event_type", "user_id"], ["event_type"], F.col("t"), "value", "max", "avg", 3600).withColumn("value", F.round("value", 8)), "SELECT event_type, bin, round(avg(m), 8) AS value FROM (SELECT event_type, user_id, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bin, max(value) AS m FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2")
 add("window_start", lambda s, d: _points(s, d).select("event_id", datetimes.window_start(F.col("t") - 1_800_000_000, 900).alias("w")), "SELECT event_id, CAST(floor((floor(epoch(ts)) - 1800000000) / 900) * 900 AS BIGINT) AS w FROM events")
 add("series_id", lambda s, d: table(s, d, "events").select("event_id", discovery.series_id("event_type", ["user_id"]).alias("series")))
 add("route_hash_mod", lambda s, d: table(s, d, "events").select("event_id", discovery.routing("event_type,hash_mod((user_id),16)").alias("route")))
