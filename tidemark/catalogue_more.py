@@ -434,6 +434,19 @@ def _stream_windows(s: SparkSession, d: str) -> DataFrame:
 add("stream_windows", _stream_windows, "SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 
 
+def _clash(s: SparkSession, d: str) -> DataFrame:
+    """Two indexes of which one has numbers and the other words under one name."""
+    engine = Engine(s, _folder(s, "clash"))
+    for name, kind, rows in (("clash-a", {"type": "i64"}, table(s, d, "nation").select(F.col("n_nationkey").alias("id"))), ("clash-b", {"type": "text", "tokenizer": "raw"}, table(s, d, "region").select(F.col("r_name").alias("id")))):
+        engine.create_index({"index_id": name, "doc_mapping": {"field_mappings": [{"name": "id"} | kind]}})
+        engine.ingest(name, rows.select(F.to_json(F.struct("id")).alias("value")))
+    found = [engine.es_search("clash-*", {"query": {"terms": {"id": ["7", "ASIA", "none"]}}})["hits"]["hits"], engine.es_search("clash-*,-clash-a", {"query": {"match_all": {}}})["hits"]["hits"]]
+    return s.createDataFrame([(k, h["_index"], str(h["_source"]["id"])) for k, hits in enumerate(found) for h in hits], "k int, index string, id string")
+
+
+add("multi_index_clash", _clash, "SELECT 0 AS k, 'clash-a' AS index, '7' AS id UNION ALL SELECT 0, 'clash-b', 'ASIA' UNION ALL SELECT 1, 'clash-b', r_name FROM region")
+
+
 def _json_out(s: SparkSession, d: str) -> DataFrame:
     """Documents as they come back: the JSON that went in, with the fields that were asked for."""
     hits = _engine(s, d).es_search("events", {"query": {"range": {"value": {"gte": 150}}}, "_source": {"includes": ["e*"], "excludes": ["event_type"]}, "sort": [{"event_id": "desc"}], "size": 30})["hits"]["hits"]

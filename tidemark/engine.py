@@ -27,7 +27,7 @@ from .plans import ast as A
 from .plans import config as C
 from .plans import sqltext
 from .plans.dsl import lower
-from .plans.mapping import Mapping
+from .plans.mapping import Field, Mapping
 from .plans.querystring import parse
 from .sources import formats, metrics
 from .sources.catalog import Index
@@ -199,6 +199,10 @@ class Engine:
     @staticmethod
     def _united(chosen: list[Mapping]) -> Mapping:
         fields = {k: f for m in reversed(chosen) for k, f in m.fields.items()}
+        for k in fields:  # as ``union_indexes`` unites the columns
+            kinds = {m.fields[k].type for m in chosen if k in m.fields}
+            if len(kinds) > 1:
+                fields[k] = Field("f64") if kinds <= {"i64", "f64"} else Field("text", "raw")
         defaults = tuple(dict.fromkeys(f for m in chosen for f in m.default_fields))
         mode = "strict" if all(m.mode == "strict" for m in chosen) else "dynamic"
         return Mapping(fields, mode, defaults, chosen[0].timestamp if chosen else None, "_source")

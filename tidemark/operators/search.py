@@ -19,6 +19,7 @@ from ..plans.querystring import parse
 from .filter import compile_query, split_term_sets
 
 MOST = 10_000
+NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
 @dataclass
@@ -149,7 +150,10 @@ class Scroll:
 
 
 def union_indexes(indexes: dict[str, DataFrame], pattern: str) -> DataFrame:
-    """Rows of all indexes that a list like ``a,b*,-c`` selects, with ``_index``; a missing plain name is an error."""
+    """Rows of all indexes that a list like ``a,b*,-c`` selects, with ``_index``; a missing plain name is an error.
+
+    Numbers of several types are widened; a column that is text in one index and something else in another is text in all.
+    """
     chosen: list[str] = []
     for p in pattern.split(","):
         if p.startswith("-"):
@@ -161,7 +165,13 @@ def union_indexes(indexes: dict[str, DataFrame], pattern: str) -> DataFrame:
         chosen += [n for n in own if n not in chosen]
     if not chosen:
         raise KeyError(f"no index matches {pattern}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [indexes[n].withColumn("_index", F.lit(n)) for n in chosen])
+    kinds: dict[str, set[str]] = {}
+    for n in chosen:
+        for c, kind in indexes[n].dtypes:
+            kinds.setdefault(c, set()).add(kind)
+    mixed = {c for c, k in kinds.items() if len(k) > 1 and not k <= NUMBERS}
+    alike = [indexes[n].select(*[F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`") for c in indexes[n].columns], F.lit(n).alias("_index")) for n in chosen]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
 
 
 def _equals(term: str):
