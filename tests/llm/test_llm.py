@@ -107,6 +107,35 @@ def test_suffix_order_is_sorted():
         assert set(np.flatnonzero(wanted)) <= set(order.tolist())
 
 
+def test_windows_of_a_key_are_found_as_runs():
+    texts = [b"", b"x" * 5000, b"short", b"y" * 49, b"z" * 50, " ".join(TEXTS[11].split() * 9).encode(), b"", LONG.encode(), TEXTS[10].encode()]
+    for own in (texts, texts[::-1], texts[1:2], texts[2:4], []):
+        data, starts = suffix_dedup._join(own)
+        got = [(d, p + i - starts[d], k) for _, key, doc, place, count in suffix_dedup._runs(data, starts) for k, d, p, n in zip(key, doc, place, count) for i in range(n)]
+        want = [(d, p, k) for d, t in enumerate(own) for p, k in enumerate(suffix_dedup.window_keys(np.frombuffer(t, np.uint8)))]
+        assert sorted(got) == sorted(want)
+    assert len(suffix_dedup.keys_of([b"x" * 5000, b"y" * 49, b"x" * 60])[0]) == 2  # not a row for each of 4962 windows
+
+
+def test_shards_sort_equal_fragments_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    one, left, right = (bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (90, 20, 70))
+    rows = [(b, 1, 900 - b, one) for b in range(40)] + [(b, 2, 500 + b, left + right) for b in range(40)] + [(b, 2, 520 - b, right + left) for b in range(40)] + [(41, 3, 5, bytes(reversed(one)))]
+    bucket, key, low, text = (list(x) for x in zip(*rows))
+    high = [i + b % 2 for i, b in zip(low, bucket)]
+    sorted_bytes, order_of = [], suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda data, wanted: sorted_bytes.append(len(data) - 64) or order_of(data, wanted))
+    got = suffix_dedup._shard(np.array(bucket), np.arange(len(rows)), np.array(key), np.array(low), np.array(high), suffix_dedup.pa.array(text, suffix_dedup.pa.binary())).to_pylist()
+    least = {}
+    for i, t in zip(low, text):
+        for p in range(len(t) - 49):
+            least[t[p : p + 50]] = min(i, least.get(t[p : p + 50], i))
+    want = {(r, p, least[t[p : p + 50]]) for r, t in enumerate(text) for p in range(len(t) - 49) if least[t[p : p + 50]] < high[r]}
+    assert sorted((x["name"], x["at"] + k, x["least"]) for x in got for k in range(x["count"])) == sorted(want)
+    assert all(x["bucket"] == bucket[x["name"]] and x["key"] == key[x["name"]] for x in got)
+    assert sorted_bytes == [180]  # both texts of key 2, once each; keys 1 and 3 have one text and need no order
+
+
 def test_secrets(docs):
     text = TEXTS[12]
     model = secrets.train(docs)

@@ -7,7 +7,8 @@ bucket tells its own fragments apart by a 64-bit hash and the 64-bit key togethe
 buckets have, take the least hash of their 32-byte strings as a finer key, so that a common phrase in ever new surroundings
 does not meet in one shard.
 
-A shard sorts its suffixes in two stages. Suffixes smaller than their successors (S) are sorted directly, by their first
+Equal fragments of a shard, told by their bytes, are sorted once; a key that has one distinct fragment needs no order. A
+shard sorts its suffixes in two stages. Suffixes smaller than their successors (S) are sorted directly, by their first
 56 bytes. The rest (L) is induced: buckets are scanned by first byte, from small to great; each suffix that is met places
 its predecessor, if that is an L suffix, next in the bucket of the predecessor's first byte. An L suffix is greater than
 its successor, so the scan meets the successor first. Buckets are scanned as arrays, not byte by byte. Only window starts
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import binary, mix, table
-from ._repeats import BYTE_NAMES, CHUNK_BYTES, Deal, RangeHash, _ids, bucket_of, chunks, copied, known_keys, member, signed, unrepeated
+from ._repeats import BYTE_NAMES, CHUNK_BYTES, LAST_ID, Deal, RangeHash, _ids, bucket_of, chunks, copied, known_keys, member, signed, unrepeated
 
 WINDOW = 50
 GRAM = 16
@@ -83,23 +84,31 @@ def _join(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return b"".join(texts), np.cumsum([0] + [len(t) for t in texts])
 
 
-def _windows(data: bytes, starts: np.ndarray, hot: np.ndarray | None = None, shift: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(coarse key, key, text, place) of the windows that lie within one text, in segments. Under ``hot`` coarse keys the key is
-    a finer one."""
+def _runs(data: bytes, starts: np.ndarray, hot: np.ndarray | None = None, shift: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """(coarse key, key, text, place, count) of the runs of neighbouring windows that lie within one text and share both keys, in
+    segments. Under ``hot`` coarse keys the key is a finer one."""
     every = np.frombuffer(data, np.uint8)
+    # Where a text begins and where its last window ends, windows stop to be within one text.
+    borders = np.concatenate((starts[:-1], np.maximum(starts[1:] - WINDOW + 1, starts[:-1])))
     for at in range(0, max(0, len(data) - WINDOW + 1), CHUNK_BYTES):
-        key = window_keys(every[at : at + CHUNK_BYTES + WINDOW - 1])
-        place = np.arange(at, at + len(key))
+        own = every[at : at + CHUNK_BYTES + WINDOW - 1]
+        key = fine = window_keys(own)
+        edge = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=edge[1:])
+        if hot is not None and len(hot):
+            fine = np.where(member(key >> _U(shift), hot) >= 0, mix(key ^ fine_keys(own)), key)
+            edge[1:] |= fine[1:] != fine[:-1]
+        edge[borders[(borders >= at) & (borders < at + len(key))] - at] = True
+        first = np.flatnonzero(edge)
+        place = first + at
         doc = np.searchsorted(starts, place, "right") - 1
-        inside = place + WINDOW <= starts[doc + 1]
-        fine = key
-        if hot is not None and len(hot) and len(key):
-            fine = np.where(member(key >> _U(shift), hot) >= 0, mix(key ^ fine_keys(every[at : at + CHUNK_BYTES + WINDOW - 1])), key)
-        yield key[inside], fine[inside], doc[inside], place[inside]
+        inside = np.flatnonzero(place + WINDOW <= starts[doc + 1])
+        first, size = first[inside], np.diff(np.append(first, len(key)))[inside]
+        yield key[first], fine[first], doc[inside], place[inside], size
 
 
 def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    found = [(key, doc) for key, _, doc, _ in _windows(*_join(texts))]
+    found = [(key, doc) for key, _, doc, _, _ in _runs(*_join(texts))]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -111,20 +120,18 @@ def _fragments(texts: list[bytes], known: np.ndarray | None = None, shift: int =
     data, starts = _join(texts)
     hashes = RangeHash(BYTE_NAMES[np.frombuffer(data, np.uint8)])
     out = []
-    for coarse, key, doc, place in _windows(data, starts, hot, shift):
+    for coarse, key, doc, place, size in _runs(data, starts, hot, shift):
         if known is not None and len(key):
             own = member(coarse >> _U(shift), known) >= 0
-            key, doc, place = key[own], doc[own], place[own]
+            key, doc, place, size = key[own], doc[own], place[own], size[own]
         if not len(key):
             continue
-        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1))))
-        size = np.diff(np.append(first, len(key)))
         parts = -(-size // PIECE)
-        of = np.repeat(np.arange(len(first)), parts)
+        of = np.repeat(np.arange(len(size)), parts)
         step = (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE
-        begin = place[first][of] + step
+        begin = place[of] + step
         end = begin + np.minimum(PIECE, size[of] - step) + WINDOW - 1
-        out.append((key[first][of], doc[first][of], begin, end, mix(hashes.of(begin, end) + (end - begin).astype(np.uint64))))
+        out.append((key[of], doc[of], begin, end, mix(hashes.of(begin, end) + (end - begin).astype(np.uint64))))
     if not out:
         return data, starts, *(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.uint64))
     return data, starts, *(np.concatenate(x) for x in zip(*out, strict=True))
@@ -137,9 +144,8 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """
     n = len(data) - 64
     # S: smaller than the successor. Equal neighbours share a type, so the next change decides.
-    rises = data[:-1] < data[1:]
     change = np.flatnonzero(data[:-1] != data[1:])
-    small = rises[change[np.searchsorted(change, np.arange(n))]]
+    small = np.repeat(data[change] < data[change + 1], np.diff(change, prepend=-1))[:n]
     need = wanted.copy()
     while len(more := np.flatnonzero(need[:-1] & ~small[:-1] & ~need[1:])):
         need[more + 1] = True
@@ -177,15 +183,16 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def same_prefix(data: np.ndarray, order: np.ndarray, length: int = WINDOW) -> np.ndarray:
     """Whether each suffix in ``order`` has the first ``length`` bytes of the one before it."""
-    a, b, w = order[:-1], order[1:], _words_at(data)
+    w = _words_at(data)
     same = np.ones(max(0, len(order) - 1), bool)
     for at in [*range(0, length - 7, 8), length - 8]:
-        same &= w[a + at] == w[b + at]
+        own = w[order + at]
+        same &= own[:-1] == own[1:]
     return np.concatenate(([False], same)) if len(order) else same
 
 
-def _shard(bucket: np.ndarray, name: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, fragments: list[bytes]) -> pa.Table:
-    """The runs of windows of each fragment that have a smaller id elsewhere."""
+def _least_runs(low: np.ndarray, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one least id: fragment, first window, count and the least of ``low`` over all fragments with the window."""
     size = np.array([len(f) for f in fragments], np.int64)
     ends = np.cumsum(size)
     data = np.frombuffer(b"".join(fragments) + b"\xff" * 64, np.uint8)
@@ -197,11 +204,40 @@ def _shard(bucket: np.ndarray, name: np.ndarray, key: np.ndarray, low: np.ndarra
     least = np.zeros(len(of), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(low[of[order]], group), np.diff(np.append(group, len(order))))
     place = np.flatnonzero(wanted)
-    place = place[least[place] < high[of[place]]]
-    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1] + 1) | (of[place[1:]] != of[place[:-1]]) | (least[place[1:]] != least[place[:-1]])))) if len(place) else place
-    at = place[first]
-    f = of[at]
-    return pa.table({"bucket": pa.array(bucket[f].astype(np.int32)), "name": pa.array(name[f]), "key": pa.array(key[f]), "at": pa.array((at - (ends[f] - size[f])).astype(np.int32)), "count": pa.array(np.diff(np.append(first, len(place))).astype(np.int32)), "least": pa.array(least[at])})
+    f, least = of[place], least[place]
+    first = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (least[1:] != least[:-1]))))
+    return f[first], place[first] - (ends - size)[f[first]], np.diff(np.append(first, len(place))), least[first]
+
+
+def _shard(bucket: np.ndarray, name: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, fragments: pa.Array) -> pa.Table:
+    """The runs of windows of each fragment that have a smaller id elsewhere. Rows of a key are neighbours.
+
+    Fragments of equal bytes are sorted once, for the least id of all. Where a key has no second one, nothing is sorted: all
+    its windows have that id.
+    """
+    coded = fragments.dictionary_encode()
+    code, distinct = coded.indices.to_numpy(), coded.dictionary
+    least = np.full(len(distinct), LAST_ID)
+    np.minimum.at(least, code, low)
+    own = np.empty(len(distinct), np.int64)  # distinct fragments are in the order of their first rows
+    own[code] = key
+    other = own[1:] != own[:-1]
+    alone = np.concatenate(([True], other)) & np.concatenate((other, [True]))
+    one, several = np.flatnonzero(alone), np.flatnonzero(~alone)
+    of, at, count = one, np.zeros(len(one), np.int64), pc.binary_length(distinct).to_numpy()[one].astype(np.int64) - WINDOW + 1
+    by = least[one]
+    if len(several):
+        f, *found = _least_runs(least[several], distinct.take(pa.array(several)).to_pylist())
+        of, at, count, by = (np.concatenate(x) for x in zip((of, at, count, by), (several[f], *found), strict=True))
+        order = np.argsort(of, kind="stable")
+        of, at, count, by = of[order], at[order], count[order], by[order]
+    runs = np.bincount(of, minlength=len(distinct))
+    n, start = runs[code], (np.cumsum(runs) - runs)[code]
+    row = np.repeat(np.arange(len(code)), n)
+    run = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + start[row]
+    hit = by[run] < high[row]
+    row, run = row[hit], run[hit]
+    return pa.table({"bucket": pa.array(bucket[row].astype(np.int32)), "name": pa.array(name[row]), "key": pa.array(key[row]), "at": pa.array(at[run].astype(np.int32)), "count": pa.array(count[run].astype(np.int32)), "least": pa.array(by[run])})
 
 
 def new_pairs(name: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -251,7 +287,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         def sort(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
             columns = (t[c].to_numpy() for c in ("bucket", "name", "key", "low", "high"))
-            yield from _shard(*columns, t["fragment"].to_pylist()).to_batches()
+            yield from _shard(*columns, t["fragment"].combine_chunks()).to_batches()
 
         for batch in batches:
             at = 0
